@@ -28,7 +28,7 @@ le la les de des et en un une que qui pour dans est sur du
 el los las del y se por con para una su
 """.split()
 SYMBOLS = b"#*$%&|<>"
-FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stop_words", "n_letters", "n_upper")
+FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stop_words", "n_letters", "n_upper", "n_lettered")
 
 
 @dataclass(frozen=True)
@@ -42,17 +42,17 @@ class Rule:
 
 RULES = (
     Rule("length", "n_words >= 80", "n_words < 50"),
-    Rule("word_length", "word_chars between 3 * n_words and 9 * n_words", "word_chars < 2 * n_words or word_chars > 13 * n_words"),
-    Rule("symbols", "50 * n_symbols <= n_words", "5 * n_symbols > n_words"),
-    Rule("repeated_lines", "10 * n_dup_lines <= n_lines", "10 * n_dup_lines > 4 * n_lines"),
+    Rule("word_length", "word_chars between 3 * n_words and 10 * n_words", "word_chars < 2 * n_words or word_chars > 13 * n_words"),
+    Rule("symbols", "50 * n_symbols <= n_words", "10 * n_symbols > n_words"),
+    Rule("repeated_lines", "10 * n_dup_lines <= n_lines", "10 * n_dup_lines > 3 * n_lines"),
     Rule("repeated_words", "100 * n_repeat_words <= 15 * n_words", "100 * n_repeat_words > 35 * n_words"),
-    Rule("stop_words", "20 * n_stop_words >= n_words", "100 * n_stop_words < n_words"),
-    Rule("letters", "100 * n_letters >= 85 * word_chars", "100 * n_letters < 65 * word_chars"),
+    Rule("stop_words", "10 * n_stop_words >= n_words", "100 * n_stop_words < n_words"),
+    Rule("letters", "100 * n_letters >= 90 * word_chars", "100 * n_letters < 75 * word_chars"),
+    Rule("worded", "100 * n_lettered >= 95 * n_words", "100 * n_lettered < 80 * n_words"),
     Rule("capitals", "10 * n_upper <= n_letters", "10 * n_upper > 4 * n_letters"),
 )
-#: Bounds of what the rules' accuracies may become: a rule is never taken to be worse than chance.
-ACCURACY = (0.6, 0.99)
-#: Pseudo-counts, in documents for each class and rule, of a rule of accuracy 0.8, and of the share of good documents, 0.85.
+#: How often a rule that votes is taken to vote bad on a good and on a bad document before anything is seen, as so many documents of either class.
+BAD_IF_GOOD, BAD_IF_BAD = 0.02, 0.5
 PRIOR = 50.0
 GOOD_SHARE = 0.85
 STEPS = 50
@@ -80,7 +80,8 @@ _STOP = np.sort(word_hashes(" ".join(STOP_WORDS).encode()))
 
 def features(data: bytes) -> tuple[int, ...]:
     """FEATURES of a text. A letter is one of A-Z and a-z or any character beyond ASCII."""
-    tally = np.bincount(np.frombuffer(data, np.uint8), minlength=256)
+    codes = np.frombuffer(data, np.uint8)
+    tally = np.bincount(codes, minlength=256)
     blanks = int(tally[_BLANK].sum())
     # code points: all bytes but the continuation bytes 0x80 to 0xBF
     word_chars = len(data) - blanks - int(tally[0x80:0xC0].sum())
@@ -96,7 +97,11 @@ def features(data: bytes) -> tuple[int, ...]:
     lowered = word_hashes(data.lower())
     at = np.minimum(np.searchsorted(_STOP, lowered), len(_STOP) - 1)
     n_stop = int((_STOP[at] == lowered).sum()) if len(lowered) else 0
-    return (len(words), word_chars, int((tally * _IS_SYMBOL).sum()), n_dup, n_repeat, max(1, n_lines), n_stop, int((tally * _IS_LETTER).sum()), int((tally * _IS_UPPER).sum()))
+    starts, ends = spans(codes)
+    letters = np.zeros(len(data) + 1, np.int64)
+    np.cumsum(_IS_LETTER[codes], out=letters[1:])
+    n_lettered = int((letters[ends] > letters[starts]).sum())
+    return (len(words), word_chars, int((tally * _IS_SYMBOL).sum()), n_dup, n_repeat, max(1, n_lines), n_stop, int((tally * _IS_LETTER).sum()), int((tally * _IS_UPPER).sum()), n_lettered)
 
 
 def repeated_words(words: np.ndarray, size: int) -> int:
@@ -115,24 +120,36 @@ def vote(rule: Rule) -> Column:
     return F.when(F.expr(rule.bad), -1).when(F.expr(rule.good), 1).otherwise(0).cast("int")
 
 
-def estimate(patterns: np.ndarray, counts: np.ndarray, prior: float = PRIOR) -> tuple[np.ndarray, float, np.ndarray]:
-    """Accuracies by rule, the share of good documents and the posterior of each pattern of votes.
+@dataclass(frozen=True)
+class Model:
+    """What each rule's good and bad votes add to the log odds that a document is good, and those odds before any vote."""
+
+    if_good: np.ndarray
+    if_bad: np.ndarray
+    odds: float
+
+    def posterior(self, patterns: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-(self.odds + (patterns == 1) @ self.if_good + (patterns == -1) @ self.if_bad)))
+
+
+def estimate(patterns: np.ndarray, counts: np.ndarray, prior: float = PRIOR) -> Model:
+    """Expectation-maximisation over how many documents (counts) have each pattern of votes.
 
-    A rule's votes are taken to be independent of the others' given the class and right with its
-    accuracy in either class; abstentions say nothing. With pseudo-counts the result is defined
-    for any votes, none included, and depends on the counts alone, not on the order of rows.
+    A rule that votes has one accuracy on good and one on bad documents, independent of the other rules
+    given the class; an abstention says nothing. No rule may count the wrong way: a bad vote never
+    raises the odds and a good one never lowers them. With pseudo-counts the result is defined for any
+    votes, none included, and it depends on the counts alone, not on the order of rows.
     """
-    good, bad = patterns == 1, patterns == -1
-    accuracy, share = np.full(patterns.shape[1], 0.8), GOOD_SHARE
-    posterior = np.full(len(patterns), share)
+    good, bad = (patterns == 1).astype(float), (patterns == -1).astype(float)
+    false_bad, true_bad, share = np.full(patterns.shape[1], BAD_IF_GOOD), np.full(patterns.shape[1], BAD_IF_BAD), GOOD_SHARE
     for _ in range(STEPS):
-        odds = np.log(share / (1 - share)) + (good.astype(float) - bad) @ np.log(accuracy / (1 - accuracy))
-        posterior = 1 / (1 + np.exp(-odds))
-        weight_good, weight_bad = counts * posterior, counts * (1 - posterior)
-        right = weight_good @ good + weight_bad @ bad + 0.8 * prior
-        accuracy = np.clip(right / (counts @ (good | bad) + prior), *ACCURACY)
-        share = float(np.clip((weight_good.sum() + GOOD_SHARE * prior) / (counts.sum() + prior), 0.05, 0.95))
-    return accuracy, share, posterior
+        model = Model(np.maximum(0, np.log((1 - false_bad) / (1 - true_bad))), np.minimum(0, np.log(false_bad / true_bad)), float(np.log(share / (1 - share))))
+        posterior = model.posterior(patterns)
+        in_good, in_bad = counts * posterior, counts * (1 - posterior)
+        false_bad = (in_good @ bad + prior * BAD_IF_GOOD) / (in_good @ (good + bad) + prior)
+        true_bad = (in_bad @ bad + prior * BAD_IF_BAD) / (in_bad @ (good + bad) + prior)
+        share = float(np.clip((in_good.sum() + GOOD_SHARE * prior) / (counts.sum() + prior), 0.05, 0.95))
+    return model
 
 
 def judge_quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, min_words: int = 50, max_repeat_percent: int = 50, min_posterior: float = 0.5) -> DataFrame:
@@ -154,10 +171,10 @@ def judge_quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, min_words: i
     counts = voted.groupBy(*[f"vote_{n}" for n in names]).agg(F.count("*").alias("n")).collect()
     patterns = np.array(sorted(tuple(r)[:-1] for r in counts), int).reshape(-1, len(rules))
     sizes = {tuple(r)[:-1]: r["n"] for r in counts}
-    accuracy, share, _ = estimate(patterns, np.array([sizes[tuple(p)] for p in patterns.tolist()], float).reshape(-1))
-    odds = F.lit(float(np.log(share / (1 - share))))
-    for name, a in zip(names, accuracy, strict=True):
-        odds = odds + F.col(f"vote_{name}") * float(np.log(a / (1 - a)))
+    model = estimate(patterns, np.array([sizes[tuple(p)] for p in patterns.tolist()], float).reshape(-1))
+    odds = F.lit(model.odds)
+    for name, up, down in zip(names, model.if_good.tolist(), model.if_bad.tolist(), strict=True):
+        odds = odds + F.when(F.col(f"vote_{name}") == 1, up).when(F.col(f"vote_{name}") == -1, down).otherwise(0.0)
     failed = F.expr(f"n_words < {int(min_words)} or 100 * n_repeat_words > {int(max_repeat_percent)} * n_words")
     judged = voted.withColumn("quality", 1 / (1 + F.exp(-odds))).withColumn("base_failed", failed)
     return judged.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= min_posterior))
