@@ -1 +1,56 @@
+"""Operators that Spark has no name for, composed of its own."""
 
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def asof_join(left: DataFrame, right: DataFrame, on: str, by: list[str], values: list[str]) -> DataFrame:
+    """left with the values of right's latest row at or before left's `on`, among equal `by`; nulls where there is none.
+
+    Both sides are put into one table and a window carries the last row of right forward, so
+    there is one shuffle by key and no pair is made. Of right rows at one time the one with the largest
+    values counts. Right must have no other columns than on, by and values. Left rows with a null key or a
+    null `on` find nothing.
+    """
+    rows = left.select(F.lit(1).alias("is_left"), F.col(on).alias("at"), *by, F.struct(*left.columns).alias("own"), F.lit(None).cast(right.select(F.struct(*values)).schema[0].dataType).alias("found"))
+    seen = right.filter(F.col(on).isNotNull()).select(F.lit(0).alias("is_left"), F.col(on).alias("at"), *by, F.lit(None).cast(rows.schema["own"].dataType).alias("own"), F.struct(*values).alias("found"))
+    upto = Window.partitionBy(*by).orderBy("at", "is_left", "found").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = rows.unionByName(seen).withColumn("last", F.last("found", ignorenulls=True).over(upto)).filter("is_left = 1")
+    known = F.col("at").isNotNull()
+    for key in by:
+        known = known & F.col(key).isNotNull()
+    return last.select(*[F.col("own").getField(c).alias(c) for c in left.columns], *[F.when(known, F.col("last").getField(c)).alias(c) for c in values])
+
+
+def interval_join(left: DataFrame, right: DataFrame, on: str, right_on: str, by: list[str], seconds: int) -> DataFrame:
+    """Pairs with equal `by` where right_on lies in the given seconds up to and with `on` (its start left out).
+
+    Time is cut into slots as long as the interval; a left row meets the right rows of its own slot and
+    the one before, so keys and slots are joined by equality and only neighbours are compared.
+    """
+
+    def slot(column: str) -> Column:
+        return F.floor(F.unix_micros(F.col(column).cast("timestamp")) / (seconds * 1_000_000)).cast("bigint")
+
+    ours = left.withColumn("slot", F.explode(F.array(slot(on), slot(on) - 1)))
+    theirs = right.withColumn("slot", slot(right_on))
+    length = F.expr(f"make_dt_interval(0, 0, 0, {int(seconds)})")
+    pairs = ours.join(theirs, [*by, "slot"])
+    return pairs.filter((F.col(right_on) <= F.col(on)) & (F.col(right_on) > F.col(on) - length)).drop("slot")
+
+
+def top_per_group(rows: DataFrame, by: list[str], order: list[Column], n: int) -> DataFrame:
+    """The first n rows of each group with their place from 1. Spark drops later rows before the shuffle (group limit)."""
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("place") <= n)
+
+
+def sessions(events: DataFrame, by: str, ts: str, gap: str) -> DataFrame:
+    """by, started, ended, n_events for each run of events of one key that are less than `gap` apart.
+
+    Built on session_window, which merges sessions within tasks before the shuffle, so a key with
+    very many events doesn't need them all in one task's memory.
+    """
+    found = events.groupBy(by, F.session_window(F.col(ts).cast("timestamp"), gap).alias("session")).agg(F.count("*").alias("n_events"), F.max(ts).alias("ended"))
+    return found.select(by, F.col("session.start").cast("timestamp_ntz").alias("started"), "ended", "n_events")

@@ -5,32 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from tarnlight.sources import table
-
-
-def nation_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Revenue and line count by nation of region ASIA for orders of 1996."""
-    orders = table(spark, sf_dir, "orders").filter("o_orderdate >= timestamp_ntz'1996-01-01' and o_orderdate < timestamp_ntz'1997-01-01'")
-    asian = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region").filter("r_name = 'ASIA'"), F.expr("n_regionkey = r_regionkey"), "left_semi")
-    buyers = table(spark, sf_dir, "customer").join(asian, F.expr("c_nationkey = n_nationkey")).select("c_custkey", "n_name")
-    lines = table(spark, sf_dir, "lineitem").join(orders.join(buyers, F.expr("o_custkey = c_custkey")).select("o_orderkey", "n_name"), F.expr("l_orderkey = o_orderkey"))
-    return lines.groupBy("n_name").agg(
-        F.round(F.sum(F.expr("cast(l_extendedprice * (1 - l_discount) as decimal(24, 6))")), 2).cast("double").alias("revenue"),
-        F.count("*").alias("n_lines"),
-    )
-
-
-QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
-    "nation_revenue": (
-        nation_revenue,
-        """select n_name, cast(round(sum(cast(l_extendedprice * (1 - l_discount) as decimal(24, 6))), 2) as double) as revenue, count(*) as n_lines
-        from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey
-        join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey
-        where r_name = 'ASIA' and o_orderdate >= timestamp '1996-01-01' and o_orderdate < timestamp '1997-01-01' group by n_name""",
-    ),
-}
+
+from tarnlight.plans import aggregates, joins, sets, windows
+
+QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = joins.QUERIES | aggregates.QUERIES | windows.QUERIES | sets.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
