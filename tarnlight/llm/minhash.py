@@ -20,16 +20,16 @@ from tarnlight.llm.word_hashes import mix, windows, word_hashes
 
 #: Bands of rows: texts of similarity 0.8 share none of 32 bands of 5 with a chance of 3 in a million, of 0.85 with 7 in a billion.
 BANDS, ROWS = 32, 5
-#: Samples that go into an odd sketch, and its bits.
-SAMPLES, BITS = 256, 1024
-#: A pair goes to the full check if its odd sketches allow a similarity this far below the threshold (over 4 standard deviations).
-MARGIN = 0.11
+#: Bins of the one-permutation samples (a power of two) that are folded into an odd sketch, and its bits.
+BINS, BITS = 4096, 2048
+#: Deviations by which a pair's odd sketches may miss the threshold and still go to the full check. The formula overstates them: these are 4.6 or more of the deviations measured at any set size.
+DEVIATIONS = 3.4
 CHUNK = 64
 BROADCAST_ROWS = 500_000
-_STEP = np.arange(1, SAMPLES + 1, dtype=np.uint64)
+_STEP = np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)
 _FACTORS = mix(_STEP * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _OFFSETS = mix(_STEP * np.uint64(0xC2B2AE3D27D4EB4F))
-_BAND_FACTORS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x165667B19E3779F9)).reshape(BANDS, ROWS) | np.uint64(1)
+_BAND_FACTORS = mix(_STEP * np.uint64(0x165667B19E3779F9)).reshape(BANDS, ROWS) | np.uint64(1)
 
 
 def shingle_set(data: bytes, words: int) -> np.ndarray:
@@ -40,55 +40,74 @@ def shingle_set(data: bytes, words: int) -> np.ndarray:
     return np.unique(windows(hashes, words))
 
 
-def min_samples(shingles: np.ndarray) -> np.ndarray:
-    """SAMPLES minima of the set under different hash functions, in blocks of bounded size."""
-    least = np.full(SAMPLES, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(shingles), 2048):
+def band_keys(shingles: np.ndarray) -> np.ndarray:
+    """A key for each band of MinHash values, each the set's minimum under a hash function of its own."""
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(shingles), 2048):  # blocks bound the memory
         np.minimum(least, (_FACTORS[:, None] * shingles[at : at + 2048] + _OFFSETS[:, None]).min(axis=1), out=least)
-    return least
+    folded = (least.reshape(BANDS, ROWS) * _BAND_FACTORS).sum(axis=1, dtype=np.uint64)
+    return mix(folded + np.arange(1, BANDS + 1, dtype=np.uint64)).view(np.int64)
 
 
-def band_keys(samples: np.ndarray) -> np.ndarray:
-    folded = (samples[: BANDS * ROWS].reshape(BANDS, ROWS) * _BAND_FACTORS).sum(axis=1, dtype=np.uint64)
-    return mix(folded + np.arange(1, BANDS + 1, dtype=np.uint64)).view(np.int64)
+def bin_samples(shingles: np.ndarray) -> np.ndarray:
+    """The least hash in each of BINS bins that has any: MinHash samples from one permutation, whose high bits are the bin."""
+    hashed = np.sort(mix(shingles + np.uint64(0x94D049BB133111EB)))
+    bins = hashed >> np.uint64(64 - BINS.bit_length() + 1)
+    first = np.ones(len(bins), bool)
+    first[1:] = bins[1:] != bins[:-1]
+    return hashed[first]
 
 
 def odd_sketch(samples: np.ndarray) -> np.ndarray:
     """The parities of how many samples fall on each of BITS bits, as 64-bit integers."""
-    bits = (mix(samples ^ _OFFSETS) % np.uint64(BITS)).astype(np.int64)
+    bits = (mix(samples) % np.uint64(BITS)).astype(np.int64)
     return np.packbits((np.bincount(bits, minlength=BITS) & 1).astype(np.uint8)).view(np.int64)
 
 
-def most_odd_bits(similarity: float) -> int:
-    """The expected population count of the XOR of two odd sketches at that similarity.
-
-    Of two sets of SAMPLES, 2 * SAMPLES * (1 - similarity) samples are in one alone.
-    """
-    apart = 2 * SAMPLES * (1 - similarity)
-    return math.ceil(BITS / 2 * (1 - math.exp(-2 * apart / BITS)))
-
-
 def sketch_batches(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "n_shingles", "s1", "s2", "bands", "odd"]
+    names = ["doc_id", "n_shingles", "s1", "s2", "n_samples", "bands", "odd"]
     for batch in batches:
-        sizes, digests, bands, odds = [], [], [], []
+        sizes, digests, counts, bands, odds = [], [], [], [], []
         for data in raw_texts(batch):
             shingles = shingle_set(data, words)
             sizes.append(len(shingles))
             digests.append(np.frombuffer(hashlib.blake2b(shingles.tobytes(), digest_size=16).digest(), np.int64))
-            samples = min_samples(shingles)
-            bands.append(band_keys(samples))
+            bands.append(band_keys(shingles))
+            samples = bin_samples(shingles)
+            counts.append(len(samples))
             odds.append(odd_sketch(samples))
         digest = np.array(digests, np.int64).reshape(-1, 2)
         lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * n), pa.array(np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64))) for x, n in ((bands, BANDS), (odds, BITS // 64))]
-        yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(sizes, pa.int64()), pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy()), *lists], names)
+        yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(sizes, pa.int64()), pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy()), pa.array(counts, pa.int32()), *lists], names)
 
 
 def _alike(percent: int) -> Column:
-    """True where neither the sizes nor the odd sketches of a pair rule out the similarity."""
-    small, large = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
-    apart = F.aggregate(F.zip_with("odd_a", "odd_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
-    return (small * 100 >= large * percent) & (apart <= most_odd_bits(percent / 100 - MARGIN))
+    """True where neither the sizes nor the odd sketches of a pair rule out the similarity.
+
+    At the threshold t, sets of n_a and n_b shingles have a union of u = (n_a + n_b) / (1 + t). Its M
+    filled bins follow from those of either set, and of M samples drawn from u about t * M are common. The
+    bound on the XOR's population count is what DEVIATIONS below that leaves, after
+    Mitzenmacher, Pagh and Pham: x differing samples leave B / 2 * (1 - exp(-2 x / B)) odd bits of B.
+    """
+    t = percent / 100
+    union = (F.col("n_a") + F.col("n_b")) / (1 + t)
+
+    def filled(side: str) -> Column:
+        new = F.greatest(union - F.col(f"n_{side}"), F.lit(0.0))
+        return F.col(f"k_{side}") + (BINS - F.col(f"k_{side}")) * (1 - F.exp(-new / BINS))
+
+    bins = (filled("a") + filled("b")) / 2
+    share = F.greatest("k_a", "k_b") / BINS
+    spread = t * (1 - t) * bins * F.greatest(1 - bins / union, F.lit(0.0)) + t * t * F.greatest(union - F.least("n_a", "n_b"), F.lit(0.0)) * share * (1 - share)
+    common = t * bins - 0.5
+    apart = F.greatest(F.col("k_a") + F.col("k_b") - 2 * common, F.lit(0.0))
+    faded = F.exp(-4 * apart / BITS)
+    noise = BITS / 4 * (1 - faded) - apart * faded  # the variance of the count
+    most = BITS / 2 * (1 - F.exp(-2 * apart / BITS)) + DEVIATIONS * F.sqrt(4 * spread * F.sqrt(faded) + F.greatest(noise, F.lit(0.0)))
+    odd = F.bit_count(F.get("odd_a", F.lit(0)).bitwiseXOR(F.get("odd_b", F.lit(0))))
+    for i in range(1, BITS // 64):
+        odd = odd + F.bit_count(F.get("odd_a", F.lit(i)).bitwiseXOR(F.get("odd_b", F.lit(i))))
+    return (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent) & (odd <= most)
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -114,33 +133,36 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     space = Workspace(spark, "near-duplicates")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketches = space.stage(
-        rows.mapInArrow(remote(__name__, "sketch_batches", words), "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>, odd array<long>"), "sketches"
+        rows.mapInArrow(remote(__name__, "sketch_batches", words), "doc_id long, n_shingles long, s1 long, s2 long, n_samples int, bands array<long>, odd array<long>"), "sketches"
     )
     sets = sketches.filter("n_shingles > 0 and doc_id is not null")
     classes = space.stage(sets.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep")), "classes")
     # a class's sketches come from its representative's row
-    named = sets.withColumnRenamed("doc_id", "rep").join(classes, ["s1", "s2", "rep"], "left_semi").dropDuplicates(["s1", "s2"])
-    bands = named.select("rep", F.explode("bands").alias("bucket"))
-    odd = sets.select(F.col("doc_id").alias("rep"), "s1", "s2", "n_shingles", "odd").join(classes, ["s1", "s2", "rep"], "left_semi").dropDuplicates(["rep"]).select("rep", "n_shingles", "odd")
+    named = sets.withColumnRenamed("doc_id", "rep").join(classes, ["s1", "s2", "rep"], "left_semi").dropDuplicates(["rep"])
+    bands = named.select("rep", F.posexplode("bands").alias("band", "bucket"))
+    marks = F.transform("bands", lambda x: F.shiftright(x, 32).cast("int")).alias("marks")
+    odd = named.select("rep", F.col("n_shingles").alias("n"), F.col("n_samples").alias("k"), "odd", marks)
     shared = bands.groupBy("bucket").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).filter("leader < last").select("bucket", "leader")
-    members = space.stage(bands.join(shared, "bucket").select("bucket", "leader", "rep"), "members")
+    members = space.stage(bands.join(shared, "bucket").select("bucket", "band", "leader", "rep"), "members")
 
     star = members.filter("rep > leader").groupBy("leader", "rep").agg(F.count("*").alias("n"))
     star = star.groupBy("rep").agg(F.max_by("leader", F.struct("n", -F.col("leader"))).alias("leader"))
-    a = odd.select(F.col("rep").alias("a"), F.col("n_shingles").alias("n_a"), F.col("odd").alias("odd_a"))
-    b = odd.select(F.col("rep").alias("b"), F.col("n_shingles").alias("n_b"), F.col("odd").alias("odd_b"))
-    pairs = star.select(F.col("leader").alias("a"), F.col("rep").alias("b")).join(a, "a").join(b, "b").filter(_alike(percent)).select("a", "b")
+    side = {x: odd.select(*[F.col(c).alias(f"{c}_{x}" if c != "rep" else x) for c in ("rep", "n", "k", "odd")]) for x in "ab"}
+    pairs = star.select(F.col("leader").alias("a"), F.col("rep").alias("b")).join(side["a"], "a").join(side["b"], "b").filter(_alike(percent)).select("a", "b")
     first = connected_components(space, verify(space, pairs, rows, words, percent))
     first = space.stage(first, "first")
 
-    held = members.select("bucket", "rep").join(first, F.col("rep") == F.col("node"), "left").select("bucket", "rep", F.coalesce("label", "rep").alias("part"))
+    held = members.select("bucket", "band", "rep").join(first, F.col("rep") == F.col("node"), "left").select("bucket", "band", "rep", F.coalesce("label", "rep").alias("part"))
     mixed = held.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high").select("bucket")
     held = space.stage(held.join(mixed, "bucket", "left_semi"), "mixed")
     main = held.groupBy("bucket", "part").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max_by("part", F.struct("n", "part")).alias("main"))
     held = held.join(main, "bucket").join(odd, "rep")
-    left = held.filter("part != main").select("bucket", F.col("rep").alias("a"), F.col("part").alias("part_a"), F.col("n_shingles").alias("n_a"), F.col("odd").alias("odd_a"))
-    right = held.select("bucket", F.col("rep").alias("b"), (F.col("part") == F.col("main")).alias("in_main"), F.col("part").alias("part_b"), F.col("n_shingles").alias("n_b"), F.col("odd").alias("odd_b"))
-    cross = left.join(right.withColumnRenamed("bucket", "in_bucket"), (F.col("bucket") == F.col("in_bucket")) & (F.col("part_a") != F.col("part_b")) & (F.col("in_main") | (F.col("a") < F.col("b"))) & _alike(percent))
+    left, right = (held.select(*[F.col(c).alias(f"{c}_{x}" if c != "rep" else x) for c in ("bucket", "band", "rep", "part", "n", "k", "odd", "marks", "main")]) for x in "ab")
+    left = left.filter("part_a != main_a")
+    # of the buckets that a pair shares, the first brings it
+    first_band = F.array_position(F.zip_with("marks_a", "marks_b", lambda x, y: x == y), True) == F.col("band_a") + 1
+    apart = (F.col("bucket_a") == F.col("bucket_b")) & (F.col("part_a") != F.col("part_b")) & ((F.col("part_b") == F.col("main_b")) | (F.col("a") < F.col("b")))
+    cross = left.join(right, apart & _alike(percent) & first_band)
     cross = cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     links = verify(space, cross, rows, words, percent)
     label = {x: first.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}")) for x in "ab"}
