@@ -47,7 +47,7 @@ def top_per_group(rows: DataFrame, by: list[str], order: list[Column], n: int) -
 
 
 def sessions(events: DataFrame, by: str, ts: str, gap: str) -> DataFrame:
-    """by, started, ended, n_events for each run of events of one key that are less than `gap` apart.
+    """by, started, ended, n_events for each run of events of one key that are at most `gap` apart.
 
     Built on session_window, which merges sessions within tasks before the shuffle, so a key with
     very many events doesn't need them all in one task's memory.

@@ -42,7 +42,7 @@ def order_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def user_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sessions of each user: events less than two hours apart."""
+    """Sessions of each user: events at most two hours apart."""
     found = sessions(table(spark, sf_dir, "events"), "user_id", "ts", "2 hours")
     return found.select("user_id", "started", "n_events")
 
@@ -68,7 +68,7 @@ QUERIES = {
     ),
     "user_sessions": (
         user_sessions,
-        """with g as (select user_id, ts, case when ts < lag(ts) over w + interval 2 hour then 0 else 1 end as starts from events window w as (partition by user_id order by ts)),
+        """with g as (select user_id, ts, case when ts <= lag(ts) over w + interval 2 hour then 0 else 1 end as starts from events window w as (partition by user_id order by ts)),
         s as (select user_id, ts, sum(starts) over (partition by user_id order by ts) as session_no from g)
         select user_id, min(ts) as started, count(*) as n_events from s group by user_id, session_no""",
     ),
