@@ -1,0 +1,338 @@
+"""The ten operators on small tables with every awkward case, against brute force."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+
+from tarnlight.llm import exact_dedup, line_dedup, minhash, mixing, packing, quality_rules, secret_scan, sharding, token_binary, token_counts
+
+VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_lines string, sequence_id string, size string"
+WORDS = "the of and lake river stone under quiet green road never always seven Éric naïve straße".split()
+
+
+def sentence(rng, n):
+    return " ".join(rng.choice(WORDS) + (f"{rng.randrange(400)}" if rng.random() < 0.5 else "") for _ in range(n))
+
+
+def awkward_rows():
+    """Nulls in every column, empty and very long texts, ties, repeated rows, extra columns with clashing names."""
+    rng = random.Random(7)
+    texts = [sentence(rng, rng.randint(1, 90)) + "\n" + sentence(rng, 12) for _ in range(60)]
+    texts += [f"  Shared LINE of all \n{t}\n" for t in texts[:15]] + [f"\tshared line of ALL\x0b\n\n{t}" for t in texts[15:20]]
+    texts += [None, "", " ", "\n\n", "a", "\x1c x\x85", "x" * 30_000, sentence(rng, 9000), "<|endoftext|> token=abcd1234efgh", texts[0], texts[0], "日本語 テスト" * 30]
+    base = texts[3].split(" ")
+    texts += [" ".join([*base[:i], "changed", *base[i + 1 :]]) for i in range(0, min(6, len(base)))]
+    rows = [(i, t, [None, "en", "de"][i % 3], [None, "s1", "s2", "s3"][i % 4], None if i % 5 else 1, "x", "y", "z") for i, t in enumerate(texts)]
+    return [*rows, rows[2], rows[2], (None, "no id here", None, None, None, None, None, None), (None, None, None, None, None, None, None, None), (-5, texts[1], "en", "s1", 0, None, None, None)]
+
+
+ROWS = awkward_rows()
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(ROWS, SCHEMA).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def test_line_dedup(docs, empty):
+    def key(line):
+        return "".join(c.lower() if "A" <= c <= "Z" else c for c in line.strip(" \t\n\x0b\x0c\r"))
+
+    lines = [(r[1] or "").split("\n") for r in ROWS]
+    found = Counter(k for own in lines for k in {key(x) for x in own} if k)
+    expect = Counter()
+    for row, own in zip(ROWS, lines, strict=True):
+        kept = [x for x in own if found[key(x)] < 10]
+        expect[(row[0], len(own), len(own) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest())] += 1
+    assert max(found.values()) >= 10
+    for options in ({}, {"batches": 7, "fanout": 3}, {"broadcast_rows": 0}):
+        out = line_dedup.line_dedup(docs, **options)
+        assert set(out.columns) == {*docs.columns, "n_dropped"}
+        got = Counter((r.doc_id, r.n_lines, r.n_dropped, hashlib.sha256((r.text or "").encode()).hexdigest()) for r in out.collect())
+        assert got == expect
+    assert line_dedup.line_dedup(empty).count() == 0
+
+
+def test_packing(docs, empty):
+    library = Tokenizer.from_file(VOCABULARY)
+    expect = Counter()
+    for row in ROWS:
+        ids = [*library.encode(row[1] or "", add_special_tokens=False).ids, 1]
+        expect[(row[0], np.array(ids, "<u4").tobytes())] += 1
+    out = [r.asDict() for r in packing.pack_documents(docs, VOCABULARY, capacity=64, group_size=50).collect()]
+    crc = Counter()
+    for (doc_id, ids), n in expect.items():
+        for start in range(0, len(ids), 256):
+            crc[(doc_id, start // 4, len(ids[start : start + 256]) // 4, zlib.crc32(ids[start : start + 256]), len(ids) // 4)] += n
+    assert Counter((r["doc_id"], r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]) for r in out) == crc
+    sequences = defaultdict(list)
+    for r in out:
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+    for parts in sequences.values():
+        end = 0
+        for offset, length in sorted(parts):
+            assert offset == end
+            end += length
+        assert end <= 64
+    assert packing.pack_documents(empty, VOCABULARY).count() == 0
+
+
+def test_first_fit_decreasing_is_first_fit():
+    rng = random.Random(1)
+    sizes = [rng.randint(1, 100) for _ in range(500)]
+    bins: list[int] = []
+    expect = {}
+    for i in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
+        for b, used in enumerate(bins):
+            if used + sizes[i] <= 100:
+                break
+        else:
+            b = len(bins)
+            bins.append(0)
+        expect[i] = (b, bins[b])
+        bins[b] += sizes[i]
+    assert dict(enumerate(packing.first_fit_decreasing(sizes, 100))) == expect
+
+
+def test_best_fit_decreasing_is_best_fit():
+    rng = random.Random(2)
+    sizes = [rng.randint(1, 64) for _ in range(400)]
+    packed = token_binary.best_fit_decreasing(sizes, 64)
+    assert sorted(i for b in packed for i in b) == list(range(400)) and all(sum(sizes[i] for i in b) <= 64 for b in packed)
+    rooms: list[int] = []
+    for s in sorted(sizes, reverse=True):
+        fits = [r for r in rooms if r >= s]
+        if fits:
+            rooms.remove(min(fits))
+            rooms.append(min(fits) - s)
+        else:
+            rooms.append(64 - s)
+    assert sorted(rooms) == sorted(64 - sum(sizes[i] for i in b) for b in packed)
+
+
+def test_token_matrices_round_trip(docs, empty):
+    library = Tokenizer.from_file(VOCABULARY)
+    pieces = defaultdict(list)
+    for r in token_binary.token_matrices(docs, VOCABULARY, capacity=128, group_bytes=20_000).collect():
+        ids, place = np.frombuffer(r.ids, f"<u{r.id_bytes}"), np.frombuffer(r.positions, "<u2")
+        assert len(ids) == len(place) == 128 and r.cu_seqlens[0] == 0 and r.cu_seqlens[-1] == r.n_tokens <= 128 and not ids[r.n_tokens :].any()
+        for i, (doc_id, start) in enumerate(zip(r.doc_ids, r.starts, strict=True)):
+            at, end = r.cu_seqlens[i], r.cu_seqlens[i + 1]
+            assert place[at:end].tolist() == list(range(end - at))
+            pieces[doc_id].append((start, ids[at:end].tolist()))
+    for doc_id in {r[0] for r in ROWS}:
+        own = [[*library.encode(r[1] or "", add_special_tokens=False).ids, 1] for r in ROWS if r[0] == doc_id]
+        assert Counter((s, *p) for s, p in pieces[doc_id]) == Counter((s, *ids[s : s + 128]) for ids in own for s in range(0, len(ids), 128))
+    assert token_binary.token_matrices(empty, VOCABULARY).count() == 0
+
+
+def brute_components(rows, words, percent):
+    sets = []
+    for row in rows:
+        w = re.findall(rb"[^\x20\x09-\x0D]+", (row[1] or "").encode().lower())
+        sets.append({tuple(w[i : i + words]) for i in range(len(w) - words + 1)} if len(w) >= words else {tuple(w)} if w else set())
+    label = {r[0]: r[0] for r in rows if r[0] is not None}
+    pairs = [(a, b) for a in range(len(rows)) for b in range(a) if rows[a][0] is not None and rows[b][0] is not None and sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
+    while True:
+        before = dict(label)
+        for a, b in pairs:
+            label[rows[a][0]] = label[rows[b][0]] = min(label[rows[a][0]], label[rows[b][0]])
+        if label == before:
+            return sets, label
+
+
+@pytest.mark.parametrize(("words", "percent"), [(3, 85), (5, 80)])
+def test_near_duplicates(spark, docs, empty, words, percent):
+    sets, label = brute_components(ROWS, words, percent)
+    expect = Counter((r[0], len(s), label.get(r[0]), r[0] == label.get(r[0])) for r, s in zip(ROWS, sets, strict=True))
+    assert Counter(map(tuple, minhash.near_duplicates(docs, words, percent).collect())) == expect
+    assert minhash.near_duplicates(empty, words, percent).count() == 0
+
+
+def test_near_duplicates_in_chains_and_crowds(spark):
+    """Texts that differ a little more with each step, and a crowd around one text: links at all similarities about the threshold."""
+    rng = random.Random(3)
+    rows, doc = [], sentence(rng, 120).split()
+    for i in range(60):
+        doc = [*doc]
+        for _ in range(rng.randint(1, 4)):
+            doc[rng.randrange(len(doc))] = f"w{rng.randrange(10**6)}"
+        rows.append((100 - i, " ".join(doc)))
+    base = sentence(rng, 80).split()
+    for i in range(120):
+        copy = [*base]
+        for _ in range(rng.randint(0, 5)):
+            copy[rng.randrange(len(copy))] = f"v{rng.randrange(10**6)}"
+        rows.append((1000 + i, " ".join(copy)))
+    sets, label = brute_components(rows, 3, 85)
+    out = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85)
+    assert {r.doc_id: r.component_id for r in out.collect()} == label
+    assert 5 < len(set(label.values())) < 170
+
+
+def test_exact_dedup(docs, empty):
+    groups = defaultdict(list)
+    for r in ROWS:
+        groups[r[1] or ""].append(r[0])
+    expect = Counter()
+    for r in ROWS:
+        ids = [x for x in groups[r[1] or ""] if x is not None]
+        keep = max(ids) if ids else None
+        expect[(r[0], keep, len(groups[r[1] or ""]), r[0] == keep, hashlib.sha256((r[1] or "").encode()).hexdigest())] += 1
+    assert Counter(map(tuple, exact_dedup.exact_dedup(docs).collect())) == expect
+    assert exact_dedup.exact_dedup(empty).count() == 0
+
+
+def test_exact_dedup_settles_a_hot_group_by_broadcast(spark):
+    rows = spark.range(3000).selectExpr("id as doc_id", "if(id % 3 = 0, 'hot', concat('t', id)) as text")
+    out = exact_dedup.exact_dedup(rows)
+    assert out.filter("group_size = 1000 and keep_id = 2997").count() == 1000 and out.filter("group_size = 1 and kept").count() == 2000
+    marks = exact_dedup.heavy_candidates(rows.selectExpr("unhex(sha2(text, 256)) as digest"))
+    assert 1 <= marks.count() <= exact_dedup.TRACKED
+
+
+def test_kd_shards(spark, docs, empty):
+    out = sharding.kd_shards(docs, 5).collect()
+    assert Counter((r.doc_id, r.size, r.text_crc32) for r in out) == Counter((r[0], len((r[1] or "").encode()) + 8, zlib.crc32((r[1] or "").encode())) for r in ROWS)
+    assert {r.law for r in out} == {"bytes"} and {r.shard for r in out} <= set(range(5)) and {r.grown_shard for r in out} == {None}
+    slots = defaultdict(list)
+    for r in out:
+        slots[r.shard].append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert sharding.kd_shards(empty, 5).count() == 0
+
+
+def test_kd_shards_are_even_and_keep_groups(spark):
+    rows = spark.range(20_000).selectExpr("id as doc_id", "repeat('ab ', cast(5 + id % 97 as int)) || (id % 15000) as text", "if(id % 3 = 0, 'hot', concat('s', id % 11)) as source", "'en' as lang")
+    out = sharding.kd_shards(rows, 24)
+    sizes = [r["size"] for r in out.groupBy("shard").sum("size").withColumnRenamed("sum(size)", "size").collect()]
+    assert len(sizes) == 24 and max(sizes) <= 1.03 * min(sizes)
+    assert out.groupBy("text_crc32", "size").agg({"shard": "max", "slot": "count"}).count() == out.select("text_crc32", "size", "shard").distinct().count()
+
+
+def test_quality_features_and_verdicts(docs, empty):
+    out = quality_rules.judge_quality(docs).collect()
+    expect = Counter()
+    for r in ROWS:
+        text = r[1] or ""
+        words = re.findall("[^\x20\x09-\x0d]+", text)
+        grams = Counter(tuple(words[i : i + 3]) for i in range(len(words) - 2))
+        covered = {j for i in range(len(words) - 2) if grams[tuple(words[i : i + 3])] > 1 for j in (i, i + 1, i + 2)}
+        seen, dup = set(), 0
+        for line in text.split("\n"):
+            if line.strip(" \t\n\x0b\x0c\r"):
+                dup += line in seen
+                seen.add(line)
+        failed = len(words) < 50 or 100 * len(covered) > 50 * len(words)
+        expect[(r[0], len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), dup, len(covered), failed)] += 1
+    assert Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in out) == expect
+    assert all(0 <= r.quality <= 1 and r.kept == (not r.base_failed and r.quality >= 0.5) for r in out)
+    assert quality_rules.judge_quality(empty).count() == 0
+
+
+def test_quality_model_finds_what_rules_agree_on():
+    rng = np.random.default_rng(4)
+    good = rng.random(20_000) < 0.8
+    bad_if_good, bad_if_bad = np.array([0.01, 0.03, 0.02, 0.3]), np.array([0.7, 0.5, 0.6, 0.3])
+    votes = np.where(rng.random((20_000, 4)) < np.where(good[:, None], bad_if_good, bad_if_bad), -1, 1)
+    patterns, of, counts = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
+    model = quality_rules.estimate(patterns, counts.astype(float))
+    assert ((model.posterior(patterns)[of.ravel()] >= 0.5) == good).mean() > 0.93
+    assert abs(model.if_bad[3]) < 0.5 < abs(model.if_bad[0])  # a rule that knows nothing counts for little
+    nothing = quality_rules.estimate(np.zeros((1, 4), int), np.zeros(1))
+    assert 0.5 < nothing.posterior(np.zeros((1, 4), int))[0] < 1
+
+
+def test_pareto_mix(spark, docs, empty):
+    out = mixing.pareto_mix(docs).collect()
+    assert len(out) == len(ROWS) and all(0 <= r.copies <= 3 for r in out)
+    assert Counter((r.doc_id, r.size) for r in out) == Counter((r[0], len(re.findall("[^\x20\x09-\x0d]+", r[1] or ""))) for r in ROWS)
+    assert mixing.pareto_mix(empty).count() == 0
+    rows = spark.range(9000).selectExpr("id as doc_id", "repeat('w ', cast(1 + id * 7919 % 50 as int)) as text", "case when id % 3 = 0 then 'a' when id % 7 = 0 then 'b' when id % 11 = 0 then null else 'c' end as source")
+    mixed = mixing.pareto_mix(rows, bucket_rows=100).selectExpr("*", "copies * size as taken").cache()
+    again = mixing.pareto_mix(rows.repartition(7), bucket_rows=100, broadcast_rows=0)
+    assert {r.doc_id: r.copies for r in mixed.collect()} == {r.doc_id: r.copies for r in again.collect()}
+    for r in mixed.groupBy("source").agg({"taken": "sum", "target": "max", "source_size": "max"}).collect():
+        assert abs(r["sum(taken)"] - r["max(target)"]) <= 25
+        assert r["max(target)"] <= 3 * r["max(source_size)"] + 1e-6
+
+
+def test_targets_are_capped_and_shared_again(spark):
+    sizes = [("a", 100), ("b", 10), ("c", 1000), (None, 5), ("d", 0)]
+    got = {r.source: r.target for r in mixing.source_targets(spark.createDataFrame(sizes, "source string, source_size long")).collect()}
+    weights, caps = {"a": 1.0, "b": 2.0, "c": 3.0, "d": 1.0, None: 2.0}, {s: 3.0 * n for s, n in sizes}
+    open_, expect, left = set(caps), {}, float(sum(n for _, n in sizes))
+    while True:
+        level = left / sum(weights[s] for s in open_)
+        full = {s for s in open_ if level * weights[s] > caps[s]}
+        if not full:
+            break
+        expect |= {s: caps[s] for s in full}
+        left -= sum(caps[s] for s in full)
+        open_ -= full
+    expect |= {s: level * weights[s] for s in open_}
+    assert {s: round(t, 6) for s, t in got.items()} == {s: round(t, 6) for s, t in expect.items()}
+
+
+def test_token_counts(docs, empty):
+    library = Tokenizer.from_file(VOCABULARY)
+    expect = Counter((r[0], len((r[1] or "").encode()), n := len(library.encode(r[1] or "", add_special_tokens=False).ids), n > 2048) for r in ROWS)
+    assert Counter(map(tuple, token_counts.token_counts(docs, VOCABULARY).collect())) == expect
+    assert token_counts.token_counts(empty, VOCABULARY).count() == 0
+
+
+def test_merging_equals_the_library_on_odd_characters():
+    from tarnlight.llm.byte_pairs import Counter as Tokens
+    from tarnlight.llm.byte_pairs import Encoder
+
+    tokens, encoder = Tokens(VOCABULARY), Encoder(VOCABULARY)
+    library, rng = Tokenizer.from_file(VOCABULARY), random.Random(5)
+    pool = [chr(i) for i in [*range(1, 0x3000), *range(0x1F300, 0x1F600)]]
+    texts = ["".join(rng.choice(pool if rng.random() < 0.3 else pool[:0x180]) if rng.random() < 0.6 else rng.choice(" '\nsta") for _ in range(rng.randint(0, 40))) for _ in range(1500)]
+    for text in [*texts, "<|endoftext|><|startoftext|>a", "İstanbul ΣΑΣ", "it's we'll 'sample", "a\x1cb\x85c"]:
+        ids = library.encode(text, add_special_tokens=False).ids
+        assert tokens.count(text) == len(ids) and encoder.encode(text).tolist() == ids, ascii(text)
+
+
+SECRETS = [
+    ('x password = "hunter2hunter2" y', ["assign:2:28"]),
+    ("token=short", []),
+    ("API-KEY: nope123456 api_key:abcdefgh-1", ["assign:20:38"]),
+    ("tOKen=token=token='abcdefghij'", ["assign:0:18"]),
+    ("token=ab=token: 'abcdefghij'", ["assign:0:14"]),
+    ("token=ab token: 'abcdefghij'", ["assign:9:27"]),
+    ("é AKIAABCDEFGHIJKL AKIASHORT", ["access:2:18"]),
+    ("sum 0123456789abcdef0123456789abcdef0", ["hex:4:37"]),
+    ("run Zq8xV3mK9pLw2RtY7bNc4HsJ6dFg end", ["random:4:32"]),
+    ("id 123e4567-e89b-12d3-a456-426614174000 and getUserAccountByIdentifier2 ok", []),
+    ("digest 9E107D9D372BB6826BD81D3542A419D6 only", []),
+]
+
+
+@pytest.mark.parametrize(("text", "spans"), SECRETS)
+def test_secret_spans(text, spans):
+    base = secret_scan.base_spans(text)
+    more = secret_scan.random_spans(text, base, secret_scan.ranks(RANKS), secret_scan.MAX_RATIO)
+    assert secret_scan.written(sorted(base + more)) == ",".join(spans)
+
+
+def test_secret_scan_rows(docs, empty):
+    out = secret_scan.secret_scan(docs, RANKS).collect()
+    assert Counter(r.doc_id for r in out) == Counter(r[0] for r in ROWS)
+    assert all(r.base_sha256 == hashlib.sha256(",".join(s for s in r.spans.split(",") if not s.startswith("random")).encode()).hexdigest() for r in out)
+    assert sum(r.n_assign for r in out) == 1
+    assert secret_scan.secret_scan(empty, RANKS).count() == 0
