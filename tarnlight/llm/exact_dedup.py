@@ -21,7 +21,8 @@ def heavy_candidates(digests: DataFrame, tracked: int = TRACKED) -> DataFrame:
     marks = digests.select(F.xxhash64("digest").alias("mark"), F.spark_partition_id().alias("part"))
     parts = marks.groupBy("part").agg(F.expr(f"approx_top_k_accumulate(mark, {tracked})").alias("summary"))
     some = parts.groupBy((F.col("part") % FAN).alias("part")).agg(F.expr(f"approx_top_k_combine(summary, {tracked})").alias("summary"))
-    whole = some.agg(F.expr(f"approx_top_k_combine(summary, {tracked})").alias("summary"))
+    # by a key of one value: an aggregate without a key would also serialise the empty summaries of tasks without rows
+    whole = some.groupBy((F.col("part") % 1).alias("part")).agg(F.expr(f"approx_top_k_combine(summary, {tracked})").alias("summary"))
     top = whole.select(F.explode(F.expr(f"approx_top_k_estimate(summary, {tracked})")).alias("top"))
     return top.select(F.col("top.item").alias("mark")).filter("mark is not null")
 
