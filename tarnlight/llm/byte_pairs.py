@@ -112,16 +112,24 @@ class Merger:
 
 
 class Cache(dict):
-    """What each word becomes, made when first asked for; emptied when it has too many words."""
+    """What each word becomes, made when first asked for.
+
+    Two generations of bounded size: when the young one is full it becomes the old one, from which words that
+    are asked for again return. So frequent words stay and those seen once go.
+    """
 
     def __init__(self, make: Callable[[str], object]):
         super().__init__()
         self.make = make
+        self.old: dict = {}
 
     def __missing__(self, word: str):
-        made = self.make(word)
+        made = self.old.get(word)
+        if made is None:
+            made = self.make(word)
         if len(word) <= CACHED_LENGTH:
             if len(self) >= CACHED_WORDS:
+                self.old = dict(self)
                 self.clear()
             self[word] = made
         return made
