@@ -8,11 +8,11 @@ import pyarrow as pa
 from pyspark.sql import SparkSession
 
 BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
-BATCH_BYTES = 32 << 20
+BATCH_BYTES = 8 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Let no Arrow batch grow far beyond 32 MB, whatever the texts' lengths; keep a smaller bound."""
+    """Let no Arrow batch grow far beyond 8 MB, whatever the texts' lengths; keep a smaller bound."""
     number = spark.conf.get(BATCH_SETTING).lower().rstrip("b")
     if not number.isdigit() or int(number) > BATCH_BYTES:
         spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import json
 import re
+import sys
+from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
@@ -54,7 +56,9 @@ class Vocabulary:
         self._alphabet = byte_alphabet()
 
     def symbols(self, word: str) -> str:
-        """The word in the byte alphabet."""
+        """The word in the byte alphabet, in which printable ASCII stands for itself."""
+        if word.isascii() and word.isprintable() and " " not in word:
+            return word
         return "".join(map(self._alphabet.__getitem__, word.encode()))
 
     def is_common(self, text: str) -> bool:
@@ -156,15 +160,22 @@ class Encoder:
 
     def __init__(self, path: str):
         self.vocabulary = Vocabulary(path)
-        self._common = Cache(self._encode)
+        self._common = Cache(self._encode_word)
 
-    def _encode(self, text: str) -> bytes:
-        return np.array(self.vocabulary.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    def _encode_word(self, word: str) -> bytes:
+        return _packed([token.id for token in self.vocabulary.library.model.tokenize(self.vocabulary.symbols(word))])
 
-    def encode(self, text: str) -> np.ndarray:
+    def encode_bytes(self, text: str) -> bytes:
         if self.vocabulary.is_common(text):
-            return np.frombuffer(b"".join(map(self._common.__getitem__, self.vocabulary.common_words(text))), "<u4")
-        return np.frombuffer(self._encode(text), "<u4")
+            return b"".join(map(self._common.__getitem__, self.vocabulary.common_words(text)))
+        return _packed(self.vocabulary.library.encode(text, add_special_tokens=False).ids)
+
+    def encode(self, text: str) -> np.ndarray:
+        return np.frombuffer(self.encode_bytes(text), "<u4")
+
+
+def _packed(ids: list[int]) -> bytes:
+    return array("I", ids).tobytes() if sys.byteorder == "little" else np.array(ids, "<u4").tobytes()
 
 
 @lru_cache(maxsize=2)

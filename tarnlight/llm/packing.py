@@ -85,13 +85,17 @@ def cut_batches(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end
     tokens = encoder(path)
     tail = b"" if end_id is None else int(end_id).to_bytes(4, "little")
     for batch in batches:
-        rows: list[tuple] = []
+        columns: list[list[int | None]] = [[] for _ in names]
+        doc_ids, starts, lengths, crcs, totals = columns
         for doc_id, text in zip(column(batch, "doc_id").to_pylist(), texts(batch), strict=True):
-            ids = tokens.encode(text).tobytes() + tail
+            ids = tokens.encode_bytes(text) + tail
             for start in range(0, len(ids), 4 * capacity):
                 piece = ids[start : start + 4 * capacity]
-                rows.append((doc_id, start // 4, len(piece) // 4, zlib.crc32(piece), len(ids) // 4))
-        columns = zip(*rows, strict=True) if rows else [[]] * 5
+                doc_ids.append(doc_id)
+                starts.append(start // 4)
+                lengths.append(len(piece) // 4)
+                crcs.append(zlib.crc32(piece))
+                totals.append(len(ids) // 4)
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
 
 
