@@ -7,10 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnlight.llm.line_dedup import line_dedup
-from tarnlight.llm.minhash import near_duplicates
+from tarnlight.llm.minhash import drop_near_duplicates
 from tarnlight.llm.mixing import pareto_mix
 from tarnlight.llm.packing import pack_documents
-from tarnlight.llm.quality_rules import judge_quality
+from tarnlight.llm.quality_rules import keep_quality
 from tarnlight.llm.staging import Workspace
 
 TOKENIZER = "word_bpe_49k.json"
@@ -24,19 +24,17 @@ def _documents(docs: DataFrame) -> DataFrame:
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
-    kept = judge_quality(docs).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    return keep_quality(docs).select(*COLUMNS)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of 10 documents or more go, and with them documents of which nothing but blanks stays."""
-    return _documents(line_dedup(docs)).filter(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    """Lines that stand in 10 documents or more go; a document of which nothing stays keeps its row, with an empty text."""
+    return _documents(line_dedup(docs))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays: that with the smallest doc_id."""
-    kept = near_duplicates(docs).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    return drop_near_duplicates(docs).select(*COLUMNS)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tarnlight.llm.batches import bound_batches, column, raw_texts
 from tarnlight.llm.components import connected_components
 from tarnlight.llm.shipping import remote
-from tarnlight.llm.staging import Workspace, broadcast_below
+from tarnlight.llm.staging import Workspace, broadcast_below, text_mark, without
 from tarnlight.llm.word_hashes import mix, windows, word_hashes
 
 #: Bands of rows: texts of similarity 0.8 share none of 32 bands of 5 with a chance of 3 in a million, of 0.85 with 7 in a billion.
@@ -65,7 +65,7 @@ def odd_sketch(samples: np.ndarray) -> np.ndarray:
 
 
 def sketch_batches(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "n_shingles", "s1", "s2", "n_samples", "bands", "odd"]
+    names = ["doc_id", "text_mark", "n_shingles", "s1", "s2", "n_samples", "bands", "odd"]
     for batch in batches:
         sizes, digests, counts, bands, odds = [], [], [], [], []
         for data in raw_texts(batch):
@@ -78,7 +78,7 @@ def sketch_batches(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa
             odds.append(odd_sketch(samples))
         digest = np.array(digests, np.int64).reshape(-1, 2)
         lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * n), pa.array(np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64))) for x, n in ((bands, BANDS), (odds, BITS // 64))]
-        yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(sizes, pa.int64()), pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy()), pa.array(counts, pa.int32()), *lists], names)
+        yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "text_mark"), pa.array(sizes, pa.int64()), pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy()), pa.array(counts, pa.int32()), *lists], names)
 
 
 def _alike(percent: int) -> Column:
@@ -128,12 +128,33 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     candidates. So no link between different components is lost to a limit on a bucket, and no bucket that is one
     component costs pairs.
     """
+    return _judged(docs, words, percent).drop("text_mark")
+
+
+def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs that near_duplicates keeps, with all their columns: one document of each group.
+
+    Of rows that repeat both doc_id and text one stays; rows without a doc_id all stay.
+    """
+    space = Workspace(docs.sparkSession, "near-duplicates")
+    judged = space.stage(_judged(docs.select("doc_id", "text"), words, percent).select("doc_id", "text_mark", "kept"), "judged")
+    kept = without(docs, judged.filter("not kept"))
+    repeated = space.stage(judged.filter("kept and doc_id is not null").groupBy("doc_id", "text_mark").agg(F.count("*").alias("n")).filter("n > 1"), "repeated")
+    if repeated.isEmpty():
+        return kept
+    once = kept.withColumn("_mark", text_mark(F.col("text")))
+    some = repeated.select("doc_id", F.col("text_mark").alias("_mark"))
+    own = once.join(some, ["doc_id", "_mark"], "left_semi").dropDuplicates(["doc_id", "_mark"])
+    return once.join(some, ["doc_id", "_mark"], "left_anti").unionByName(own).select(*docs.columns)
+
+
+def _judged(docs: DataFrame, words: int, percent: int) -> DataFrame:
     spark = docs.sparkSession
     bound_batches(spark)
     space = Workspace(spark, "near-duplicates")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketches = space.stage(
-        rows.mapInArrow(remote(__name__, "sketch_batches", words), "doc_id long, n_shingles long, s1 long, s2 long, n_samples int, bands array<long>, odd array<long>"), "sketches"
+        rows.withColumn("text_mark", text_mark(F.col("text"))).mapInArrow(remote(__name__, "sketch_batches", words), "doc_id long, text_mark long, n_shingles long, s1 long, s2 long, n_samples int, bands array<long>, odd array<long>"), "sketches"
     )
     sets = sketches.filter("n_shingles > 0 and doc_id is not null")
     classes = space.stage(sets.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep")), "classes")
@@ -154,7 +175,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
     held = members.select("bucket", "band", "rep").join(first, F.col("rep") == F.col("node"), "left").select("bucket", "band", "rep", F.coalesce("label", "rep").alias("part"))
     mixed = held.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high").select("bucket")
-    held = space.stage(held.join(mixed, "bucket", "left_semi"), "mixed")
+    held = mixed = space.stage(held.join(mixed, "bucket", "left_semi"), "mixed")
     main = held.groupBy("bucket", "part").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max_by("part", F.struct("n", "part")).alias("main"))
     held = held.join(main, "bucket").join(odd, "rep")
     left, right = (held.select(*[F.col(c).alias(f"{c}_{x}" if c != "rep" else x) for c in ("bucket", "band", "rep", "part", "n", "k", "odd", "marks", "main")]) for x in "ab")
@@ -165,6 +186,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     cross = left.join(right, apart & _alike(percent) & first_band)
     cross = cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     links = verify(space, cross, rows, words, percent)
+    space.drop(members, mixed)
     label = {x: first.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}")) for x in "ab"}
     links = links.join(label["a"], "a", "left").join(label["b"], "b", "left")
     second = connected_components(space, links.select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b")))
@@ -172,8 +194,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     labels = classes.join(first, F.col("rep") == F.col("node"), "left").withColumn("first_label", F.coalesce("label", "rep"))
     labels = labels.join(second, "first_label", "left").select("s1", "s2", F.coalesce("last_label", "first_label").alias("component_id"))
 
-    out = sketches.select("doc_id", "n_shingles", "s1", "s2").join(labels, ["s1", "s2"], "left")
-    out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))).alias("component_id"))
+    out = sketches.select("doc_id", "text_mark", "n_shingles", "s1", "s2").join(labels, ["s1", "s2"], "left")
+    out = out.select("doc_id", "text_mark", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
@@ -190,7 +212,9 @@ def verify(space: Workspace, pairs: DataFrame, rows: DataFrame, words: int, perc
     needed = dealt.select("a", "chunk", F.col("b").alias("id")).unionByName(dealt.select("a", "chunk", F.col("a").alias("id")).distinct())
     needed = space.stage(needed, "needed")
     texts = rows.join(broadcast_below(needed, needed.count(), BROADCAST_ROWS), F.col("doc_id") == F.col("id")).select("a", "chunk", "id", "text")
-    return space.stage(texts.groupBy("a", "chunk").applyInPandas(remote(__name__, "check_chunk", words, percent), "a long, b long"), "links")
+    links = space.stage(texts.groupBy("a", "chunk").applyInPandas(remote(__name__, "check_chunk", words, percent), "a long, b long"), "links")
+    space.drop(pairs, needed)
+    return links
 
 
 def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:

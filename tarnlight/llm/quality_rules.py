@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tarnlight.llm.batches import bound_batches, column, raw_texts
 from tarnlight.llm.shipping import remote
-from tarnlight.llm.staging import Workspace
+from tarnlight.llm.staging import Workspace, text_mark, without
 from tarnlight.llm.word_hashes import _BLANK, spans, windows, word_hashes
 
 #: Frequent short words of English, German, French and Spanish, in lower case.
@@ -59,16 +59,16 @@ STEPS = 50
 
 
 def base_features(docs: DataFrame) -> DataFrame:
-    """doc_id and FEATURES for every row of docs(doc_id, text); a null text has no words and one line."""
+    """doc_id, text_mark and FEATURES for every row of docs(doc_id, text); a null text has no words and one line."""
     bound_batches(docs.sparkSession)
-    schema = "doc_id long, " + ", ".join(f"{f} long" for f in FEATURES)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(remote(__name__, "feature_batches"), schema)
+    schema = "doc_id long, text_mark long, " + ", ".join(f"{f} long" for f in FEATURES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_mark(F.col("text")).alias("text_mark")).mapInArrow(remote(__name__, "feature_batches"), schema)
 
 
 def feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = np.array([features(text) for text in raw_texts(batch)], np.int64).reshape(-1, len(FEATURES))
-        yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), *(pa.array(c) for c in rows.T.copy())], ["doc_id", *FEATURES])
+        yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "text_mark"), *(pa.array(c) for c in rows.T.copy())], ["doc_id", "text_mark", *FEATURES])
 
 
 _IS_SYMBOL, _IS_LETTER, _IS_UPPER = np.zeros(256, np.int64), np.zeros(256, np.int64), np.zeros(256, np.int64)
@@ -153,7 +153,7 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, prior: float = PRIOR) ->
 
 
 def judge_quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, min_words: int = 50, max_repeat_percent: int = 50, min_posterior: float = 0.5) -> DataFrame:
-    """doc_id, the features, base_failed, quality (posterior) and kept for every row of docs(doc_id, text).
+    """doc_id, text_mark, the features, base_failed, quality (posterior) and kept for every row of docs(doc_id, text).
 
     base_failed: fewer than min_words words, or over max_repeat_percent of them in repeated windows of three
     words. kept: not base_failed, and a posterior of at least min_posterior. A null or empty text
@@ -180,6 +180,12 @@ def judge_quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, min_words: i
     return judged.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= min_posterior))
 
 
+def keep_quality(docs: DataFrame) -> DataFrame:
+    """The rows of docs that judge_quality keeps, with all their columns; repeated rows and rows without a doc_id by their own texts."""
+    rejected = judge_quality(docs.select("doc_id", "text")).filter("not kept").select("doc_id", "text_mark")
+    return without(docs, Workspace(docs.sparkSession, "quality").stage(rejected, "rejected"))
+
+
 def op7_quality_rules(spark: SparkSession, docs: DataFrame) -> DataFrame:
     judged = judge_quality(docs.select("doc_id", "text"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")

@@ -9,7 +9,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SETTING = "spark.checkpoint.dir"
 
@@ -51,6 +52,22 @@ class Workspace:
                     path.getFileSystem(conf).delete(path, True)
 
 
+def text_mark(text: Column) -> Column:
+    """A 64-bit hash that tells rows of one doc_id but other texts apart; a null counts as empty."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def without(docs: DataFrame, gone: DataFrame, broadcast_rows: int = 500_000) -> DataFrame:
+    """docs less the rows whose doc_id (nulls are equal) and text stand in gone(doc_id, text_mark), a staged table.
+
+    Those that go are usually the fewer: they are broadcast if they number at most broadcast_rows, so
+    the texts aren't shuffled, and are merged with the texts by key otherwise.
+    """
+    named = gone.select(F.col("doc_id").alias("gone_id"), F.col("text_mark").alias("gone_mark")).distinct()
+    small = broadcast_below(named, gone.count(), broadcast_rows)
+    return docs.join(small, docs["doc_id"].eqNullSafe(F.col("gone_id")) & (text_mark(docs["text"]) == F.col("gone_mark")), "left_anti")
+
+
 def broadcast_below(frame: DataFrame, rows: int, limit: int) -> DataFrame:
     """Broadcast the frame if its counted rows are within the limit, else join it by sort and merge."""
     return frame.hint("broadcast") if rows <= limit else frame.hint("merge")
