@@ -25,7 +25,7 @@ _DIGIT = "0-9\xb2\xb3\xb9\xbc-\xbe"
 _WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_DIGIT}]|[^\s{_LETTER}{_DIGIT}]+")
 #: The pattern for which the short cut above was written; with any other, the library cuts the texts.
 _KNOWN_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-CACHED_WORDS = 400_000
+CACHED_WORDS = 200_000
 CACHED_LENGTH = 64
 
 
