@@ -3,18 +3,25 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnlight.llm.batches import bound_batches, column, texts
-from tarnlight.llm.byte_pairs import Vocabulary, encoder, pieces
+from tarnlight.llm.byte_pairs import Vocabulary, encoder
 from tarnlight.llm.shipping import remote
 
 GROUP_BYTES = 4 << 20
+#: Bytes of ids after which a batch of pieces is handed on.
+HELD_BYTES = 8 << 20
+#: The columns of a packed row.
+ROW = (
+    ("sequence_id", pa.int64()), ("ids", pa.binary()), ("id_bytes", pa.int32()), ("n_tokens", pa.int32()), ("cu_seqlens", pa.list_(pa.int32())),
+    ("positions", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("starts", pa.list_(pa.int64())),
+)
 
 
 class CapacityTree:
@@ -98,7 +105,7 @@ def token_matrices(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, e
         remote(__name__, "id_batches", tokenizer_path, capacity, end_id, width), "doc_id long, start long, length int, ids binary"
     )
     dealt = cut.withColumn("bin_group", F.pmod(F.xxhash64("doc_id", "start", "ids"), F.lit(groups)))
-    return dealt.groupBy("bin_group").applyInPandas(
+    return dealt.groupBy("bin_group").applyInArrow(
         remote(__name__, "matrix_group", capacity, pad_id, width),
         "sequence_id long, ids binary, id_bytes int, n_tokens int, cu_seqlens array<int>, positions binary, doc_ids array<long>, starts array<long>",
     )
@@ -106,39 +113,46 @@ def token_matrices(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, e
 
 def id_batches(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id: int | None, width: int) -> Iterator[pa.RecordBatch]:
     tokens, kind = encoder(path), f"<u{width}"
-    tail = np.array([] if end_id is None else [end_id], kind)
+    tail = b"" if end_id is None else int(end_id).to_bytes(width, "little")
     for batch in batches:
-        rows: list[tuple] = []
+        columns: list[list] = [[], [], [], []]
         held = 0
         for doc_id, text in zip(column(batch, "doc_id").to_pylist(), texts(batch), strict=True):
-            ids = np.concatenate([tokens.encode(text).astype(kind), tail])
-            for start, piece in pieces(ids, capacity):
-                rows.append((doc_id, start, len(piece), piece.tobytes()))
+            ids = tokens.encode(text).astype(kind).tobytes() + tail
+            for start in range(0, len(ids), width * capacity):
+                piece = ids[start : start + width * capacity]
+                for values, value in zip(columns, (doc_id, start // width, len(piece) // width, piece), strict=True):
+                    values.append(value)
             held += len(ids)
-            if held > 4_000_000:
-                yield _piece_batch(rows)
-                rows, held = [], 0
-        yield _piece_batch(rows)
+            if held > HELD_BYTES:
+                yield _piece_batch(columns)
+                columns, held = [[], [], [], []], 0
+        yield _piece_batch(columns)
 
 
-def _piece_batch(rows: list[tuple]) -> pa.RecordBatch:
-    columns = [*zip(*rows, strict=True)] if rows else [[]] * 4
+def _piece_batch(columns: list[list]) -> pa.RecordBatch:
     kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary())
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "start", "length", "ids"])
 
 
-def matrix_group(group: pd.DataFrame, capacity: int, pad_id: int, width: int) -> pd.DataFrame:
-    kind = f"<u{width}"
-    group = group.sort_values(["length", "doc_id", "start", "ids"], ascending=[False, True, True, True], kind="stable", ignore_index=True)
-    base = int(group["bin_group"].iloc[0]) << 32
-    lengths, starts, ids = group["length"].tolist(), group["start"].tolist(), group["ids"].tolist()
-    doc_ids = [None if pd.isna(x) else int(x) for x in group["doc_id"]]
-    place = np.arange(capacity, dtype="<u2" if capacity <= 1 << 16 else "<u4")
-    rows = []
-    for found, items in enumerate(best_fit_decreasing(lengths, capacity)):
-        ends = np.cumsum([0, *(lengths[i] for i in items)])
-        n = int(ends[-1])
-        pad = np.full(capacity - n, pad_id, kind).tobytes()
-        positions = b"".join([*(place[: lengths[i]].tobytes() for i in items), place[: capacity - n].tobytes()])
-        rows.append((base + found, b"".join([*(ids[i] for i in items), pad]), width, n, ends.tolist(), positions, [doc_ids[i] for i in items], [starts[i] for i in items]))
-    return pd.DataFrame(rows, columns=["sequence_id", "ids", "id_bytes", "n_tokens", "cu_seqlens", "positions", "doc_ids", "starts"])
+def matrix_group(group: pa.Table, capacity: int, pad_id: int, width: int) -> pa.Table:
+    """The order is fixed before packing, so a repeated task gives the same rows. Ids are compared only where all else is equal."""
+    base = group["bin_group"][0].as_py() << 32
+    doc_ids, starts, lengths, ids = (group[c].to_pylist() for c in ("doc_id", "start", "length", "ids"))
+    order = sorted(range(len(ids)), key=lambda i: (-lengths[i], doc_ids[i] is None, doc_ids[i] or 0, starts[i], ids[i]))
+    place_width = 2 if capacity <= 1 << 16 else 4
+    place = np.arange(capacity, dtype=f"<u{place_width}").tobytes()
+    pad = np.full(capacity, pad_id, f"<u{width}").tobytes()
+    columns: dict[str, list] = {name: [] for name, _ in ROW}
+    for found, places in enumerate(best_fit_decreasing([lengths[i] for i in order], capacity)):
+        items = [order[p] for p in places]
+        own = [lengths[i] for i in items]
+        ends = [0, *accumulate(own)]
+        rest = capacity - ends[-1]
+        row = (
+            base + found, b"".join([*(ids[i] for i in items), pad[: width * rest]]), width, ends[-1], ends,
+            b"".join(place[: place_width * n] for n in (*own, rest)), [doc_ids[i] for i in items], [starts[i] for i in items],
+        )
+        for values, value in zip(columns.values(), row, strict=True):
+            values.append(value)
+    return pa.table([pa.array(columns[name], kind) for name, kind in ROW], names=[name for name, _ in ROW])
