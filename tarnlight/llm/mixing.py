@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,27 +24,40 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_r
     Sources are ordered by code point with null last and weigh `weights` in turn. Together they get
     share of all sizes by weight; a target stops at max_repeats times its source's size and what is over
     is shared again by weight among the others, until none is above. That is min(cap, level * weight) with
-    one level for all, found from the sources ordered by the level at which each reaches its cap.
+    one level for all. No task holds more than a range of the sources.
     """
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    turn = F.pmod(F.row_number().over(order) - 1, F.lit(len(weights)))
+    space = Workspace(sizes.sparkSession, "source-targets")
+    ordered = sizes.repartitionByRange(F.col("source").asc_nulls_last()).select("source", "source_size", F.spark_partition_id().alias("part"))
+    ordered = space.stage(ordered, "ordered")
+    # a source's place: within its range of sources, after the sources of the ranges before (one row for each range)
+    ranges = ordered.groupBy("part").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    place = F.row_number().over(Window.partitionBy("part").orderBy(F.col("source").asc_nulls_last())) - 1 + F.col("before")
+    rows = ordered.join(F.broadcast(ranges.select("part", before.alias("before"))), "part")
+    turn = F.pmod(place, F.lit(len(weights)))
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (turn + 1).cast("int"))
-    rows = sizes.select("source", "source_size", weight.alias("weight"), (F.col("source_size") * float(max_repeats)).alias("cap"))
-    by_level = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
-    before = by_level.rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = rows.select(
-        "*",
-        (F.sum("source_size").over(everything) * share).alias("all_words"),
-        F.coalesce(F.sum("cap").over(before), F.lit(0.0)).alias("capped"),
-        F.coalesce(F.sum("weight").over(before), F.lit(0.0)).alias("passed"),
-        F.sum("weight").over(everything).alias("all_weight"),
-    )
-    # the level if the sources before this one are at their caps; the right one is where it first is not above this one's own, the largest of those
-    rows = rows.withColumn("level", (F.col("all_words") - F.col("capped")) / (F.col("all_weight") - F.col("passed")))
-    level = F.max(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))).over(everything)
-    rows = rows.withColumn("common", level)
-    return rows.select("source", "source_size", F.coalesce(F.least("cap", F.col("common") * F.col("weight")), "cap").cast("double").alias("target"))
+    rows = space.stage(rows.select("source", "source_size", weight.alias("weight"), (F.col("source_size") * float(max_repeats)).alias("cap")), "weighed")
+    level = _common_level(rows, share)
+    return rows.select("source", "source_size", F.least("cap", F.lit(level) * F.col("weight")).cast("double").alias("target"))
+
+
+def _common_level(rows: DataFrame, share: float) -> float:
+    """The level at which the targets min(cap, level * weight) add up to share of all sizes, infinite if all are capped.
+
+    Each turn caps the sources that the last level puts over their caps and shares the rest again. The level only
+    rises, so it ends; a turn is one sum over the sources.
+    """
+    level, capped_sources = 0.0, -1
+    while True:
+        full = F.col("cap") < F.lit(level) * F.col("weight")
+        words, capped, free, n = rows.agg(
+            F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum(F.when(full, F.col("cap"))), F.lit(0.0)), F.coalesce(F.sum(F.when(~full, F.col("weight"))), F.lit(0.0)), F.count_if(full)
+        ).first()
+        if n == capped_sources:
+            return level
+        if not free:
+            return math.inf
+        level, capped_sources = max(level, (float(words) * share - capped) / free), n
 
 
 def pareto_mix(
