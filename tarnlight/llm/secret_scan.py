@@ -26,10 +26,8 @@ _RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
 _DIGEST = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)\Z")
 _DIGEST_LENGTHS = frozenset((32, 40, 56, 64, 96, 128))
 _UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\Z")
-#: Segments of an identifier: words of one case or capitalised, and numbers.
-_SEGMENT = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-#: Letters to a word from which a run reads as an identifier (random base 64 has under 2).
-WORD_LENGTH = 4
+#: An identifier or a stamp: three parts or more, each letters, then digits, or either alone.
+_PARTS = re.compile(r"[A-Za-z]*+[0-9]*+(?:[-_/]++[A-Za-z]*+[0-9]*+){2,}+\Z")
 MAX_RATIO = 2.2
 #: The pattern that cuts a run before merging, as byte-level vocabularies of this kind have it, for the characters of a run.
 _CUTS = r"[A-Za-z]+|[0-9]+|[^A-Za-z0-9]+"
@@ -41,8 +39,8 @@ def secret_scan(docs: DataFrame, ranks_path: str, max_ratio: float = MAX_RATIO)
     Base kinds are found by pattern: assignments of 8 or more characters, access keys of 16 or
     more, runs of 32 or more hexadecimal digits. The kind `random` adds runs of 20 or more
     characters that have a digit and a letter and, under the vocabulary of byte ranks at ranks_path, at
-    most max_ratio characters to a token, but that are no digest, UUID or identifier and touch no
-    base span. A span is kind:start:end in code points, the end exclusive; spans are sorted by start, then
+    most max_ratio characters to a token (in lower case too, as words in capitals cost many tokens), but
+    that are no digest, UUID or identifier of several parts and touch no base span. A span is kind:start:end in code points, the end exclusive; spans are sorted by start, then
     by kind in the order above, and joined by commas. base_sha256 is of the base kinds' spans alone.
 
     A map over the rows without a shuffle. A null or empty text has no spans (spans is an
@@ -78,9 +76,12 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def is_known(run: str) -> bool:
     """True for digests and identifiers, which are long without being secret."""
-    words = _SEGMENT.findall(run)
-    reads = sum(map(len, words)) >= WORD_LENGTH * len(words)
-    return bool((len(run) in _DIGEST_LENGTHS and _DIGEST.match(run)) or _UUID.match(run) or reads)
+    return bool((len(run) in _DIGEST_LENGTHS and _DIGEST.match(run)) or _UUID.match(run) or _PARTS.match(run))
+
+
+def is_inefficient(run: str, encoding, max_ratio: float) -> bool:
+    """True if the run has few characters to a token as it stands and in lower case, in which the vocabulary knows most words."""
+    return all(len(run) <= max_ratio * len(encoding.encode_ordinary(x)) for x in {run, run.lower()})
 
 
 def random_spans(text: str, base: list[tuple[int, int, int]], encoding, max_ratio: float) -> list[tuple[int, int, int]]:
@@ -88,7 +89,7 @@ def random_spans(text: str, base: list[tuple[int, int, int]], encoding, max_rati
     for m in _RUN.finditer(text):
         run = m[0]
         if any(c.isdigit() for c in run) and any(c.isalpha() for c in run) and not is_known(run):
-            if len(run) <= max_ratio * len(encoding.encode_ordinary(run)) and not any(s < m.end() and m.start() < e for s, _, e in base):
+            if is_inefficient(run, encoding, max_ratio) and not any(s < m.end() and m.start() < e for s, _, e in base):
                 found.append((m.start(), 3, m.end()))
     return found
 
