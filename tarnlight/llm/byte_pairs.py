@@ -12,7 +12,7 @@ import json
 import re
 import sys
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
@@ -42,10 +42,11 @@ class Vocabulary:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        self.path = path
         self.library = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
-        self.model = spec["model"]
+        del spec["model"]  # tens of MB of small objects, of which the library has its own
         self.size = self.library.get_vocab_size(with_added_tokens=True)
         self.specials = [t["content"] for t in spec.get("added_tokens", [])]
         self._special = re.compile("|".join(map(re.escape, self.specials))) if self.specials else None
@@ -83,9 +84,11 @@ class Merger:
     """Counts a word's tokens by merging: a heap of adjacent pairs by rank over a linked list of symbols."""
 
     def __init__(self, vocabulary: Vocabulary):
-        pairs = (m if isinstance(m, list) else m.split(" ") for m in vocabulary.model["merges"])
+        with open(vocabulary.path, encoding="utf-8") as file:
+            model = json.load(file)["model"]
+        pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
         self.ranks = {(a, b): rank for rank, (a, b) in enumerate(pairs)}
-        self.suffix = vocabulary.model.get("end_of_word_suffix") or ""
+        self.suffix = model.get("end_of_word_suffix") or ""
 
     def count(self, symbols: str) -> int:
         """Initial symbols minus merges. symbols: a word in the byte alphabet, not empty."""
@@ -187,9 +190,3 @@ def counter(path: str) -> Counter:
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     return Encoder(path)
-
-
-def pieces(ids: np.ndarray, limit: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Cut ids at every multiple of the limit; no id is lost and none is repeated."""
-    for start in range(0, len(ids), limit):
-        yield start, ids[start : start + limit]
