@@ -272,9 +272,14 @@ def test_pareto_mix(spark, docs, empty):
 
 
 def test_targets_are_capped_and_shared_again(spark):
-    sizes = [("a", 100), ("b", 10), ("c", 1000), (None, 5), ("d", 0)]
-    got = {r.source: r.target for r in mixing.source_targets(spark.createDataFrame(sizes, "source string, source_size long")).collect()}
-    weights, caps = {"a": 1.0, "b": 2.0, "c": 3.0, "d": 1.0, None: 2.0}, {s: 3.0 * n for s, n in sizes}
+    check_targets(spark, [("a", 100), ("b", 10), ("c", 1000), (None, 5), ("d", 0)])
+    check_targets(spark, [(f"site {i:05d}", 3**(i % 9)) for i in range(2000)] + [("ü", 40), ("\U0001f600", 7), ("\uffee", 9), (None, 10**9)])
+
+
+def check_targets(spark, sizes):
+    got = {r.source: r.target for r in mixing.source_targets(spark.createDataFrame(sizes, "source string, source_size long").repartition(5)).collect()}
+    ordered = sorted((s for s, _ in sizes), key=lambda s: (s is None, s or ""))
+    weights, caps = {s: 1.0 + i % 3 for i, s in enumerate(ordered)}, {s: 3.0 * n for s, n in sizes}
     open_, expect, left = set(caps), {}, float(sum(n for _, n in sizes))
     while True:
         level = left / sum(weights[s] for s in open_)
@@ -320,6 +325,8 @@ SECRETS = [
     ("run Zq8xV3mK9pLw2RtY7bNc4HsJ6dFg end", ["random:4:32"]),
     ("id 123e4567-e89b-12d3-a456-426614174000 and getUserAccountByIdentifier2 ok", []),
     ("digest 9E107D9D372BB6826BD81D3542A419D6 only", []),
+    ("OPEN_ROW_LOCK_ROOT_HTTP_26 at job_2024-10-27_12-16-02 in lis_awa_use_col_map_gro573", []),
+    ("rule " + "-" * 5000 + "a1+ end", []),
 ]
 
 
@@ -330,6 +337,13 @@ def test_secret_spans(text, spans):
     assert secret_scan.written(sorted(base + more)) == ",".join(spans)
 
 
+@pytest.mark.parametrize("alphabet", ["ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"])
+def test_random_strings_of_any_alphabet_are_found(alphabet):
+    rng, encoding = random.Random(3), secret_scan.ranks(RANKS)
+    runs = ["".join(rng.choices(alphabet, k=rng.randint(24, 64))) for _ in range(500)]
+    assert sum(bool(secret_scan.random_spans(f"key {x} end", [], encoding, secret_scan.MAX_RATIO)) for x in runs) >= 490
+
+
 def test_secret_scan_rows(docs, empty):
     out = secret_scan.secret_scan(docs, RANKS).collect()
     assert Counter(r.doc_id for r in out) == Counter(r[0] for r in ROWS)
