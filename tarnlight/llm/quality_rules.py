@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tarnlight.llm.batches import bound_batches, column, raw_texts
 from tarnlight.llm.shipping import remote
 from tarnlight.llm.staging import Workspace, text_mark, without
-from tarnlight.llm.word_hashes import _BLANK, spans, windows, word_hashes
+from tarnlight.llm.word_hashes import _BLANK, blocks, spans, windows, word_hashes
 
 #: Frequent short words of English, German, French and Spanish, in lower case.
 STOP_WORDS = """
@@ -80,8 +80,7 @@ _STOP = np.sort(word_hashes(" ".join(STOP_WORDS).encode()))
 
 def features(data: bytes) -> tuple[int, ...]:
     """FEATURES of a text. A letter is one of A-Z and a-z or any character beyond ASCII."""
-    codes = np.frombuffer(data, np.uint8)
-    tally = np.bincount(codes, minlength=256)
+    tally = sum((np.bincount(np.frombuffer(block, np.uint8), minlength=256) for block in blocks(data)), np.zeros(256, np.int64))
     blanks = int(tally[_BLANK].sum())
     # code points: all bytes but the continuation bytes 0x80 to 0xBF
     word_chars = len(data) - blanks - int(tally[0x80:0xC0].sum())
@@ -97,11 +96,17 @@ def features(data: bytes) -> tuple[int, ...]:
     lowered = word_hashes(data.lower())
     at = np.minimum(np.searchsorted(_STOP, lowered), len(_STOP) - 1)
     n_stop = int((_STOP[at] == lowered).sum()) if len(lowered) else 0
+    n_lettered = sum(map(lettered_words, blocks(data)))
+    return (len(words), word_chars, int((tally * _IS_SYMBOL).sum()), n_dup, n_repeat, max(1, n_lines), n_stop, int((tally * _IS_LETTER).sum()), int((tally * _IS_UPPER).sum()), n_lettered)
+
+
+def lettered_words(data: bytes) -> int:
+    """Words that hold a letter."""
+    codes = np.frombuffer(data, np.uint8)
     starts, ends = spans(codes)
-    letters = np.zeros(len(data) + 1, np.int64)
+    letters = np.zeros(len(data) + 1, np.int32)
     np.cumsum(_IS_LETTER[codes], out=letters[1:])
-    n_lettered = int((letters[ends] > letters[starts]).sum())
-    return (len(words), word_chars, int((tally * _IS_SYMBOL).sum()), n_dup, n_repeat, max(1, n_lines), n_stop, int((tally * _IS_LETTER).sum()), int((tally * _IS_UPPER).sum()), n_lettered)
+    return int((letters[ends] > letters[starts]).sum())
 
 
 def repeated_words(words: np.ndarray, size: int) -> int:

@@ -8,6 +8,7 @@ hashed in blocks that end between words, so memory follows the block and the num
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -60,17 +61,21 @@ def _block(data: bytes) -> np.ndarray:
     return mix((sums[ends] - sums[starts]) * _inverses[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-def word_hashes(data: bytes) -> np.ndarray:
-    """The hash of every word in order; equal words have equal hashes in all texts and runs."""
-    if len(data) <= BLOCK:
-        return _block(data)
-    parts, at = [], 0
+def blocks(data: bytes) -> Iterator[bytes]:
+    """The text in blocks of about BLOCK bytes that end between words; a short text is one block."""
+    at = 0
     while at < len(data):
         found = _NEXT_BLANK.search(data, at + BLOCK)
         end = found.start() if found else len(data)
-        parts.append(_block(data[at:end]))
+        yield data[at:end]
         at = end
-    return np.concatenate(parts)
+
+
+def word_hashes(data: bytes) -> np.ndarray:
+    """The hash of every word in order; equal words have equal hashes in all texts and runs."""
+    if len(data) <= BLOCK:
+        return _block(data)
+    return np.concatenate([_block(block) for block in blocks(data)])
 
 
 def windows(words: np.ndarray, size: int) -> np.ndarray:

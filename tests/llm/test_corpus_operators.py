@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from tarnlight.llm import exact_dedup, line_dedup, minhash, mixing, packing, quality_rules, secret_scan, sharding, token_binary, token_counts
+from tarnlight.llm import exact_dedup, line_dedup, minhash, mixing, packing, quality_rules, secret_scan, sharding, token_binary, token_counts, word_hashes
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -244,6 +244,13 @@ def test_quality_features_and_verdicts(docs, empty):
     assert quality_rules.judge_quality(empty).count() == 0
 
 
+def test_quality_features_are_the_same_in_blocks(monkeypatch):
+    texts = ["Ein Wort, two words\nund mehr 12 34\n", "x" * 500, "ünï cödé 5 5 5 " * 40, "", " \t\n", "A b\nA b\n" * 30]
+    whole = [quality_rules.features(t.encode()) for t in texts]
+    monkeypatch.setattr(word_hashes, "BLOCK", 7)
+    assert [quality_rules.features(t.encode()) for t in texts] == whole
+
+
 def test_quality_model_finds_what_rules_agree_on():
     rng = np.random.default_rng(4)
     good = rng.random(20_000) < 0.8
