@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -31,3 +32,13 @@ def raw_texts(batch: pa.RecordBatch, name: str = "text") -> Iterator[bytes]:
 def texts(batch: pa.RecordBatch, name: str = "text") -> Iterator[str]:
     for value in column(batch, name):
         yield value.as_py() or ""
+
+
+def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; at their end the worker, which is used again, returns the memory that it has freed to the system."""
+    try:
+        yield from batches
+    finally:
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of the GNU library
+            trim(0)

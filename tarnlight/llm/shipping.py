@@ -2,7 +2,7 @@
 
 The small closure travels by value, so workers need not have been started where the
 package can be imported; the function itself is imported there, and what its module
-caches lives as long as the worker.
+caches lives as long as the worker. A function that makes batches gives freed memory back when it ends.
 """
 
 from __future__ import annotations
@@ -18,15 +18,17 @@ _ROOT = str(Path(__file__).resolve().parents[2])
 
 def remote(module: str, name: str, *args) -> Callable:
     """A callable that imports module.name on the worker and calls it with its argument, then args."""
-    root = _ROOT
+    root, lean = _ROOT, f"{__package__}.batches"
 
     def call(own):
         import importlib
+        import inspect
         import sys as worker
 
         if root not in worker.path:
             worker.path.append(root)
-        return getattr(importlib.import_module(module), name)(own, *args)
+        made = getattr(importlib.import_module(module), name)(own, *args)
+        return importlib.import_module(lean).lean(made) if inspect.isgenerator(made) else made
 
     return call
 
