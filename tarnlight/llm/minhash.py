@@ -156,10 +156,25 @@ def _judged(docs: DataFrame, words: int, percent: int) -> DataFrame:
     sketches = space.stage(
         rows.withColumn("text_mark", text_mark(F.col("text"))).mapInArrow(remote(__name__, "sketch_batches", words), "doc_id long, text_mark long, n_shingles long, s1 long, s2 long, n_samples int, bands array<long>, odd array<long>"), "sketches"
     )
-    sets = sketches.filter("n_shingles > 0 and doc_id is not null")
-    classes = space.stage(sets.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep")), "classes")
+    ids = sketches.filter("doc_id is not null").groupBy("doc_id").agg(F.min("text_mark").alias("low"), F.max("text_mark").alias("high"))
+    twice = space.stage(ids.filter("low < high").select(F.col("doc_id").alias("id")), "twice")
+    n_twice = twice.count()
+    if not n_twice:
+        return _linked(space, sketches.withColumn("node", F.col("doc_id")), rows.withColumnRenamed("doc_id", "node"), words, percent, made_ids=False)
+    # such an id's texts are nodes of their own, by a number made from the id and the text
+    several = broadcast_below(twice, n_twice, BROADCAST_ROWS)
+    node = F.when(F.col("id").isNotNull(), F.xxhash64(F.lit("node"), "doc_id", "text_mark")).otherwise(F.col("doc_id")).alias("node")
+    named = space.stage(sketches.join(several, F.col("doc_id") == F.col("id"), "left").select(*sketches.columns, node), "named")
+    texts = rows.withColumn("text_mark", text_mark(F.col("text"))).join(several, F.col("doc_id") == F.col("id"), "left").select(node, "text")
+    return _linked(space, named, texts, words, percent, made_ids=True)
+
+
+def _linked(space: Workspace, sketches: DataFrame, rows: DataFrame, words: int, percent: int, made_ids: bool) -> DataFrame:
+    """The verdicts of the sketched rows; rows(node, text) are the texts. A node, null without a doc_id, stands for one text of one doc_id; it is the doc_id itself unless made_ids."""
+    sets = sketches.filter("n_shingles > 0 and node is not null")
+    classes = space.stage(sets.groupBy("s1", "s2").agg(F.min("node").alias("rep"), F.min("doc_id").alias("low_id")), "classes")
     # a class's sketches come from its representative's row
-    named = sets.withColumnRenamed("doc_id", "rep").join(classes, ["s1", "s2", "rep"], "left_semi").dropDuplicates(["rep"])
+    named = sets.withColumnRenamed("node", "rep").join(classes, ["s1", "s2", "rep"], "left_semi").dropDuplicates(["rep"])
     bands = named.select("rep", F.posexplode("bands").alias("band", "bucket"))
     marks = F.transform("bands", lambda x: F.shiftright(x, 32).cast("int")).alias("marks")
     odd = named.select("rep", F.col("n_shingles").alias("n"), F.col("n_samples").alias("k"), "odd", marks)
@@ -192,7 +207,12 @@ def _judged(docs: DataFrame, words: int, percent: int) -> DataFrame:
     second = connected_components(space, links.select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b")))
     second = second.select(F.col("node").alias("first_label"), F.col("label").alias("last_label"))
     labels = classes.join(first, F.col("rep") == F.col("node"), "left").withColumn("first_label", F.coalesce("label", "rep"))
-    labels = labels.join(second, "first_label", "left").select("s1", "s2", F.coalesce("last_label", "first_label").alias("component_id"))
+    labels = labels.join(second, "first_label", "left").select("s1", "s2", "low_id", F.coalesce("last_label", "first_label").alias("label"))
+    if made_ids:
+        labels = labels.join(labels.groupBy("label").agg(F.min("low_id").alias("component_id")), "label")
+    else:  # the smallest node is the smallest doc_id
+        labels = labels.withColumn("component_id", F.col("label"))
+    labels = labels.select("s1", "s2", "component_id")
 
     out = sketches.select("doc_id", "text_mark", "n_shingles", "s1", "s2").join(labels, ["s1", "s2"], "left")
     out = out.select("doc_id", "text_mark", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))).alias("component_id"))
@@ -211,7 +231,7 @@ def verify(space: Workspace, pairs: DataFrame, rows: DataFrame, words: int, perc
     dealt = pairs.join(sizes, "a").select("a", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / CHUNK)).alias("chunk"), "b")
     needed = dealt.select("a", "chunk", F.col("b").alias("id")).unionByName(dealt.select("a", "chunk", F.col("a").alias("id")).distinct())
     needed = space.stage(needed, "needed")
-    texts = rows.join(broadcast_below(needed, needed.count(), BROADCAST_ROWS), F.col("doc_id") == F.col("id")).select("a", "chunk", "id", "text")
+    texts = rows.join(broadcast_below(needed, needed.count(), BROADCAST_ROWS), F.col("node") == F.col("id")).select("a", "chunk", "id", "text")
     links = space.stage(texts.groupBy("a", "chunk").applyInPandas(remote(__name__, "check_chunk", words, percent), "a long, b long"), "links")
     space.drop(pairs, needed)
     return links

@@ -163,6 +163,18 @@ def test_near_duplicates(spark, docs, empty, words, percent):
     assert minhash.near_duplicates(empty, words, percent).count() == 0
 
 
+def test_near_duplicates_judge_each_text_of_a_repeated_id(spark):
+    rng = random.Random(11)
+    one, two, three = (sentence(rng, 60) for _ in range(3))
+    near = {t: t + " more" for t in (one, two, three)}
+    rows = [(1, one), (1, two), (1, two), (2, near[one]), (3, near[two]), (4, three), (5, near[three]), (5, two + " again"), (-7, three), (None, one)]
+    found = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).select("doc_id", "component_id").collect()
+    expect = [(1, 1), (1, 1), (1, 1), (2, 1), (3, 1), (4, -7), (5, -7), (5, 1), (-7, -7), (None, None)]
+    assert Counter(map(tuple, found)) == Counter(expect)
+    kept = minhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()
+    assert Counter(map(tuple, kept)) == Counter([(1, one), (1, two), (-7, three), (None, one)])
+
+
 def test_near_duplicates_in_chains_and_crowds(spark):
     """Texts that differ a little more with each step, and a crowd around one text: links at all similarities about the threshold."""
     rng = random.Random(3)
