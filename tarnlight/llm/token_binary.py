@@ -17,6 +17,8 @@ from tarnlight.llm.shipping import remote
 GROUP_BYTES = 4 << 20
 #: Bytes of ids after which a batch of pieces is handed on.
 HELD_BYTES = 8 << 20
+#: Groups that a task packs one after another in large tables.
+GROUPS_PER_TASK = 8
 #: The columns of a packed row.
 ROW = (
     ("sequence_id", pa.int64()), ("ids", pa.binary()), ("id_bytes", pa.int32()), ("n_tokens", pa.int32()), ("cu_seqlens", pa.list_(pa.int32())),
@@ -105,6 +107,9 @@ def token_matrices(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, e
         remote(__name__, "id_batches", tokenizer_path, capacity, end_id, width), "doc_id long, start long, length int, ids binary"
     )
     dealt = cut.withColumn("bin_group", F.pmod(F.xxhash64("doc_id", "start", "ids"), F.lit(groups)))
+    # tasks in number with the groups, not with the session's fixed setting
+    tasks = min(groups, max(int(spark.conf.get("spark.sql.shuffle.partitions")), groups // GROUPS_PER_TASK))
+    dealt = dealt.repartition(tasks, "bin_group")
     return dealt.groupBy("bin_group").applyInArrow(
         remote(__name__, "matrix_group", capacity, pad_id, width),
         "sequence_id long, ids binary, id_bytes int, n_tokens int, cu_seqlens array<int>, positions binary, doc_ids array<long>, starts array<long>",
