@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,6 +29,10 @@ _DIGEST_LENGTHS = frozenset((32, 40, 56, 64, 96, 128))
 _UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\Z")
 #: An identifier or a stamp: three parts or more, each letters, then digits, or either alone.
 _PARTS = re.compile(r"[A-Za-z]*+[0-9]*+(?:[-_/]++[A-Za-z]*+[0-9]*+){2,}+\Z")
+#: A part of a run between separators; a UUID is one part.
+_PART = re.compile(rf"(?<![A-Za-z0-9]){_UUID.pattern[:-2]}(?![A-Za-z0-9])|[A-Za-z0-9]+")
+#: The least length of a run, as in _RUN, and of a stretch of its parts.
+LEAST = 20
 MAX_RATIO = 2.2
 #: The pattern that cuts a run before merging, as byte-level vocabularies of this kind have it, for the characters of a run.
 _CUTS = r"[A-Za-z]+|[0-9]+|[^A-Za-z0-9]+"
@@ -40,7 +45,8 @@ def secret_scan(docs: DataFrame, ranks_path: str, max_ratio: float = MAX_RATIO)
     more, runs of 32 or more hexadecimal digits. The kind `random` adds runs of 20 or more
     characters that have a digit and a letter and, under the vocabulary of byte ranks at ranks_path, at
     most max_ratio characters to a token (in lower case too, as words in capitals cost many tokens), but
-    that are no digest, UUID or identifier of several parts and touch no base span. A span is kind:start:end in code points, the end exclusive; spans are sorted by start, then
+    that are no digest, UUID or identifier of several parts and touch no base span. Where a run as a whole does not pass,
+    its stretches between separators are judged by themselves. A span is kind:start:end in code points, the end exclusive; spans are sorted by start, then
     by kind in the order above, and joined by commas. base_sha256 is of the base kinds' spans alone.
 
     A map over the rows without a shuffle. A null or empty text has no spans (spans is an
@@ -84,13 +90,50 @@ def is_inefficient(run: str, encoding, max_ratio: float) -> bool:
     return all(len(run) <= max_ratio * len(encoding.encode_ordinary(x)) for x in {run, run.lower()})
 
 
+def random_stretches(run: str, encoding, max_ratio: float) -> list[tuple[int, int]]:
+    """(start, end) of the stretches of a run, from separator to separator, that are inefficient without what they are joined to.
+
+    Each part counts max_ratio for a token less one for a character, separators count nothing. At each part, the fewest
+    parts up to it that have LEAST characters are judged, less those at either end that lower the sum and can be spared;
+    stretches that overlap are one. Digests and UUIDs are in none. Work and memory follow LEAST, not the run.
+    """
+    found: list[tuple[int, int]] = []
+    window: deque[tuple[int, int, float]] = deque()
+    for m in _PART.finditer(run):
+        if is_known(m[0]):
+            window.clear()
+            continue
+        tokens = min(len(encoding.encode_ordinary(x)) for x in {m[0], m[0].lower()})
+        window.append((m.start(), m.end(), max_ratio * tokens - len(m[0])))
+        while len(window) > 1 and m.end() - window[1][0] >= LEAST:
+            window.popleft()
+        parts = list(window)
+        while len(parts) > 1 and parts[-1][2] < 0 and parts[-2][1] - parts[0][0] >= LEAST:
+            parts.pop()
+        start, end = parts[0][0], parts[-1][1]
+        if end - start >= LEAST and sum(p[2] for p in parts) >= 0 and is_mixed(run[start:end]) and not is_known(run[start:end]):
+            if found and start < found[-1][1]:
+                start, _ = found.pop()
+            found.append((start, end))
+    return found
+
+
+def is_mixed(run: str) -> bool:
+    return any(c.isdigit() for c in run) and any(c.isalpha() for c in run)
+
+
 def random_spans(text: str, base: list[tuple[int, int, int]], encoding, max_ratio: float) -> list[tuple[int, int, int]]:
     found = []
     for m in _RUN.finditer(text):
         run = m[0]
-        if any(c.isdigit() for c in run) and any(c.isalpha() for c in run) and not is_known(run):
-            if is_inefficient(run, encoding, max_ratio) and not any(s < m.end() and m.start() < e for s, _, e in base):
-                found.append((m.start(), 3, m.end()))
+        near = [(s, e) for s, _, e in base if s < m.end() and m.start() < e]
+        if not near and is_mixed(run) and not is_known(run) and is_inefficient(run, encoding, max_ratio):
+            found.append((m.start(), 3, m.end()))
+            continue
+        for start, end in random_stretches(run, encoding, max_ratio):
+            start, end = start + m.start(), end + m.start()
+            if not any(s < end and start < e for s, e in near):
+                found.append((start, 3, end))
     return found
 
 

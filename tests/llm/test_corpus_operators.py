@@ -369,3 +369,23 @@ def test_secret_scan_rows(docs, empty):
     assert all(r.base_sha256 == hashlib.sha256(",".join(s for s in r.spans.split(",") if not s.startswith("random")).encode()).hexdigest() for r in out)
     assert sum(r.n_assign for r in out) == 1
     assert secret_scan.secret_scan(empty, RANKS).count() == 0
+
+
+@pytest.mark.parametrize("before", ["DATABASE_CONNECTION_STRING_FOR_PRODUCTION=", "/home/service/configuration/credentials/production/", "/services/accounts/authorization/archive/version/signature=", "user=international&key="])
+def test_random_strings_joined_to_words_are_found(before):
+    rng, encoding = random.Random(5), secret_scan.ranks(RANKS)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    found = 0
+    for _ in range(300):
+        text = f"x {before}{''.join(rng.choices(alphabet, k=rng.randint(20, 40)))}"
+        spans = secret_scan.random_spans(text, [], encoding, secret_scan.MAX_RATIO)
+        found += any(end == len(text) for _, _, end in spans)
+    assert found >= 280
+
+
+LONG = "/services/accounts/authorization/download/archive/configuration/production"
+
+
+@pytest.mark.parametrize("run", [f"{LONG}/123e4567-e89b-12d3-a456-426614174000/settings", f"{LONG}=9E107D9D372BB6826BD81D3542A419D6", f"{LONG}=getUserAccountByIdentifier2"])
+def test_known_forms_joined_to_words_are_not_flagged(run):
+    assert secret_scan.random_spans(f"x {run} y", [], secret_scan.ranks(RANKS), secret_scan.MAX_RATIO) == []
