@@ -21,8 +21,8 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ASSIGN_HINTS = ("passw", "secret", "token", "api")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 _HEX = re.compile(r"[0-9a-f]{32,}")
-#: What may be a random string: a run of at least 20 of these characters.
-_RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
+#: What may be a random string: a run of at least 16 of these characters.
+_RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
 #: Known digests: hexadecimal in one case, as long as MD5, SHA-1, SHA-224, SHA-256, SHA-384 or SHA-512.
 _DIGEST = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)\Z")
 _DIGEST_LENGTHS = frozenset((32, 40, 56, 64, 96, 128))
@@ -32,7 +32,7 @@ _PARTS = re.compile(r"[A-Za-z]*+[0-9]*+(?:[-_/]++[A-Za-z]*+[0-9]*+){2,}+\Z")
 #: A part of a run between separators; a UUID is one part.
 _PART = re.compile(rf"(?<![A-Za-z0-9]){_UUID.pattern[:-2]}(?![A-Za-z0-9])|[A-Za-z0-9]+")
 #: The least length of a run, as in _RUN, and of a stretch of its parts.
-LEAST = 20
+LEAST = 16
 MAX_RATIO = 2.2
 #: The pattern that cuts a run before merging, as byte-level vocabularies of this kind have it, for the characters of a run.
 _CUTS = r"[A-Za-z]+|[0-9]+|[^A-Za-z0-9]+"
@@ -42,8 +42,8 @@ def secret_scan(docs: DataFrame, ranks_path: str, max_ratio: float = MAX_RATIO)
     """doc_id, n_assign, n_access, n_hex, n_random, base_sha256 and spans for every row of docs(doc_id, text).
 
     Base kinds are found by pattern: assignments of 8 or more characters, access keys of 16 or
-    more, runs of 32 or more hexadecimal digits. The kind `random` adds runs of 20 or more
-    characters that have a digit and a letter and, under the vocabulary of byte ranks at ranks_path, at
+    more, runs of 32 or more hexadecimal digits. The kind `random` adds runs of 16 or more
+    characters that have a letter and, under the vocabulary of byte ranks at ranks_path, at
     most max_ratio characters to a token (in lower case too, as words in capitals cost many tokens), but
     that are no digest, UUID or identifier of several parts and touch no base span. Where a run as a whole does not pass,
     its stretches between separators are judged by themselves. A span is kind:start:end in code points, the end exclusive; spans are sorted by start, then
@@ -111,15 +111,15 @@ def random_stretches(run: str, encoding, max_ratio: float) -> list[tuple[int, in
         while len(parts) > 1 and parts[-1][2] < 0 and parts[-2][1] - parts[0][0] >= LEAST:
             parts.pop()
         start, end = parts[0][0], parts[-1][1]
-        if end - start >= LEAST and sum(p[2] for p in parts) >= 0 and is_mixed(run[start:end]) and not is_known(run[start:end]):
+        if end - start >= LEAST and sum(p[2] for p in parts) >= 0 and has_letter(run[start:end]) and not is_known(run[start:end]):
             if found and start < found[-1][1]:
                 start, _ = found.pop()
             found.append((start, end))
     return found
 
 
-def is_mixed(run: str) -> bool:
-    return any(c.isdigit() for c in run) and any(c.isalpha() for c in run)
+def has_letter(run: str) -> bool:
+    return any(c.isalpha() for c in run)
 
 
 def random_spans(text: str, base: list[tuple[int, int, int]], encoding, max_ratio: float) -> list[tuple[int, int, int]]:
@@ -127,7 +127,7 @@ def random_spans(text: str, base: list[tuple[int, int, int]], encoding, max_rati
     for m in _RUN.finditer(text):
         run = m[0]
         near = [(s, e) for s, _, e in base if s < m.end() and m.start() < e]
-        if not near and is_mixed(run) and not is_known(run) and is_inefficient(run, encoding, max_ratio):
+        if not near and has_letter(run) and not is_known(run) and is_inefficient(run, encoding, max_ratio):
             found.append((m.start(), 3, m.end()))
             continue
         for start, end in random_stretches(run, encoding, max_ratio):

@@ -389,3 +389,14 @@ LONG = "/services/accounts/authorization/download/archive/configuration/producti
 @pytest.mark.parametrize("run", [f"{LONG}/123e4567-e89b-12d3-a456-426614174000/settings", f"{LONG}=9E107D9D372BB6826BD81D3542A419D6", f"{LONG}=getUserAccountByIdentifier2"])
 def test_known_forms_joined_to_words_are_not_flagged(run):
     assert secret_scan.random_spans(f"x {run} y", [], secret_scan.ranks(RANKS), secret_scan.MAX_RATIO) == []
+
+
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+@pytest.mark.parametrize("alphabet", [LETTERS, LETTERS.upper(), LETTERS + LETTERS.upper(), LETTERS + LETTERS.upper() + "0123456789"])
+@pytest.mark.parametrize("length", [16, 20, 40])
+def test_random_strings_of_letters_and_short_ones_are_found(alphabet, length):
+    rng, encoding = random.Random(6), secret_scan.ranks(RANKS)
+    runs = ["".join(rng.choices(alphabet, k=length)) for _ in range(300)]
+    assert sum(bool(secret_scan.random_spans(f"key {x} end", [], encoding, secret_scan.MAX_RATIO)) for x in runs) >= 288
