@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -15,6 +16,8 @@ TOLERANCE = 0.001
 #: Cells of a coordinate; within its cell a group of equal texts has a place by hash, so that ties can be cut anywhere.
 CELLS = 1024
 SLOT_ROWS = 2_000
+#: The part of a shard above which a group of equal texts is placed by itself, before the other rows are cut around it.
+HEAVY = 0.01
 
 
 @dataclass
@@ -26,6 +29,7 @@ class Node:
     dim: str = ""
     at: float = 0.0
     children: list[Node] = field(default_factory=list)
+    heavy: list[dict] = field(default_factory=list)
 
 
 def _leaf(node: Node) -> Column:
@@ -40,20 +44,25 @@ def _open(node: Node) -> list[Node]:
     return [n for c in node.children for n in _open(c)] if node.children else [node] * (node.shards > 1)
 
 
+def _leaves(node: Node) -> list[Node]:
+    return [n for c in node.children for n in _leaves(c)] or [node]
+
+
 def _category(value: Column) -> Column:
     return F.pmod(F.xxhash64(value), F.lit(CELLS))
 
 
-def build_tree(atoms: DataFrame, dims: list[str], shards: int) -> Node:
-    """The tree over atoms(weight and a double for each dimension).
+def build_tree(atoms: DataFrame, dims: list[str], shards: int, heavy: list[dict] | None = None) -> Node:
+    """The tree over atoms(weight and a double for each dimension) and the heavy ones, which have the same fields.
 
     Level by level, each open node is cut along its widest dimension, measured against the
     whole table's width, where the weight to the left is to the weight to the right as
     their numbers of shards: the weighted median for even numbers. The cut is found by histograms of
     a fixed number of bins, refined around it until the bin's weight is within tolerance;
-    only those sums, never rows, come to the driver.
+    only those sums, never rows, come to the driver. Heavy atoms, which no cut goes through, are ordered along
+    the same dimension and dealt to both sides by weight first; the cut then makes up for what they weigh.
     """
-    root = Node(0, shards)
+    root = Node(0, shards, heavy=heavy or [])
     extent: dict[str, float] = {}
     while nodes := _open(root):
         leaf = _leaf(root)
@@ -64,21 +73,39 @@ def build_tree(atoms: DataFrame, dims: list[str], shards: int) -> Node:
             .collect()
         }
         cuts: dict[int, list[float]] = {}
+        sides: dict[int, tuple[list[dict], list[dict]]] = {}
         for node in nodes:
             span = spans.get(node.first)
+            share = (node.shards // 2) / node.shards
             if span is None:  # nothing falls here
                 node.children = _halves(node)
                 node.dim = dims[0]
+                sides[node.first] = _deal(node, share)
                 continue
             widths = {d: span[f"hi_{d}"] - span[f"lo_{d}"] for d in dims}
             extent = extent or {d: w or 1.0 for d, w in widths.items()}
             node.dim = max(dims, key=lambda d: widths[d] / extent[d])
-            wanted = span["weight"] * (node.shards // 2) / node.shards
+            sides[node.first] = _deal(node, share)
+            before, after = (sum(h["weight"] for h in side) for side in sides[node.first])
+            wanted = min(max((span["weight"] + before + after) * share - before, 0), span["weight"])
             cuts[node.first] = [span[f"lo_{node.dim}"], span[f"hi_{node.dim}"] * (1 + 1e-12) + 1e-12, wanted, span["weight"] / node.shards]
         _search(atoms, leaf, {n.first: n for n in nodes if n.first in cuts}, cuts)
+        for node in nodes:
+            for child, side in zip(node.children, sides[node.first], strict=True):
+                child.heavy = side
     return root
 
 
+def _deal(node: Node, share: float) -> tuple[list[dict], list[dict]]:
+    """The node's heavy atoms in order of its dimension, parted where the weight before is nearest to share of theirs."""
+    ordered = sorted(node.heavy, key=lambda h: h[node.dim])
+    sums = [0]
+    for h in ordered:
+        sums.append(sums[-1] + h["weight"])
+    at = min(range(len(sums)), key=lambda i: abs(sums[i] - share * sums[-1]))
+    return ordered[:at], ordered[at:]
+
+
 def _halves(node: Node) -> list[Node]:
     left = node.shards // 2
     return [Node(node.first, left), Node(node.first + left, node.shards - left)]
@@ -125,7 +152,7 @@ def kd_shards(docs: DataFrame, shards: int = 24, dims: tuple[str, ...] = ("lang"
     The law is `bytes`: the shards' sizes (UTF-8 bytes of the text, none for a null, plus 8) are
     nearly equal. The tree's dimensions are the logarithm of the size and a hash cell for each column
     of dims that docs has; nulls have a cell of their own. Rows of equal texts have the first
-    of their langs and sources and stay in one shard, except groups of over 1 % of a shard, whose rows
+    of their langs and sources and stay in one shard, except groups that weigh more than a shard's mean, whose rows
     are placed one by one. Slots run from 0 without gaps in each shard, in no meaningful order.
     grown_shard is null. Rows may repeat, doc_id may be null, an empty table gives no rows, and shards
     can be empty if there are few rows. Other columns are ignored.
@@ -143,20 +170,25 @@ def kd_shards(docs: DataFrame, shards: int = 24, dims: tuple[str, ...] = ("lang"
     )
     total = rows.agg(F.sum("size")).first()[0] or 0
     groups = rows.groupBy("text_hash", "text_crc32", "size").agg(F.count("*").alias("copies"), *[F.min(f"cell_{d}").alias(f"cell_{d}") for d in present])
-    # a group over the limit is cut: its copies get places of their own
-    large = space.stage(groups.filter(F.col("copies") * F.col("size") > F.lit(0.01 * total / shards)).filter("copies > 1").select("text_hash", "text_crc32", "size"), "large")
-    large = F.broadcast(large)  # fewer than 100 * shards groups can be that large
     key = ["text_hash", "text_crc32", "size"]
-    single = rows.join(large, key, "left_semi").withColumn("tie", F.xxhash64("text_hash", "doc_id"))
-    grouped = rows.join(large, key, "left_anti").drop(*[f"cell_{d}" for d in present])
-    grouped = grouped.join(groups.select(*key, *[f"cell_{d}" for d in present]), key).withColumn("tie", F.xxhash64("text_hash", F.lit(0)))
+    cells = [f"cell_{d}" for d in present]
     unit = (F.col("tie").bitwiseAND(F.lit((1 << 40) - 1)) + 0.5) / float(1 << 40)
-    placed = single.unionByName(grouped).select(
-        "doc_id", "size", "text_crc32", F.col("size").alias("weight"), (F.floor(F.log2("size") * 16) + unit).alias("dim_size"), *[(F.col(f"cell_{d}") + unit).alias(f"dim_{d}") for d in present]
-    )
+    places = [(F.floor(F.log2("size") * 16) + unit).alias("dim_size"), *[(F.col(f"cell_{d}") + unit).alias(f"dim_{d}") for d in present]]
+    tie = F.xxhash64("text_hash", F.lit(0))
+    # fewer than shards / HEAVY groups can be that large; those over a whole shard are cut: their copies get places of their own
+    weight = F.col("copies") * F.col("size")
+    large = space.stage(groups.filter(weight > F.lit(HEAVY * total / shards)).filter("copies > 1").withColumn("whole", weight <= F.lit(total / shards)).withColumn("tie", tie), "large")
+    heavy = [r.asDict() for r in large.filter("whole").select(*key, weight.alias("weight"), *places).collect()]
+    single = rows.join(F.broadcast(large.filter("not whole").select(*key)), key, "left_semi").withColumn("tie", F.xxhash64("text_hash", "doc_id"))
+    grouped = rows.join(F.broadcast(large.select(*key)), key, "left_anti").drop(*cells)
+    grouped = grouped.join(groups.select(*key, *cells), key).withColumn("tie", tie)
+    placed = single.unionByName(grouped).select("doc_id", "size", "text_crc32", F.col("size").alias("weight"), *places)
     placed = space.stage(placed, "placed")
-    tree = build_tree(placed, ["dim_size", *[f"dim_{d}" for d in present]], shards)
-    dealt = space.stage(placed.select("doc_id", "size", "text_crc32", _leaf(tree).cast("int").alias("shard")), "dealt")
+    tree = build_tree(placed, ["dim_size", *[f"dim_{d}" for d in present]], shards, heavy)
+    homes = json.dumps([{k: h[k] for k in key} | {"shard": n.first} for n in _leaves(tree) for h in n.heavy])
+    homes = spark.range(1).select(F.inline(F.from_json(F.lit(homes), "array<struct<text_hash: long, text_crc32: long, size: long, shard: int>>")))
+    kept = rows.join(F.broadcast(homes), key).select("doc_id", "size", "text_crc32", "shard")
+    dealt = space.stage(placed.select("doc_id", "size", "text_crc32", _leaf(tree).cast("int").alias("shard")).unionByName(kept), "dealt")
     return _slots(dealt, max(8, -(-dealt.count() // (slot_rows * shards)))).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )

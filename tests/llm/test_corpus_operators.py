@@ -400,3 +400,20 @@ def test_random_strings_of_letters_and_short_ones_are_found(alphabet, length):
     rng, encoding = random.Random(6), secret_scan.ranks(RANKS)
     runs = ["".join(rng.choices(alphabet, k=length)) for _ in range(300)]
     assert sum(bool(secret_scan.random_spans(f"key {x} end", [], encoding, secret_scan.MAX_RATIO)) for x in runs) >= 288
+
+
+def test_kd_shards_keep_large_groups(spark):
+    """24 shards of about 90 kB: groups of 6 to 94 % of one stay whole, one of three shards is cut, and all shards are even."""
+    copies = {0: 50, 1: 100, 2: 300, 3: 500, 4: 700, 5: 850, 6: 60, 7: 450, 8: 3000}
+    small = spark.range(16_000).selectExpr("id as doc_id", "rpad(concat('t', id), cast(60 + id * 7919 % 61 as int), 'x') as text", "concat('s', id % 11) as source", "if(id % 3 = 0, 'en', 'de') as lang")
+    pairs = ", ".join(f"({g}, {n})" for g, n in copies.items())
+    large = spark.sql(f"select i + 100000 * (g + 1) as doc_id, rpad(concat('group', g), 92, 'y') as text, concat('s', g) as source, 'en' as lang from values {pairs} as t(g, n) lateral view explode(sequence(1, n)) as i")
+    out = sharding.kd_shards(small.unionByName(large.selectExpr("cast(doc_id as long) as doc_id", "text", "source", "lang")), 24).collect()
+    assert len({r.doc_id for r in out}) == len(out) == 16_000 + sum(copies.values())
+    homes, sizes = defaultdict(set), Counter()
+    for r in out:
+        sizes[r.shard] += r.size
+        if r.doc_id >= 100_000:
+            homes[r.doc_id // 100_000 - 1].add(r.shard)
+    assert {g: len(h) for g, h in homes.items() if g != 8} == {g: 1 for g in copies if g != 8} and len(homes[8]) > 2
+    assert len(sizes) == 24 and max(sizes.values()) <= 1.03 * min(sizes.values())
