@@ -19,19 +19,47 @@ def shared_root(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir; on a single machine one is set where none is."""
     folder = spark.conf.get(SETTING, "")
     if not folder:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError(f"{SETTING} must name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="tarnlight-")
         spark.conf.set(SETTING, folder)
     return folder.rstrip("/")
 
 
+def application_folder(spark: SparkSession) -> str:
+    """Where this application stages its tables."""
+    return f"{shared_root(spark)}/tarnlight/{spark.sparkContext.applicationId}"
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of any file system that Spark reads; one that isn't there is left out."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def clear_staged(spark: SparkSession) -> None:
+    """Delete all that this application has staged. Frames that operators have returned can't be read afterwards."""
+    delete(spark, application_folder(spark))
+
+
+def unused(frame: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores behind it as make it none of the frame's columns."""
+    taken = {c.lower() for c in frame.columns}
+    found = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
 class Workspace:
-    """A folder of its own below the shared root for the staged tables of one operator call."""
+    """A folder of its own for the staged tables of one operator call."""
 
     def __init__(self, spark: SparkSession, operator: str):
         self.spark = spark
-        self.path = f"{shared_root(spark)}/tarnlight/{operator}-{uuid.uuid4().hex}"
+        self.path = f"{application_folder(spark)}/{operator}-{uuid.uuid4().hex}"
         self._names: dict[str, int] = {}
 
     def stage(self, frame: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
@@ -44,12 +72,10 @@ class Workspace:
 
     def drop(self, *frames: DataFrame) -> None:
         """Delete staged tables that no later plan reads."""
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for frame in frames:
             for folder in {f.rsplit("/", 1)[0] for f in frame.inputFiles()}:
-                if folder.split("/tarnlight/")[-1].split("/")[0] == self.path.rsplit("/", 1)[1]:
-                    path = jvm.org.apache.hadoop.fs.Path(folder)
-                    path.getFileSystem(conf).delete(path, True)
+                if self.path.rsplit("/", 1)[1] in folder.split("/"):
+                    delete(self.spark, folder)
 
 
 def text_mark(text: Column) -> Column:
@@ -57,15 +83,21 @@ def text_mark(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
+def named(docs: DataFrame, rows: DataFrame, extra: tuple[str, ...] = ()) -> tuple[DataFrame, Column, list[str]]:
+    """rows(doc_id, text_mark, extra) under names that docs doesn't have, the condition that joins both (null ids are equal) and extra's new names."""
+    own, mark, *more = unused(docs, "of_doc", "of_mark", *extra)
+    renamed = rows.select(F.col("doc_id").alias(own), F.col("text_mark").alias(mark), *[F.col(c).alias(n) for c, n in zip(extra, more, strict=True)])
+    return renamed, docs["doc_id"].eqNullSafe(F.col(own)) & (text_mark(docs["text"]) == F.col(mark)), more
+
+
 def without(docs: DataFrame, gone: DataFrame, broadcast_rows: int = 500_000) -> DataFrame:
     """docs less the rows whose doc_id (nulls are equal) and text stand in gone(doc_id, text_mark), a staged table.
 
     Those that go are usually the fewer: they are broadcast if they number at most broadcast_rows, so
     the texts aren't shuffled, and are merged with the texts by key otherwise.
     """
-    named = gone.select(F.col("doc_id").alias("gone_id"), F.col("text_mark").alias("gone_mark")).distinct()
-    small = broadcast_below(named, gone.count(), broadcast_rows)
-    return docs.join(small, docs["doc_id"].eqNullSafe(F.col("gone_id")) & (text_mark(docs["text"]) == F.col("gone_mark")), "left_anti")
+    keys, same, _ = named(docs, gone.distinct())
+    return docs.join(broadcast_below(keys, gone.count(), broadcast_rows), same, "left_anti")
 
 
 def broadcast_below(frame: DataFrame, rows: int, limit: int) -> DataFrame:
