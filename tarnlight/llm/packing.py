@@ -5,7 +5,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +16,8 @@ from tarnlight.llm.shipping import remote
 from tarnlight.llm.staging import Workspace
 
 PIECES_PER_GROUP = 4096
+#: Copies of one piece that stay together when copies are dealt to groups.
+COPIES = 64
 
 
 class TournamentTree:
@@ -58,7 +60,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, e
 
     A document's ids are its tokens, then end_id unless that is None. Ids are cut at multiples of the
     capacity; pieces go at random to groups of about group_size, and each group is packed on its own
-    by first-fit decreasing, so no task holds more than a group. A sequence's id is its group times
+    by first-fit decreasing. Equal pieces of one doc_id are counted first and their copies dealt in lots of COPIES, so
+    however often a row is repeated, no group holds more than chance gives it. A sequence's id is its group times
     2^32 plus its bin, so the ids are unique and do not depend on the order of the rows.
 
     Returns for each piece doc_id, start, length, ids_crc32 (of little-endian unsigned 32-bit ids),
@@ -74,8 +77,9 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, e
     )
     cut = space.stage(cut, "pieces")
     groups = max(1, -(-cut.count() // group_size))
-    dealt = cut.withColumn("bin_group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "doc_tokens"), F.lit(groups)))
-    return dealt.groupBy("bin_group").applyInPandas(
+    lots = cut.groupBy(*cut.columns).agg(F.count("*").alias("n")).withColumn("lot", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / COPIES))))
+    dealt = lots.select(*cut.columns, F.least(F.lit(COPIES), F.col("n") - COPIES * F.col("lot")).cast("int").alias("copies"), F.pmod(F.xxhash64(*cut.columns, "lot"), F.lit(groups)).alias("bin_group"))
+    return dealt.groupBy("bin_group").applyInArrow(
         remote(__name__, "pack_group", capacity), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     )
 
@@ -99,14 +103,10 @@ def cut_batches(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
 
 
-def pack_group(group: pd.DataFrame, capacity: int) -> pd.DataFrame:
+def pack_group(group: pa.Table, capacity: int) -> pa.Table:
     """The order is fixed before packing, so a repeated task gives the same sequences."""
-    group = group.sort_values(["length", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True], kind="stable", ignore_index=True)
-    placed = first_fit_decreasing(group["length"].tolist(), capacity)
-    base = int(group["bin_group"].iloc[0]) << 32
-    out = group.drop(columns="bin_group")
-    # doc_id is a float column where it has nulls
-    out["doc_id"] = out["doc_id"].astype("Int64")
-    out["sequence_id"] = [base + b for b, _ in placed]
-    out["offset"] = [o for _, o in placed]
-    return out
+    base = group["bin_group"][0].as_py() << 32
+    group = group.sort_by([("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending"), ("doc_tokens", "ascending")])
+    group = group.take(pa.array(np.repeat(np.arange(len(group)), group["copies"].to_numpy()))).drop_columns(["copies", "bin_group"])
+    placed = np.array(first_fit_decreasing(group["length"].to_pylist(), capacity), np.int64)
+    return group.append_column("sequence_id", pa.array(base + placed[:, 0])).append_column("offset", pa.array(placed[:, 1]))
