@@ -13,12 +13,16 @@ from pyspark.sql import functions as F
 from tarnlight.llm.batches import bound_batches, column, texts
 from tarnlight.llm.byte_pairs import Vocabulary, encoder
 from tarnlight.llm.shipping import remote
+from tarnlight.llm.staging import Workspace, broadcast_below, named, text_mark
 
 GROUP_BYTES = 4 << 20
 #: Bytes of ids after which a batch of pieces is handed on.
 HELD_BYTES = 8 << 20
 #: Groups that a task packs one after another in large tables.
 GROUPS_PER_TASK = 8
+#: Copies of one piece that stay together when copies are dealt to groups.
+COPIES = 64
+BROADCAST_ROWS = 500_000
 #: The columns of a packed row.
 ROW = (
     ("sequence_id", pa.int64()), ("ids", pa.binary()), ("id_bytes", pa.int32()), ("n_tokens", pa.int32()), ("cu_seqlens", pa.list_(pa.int32())),
@@ -84,7 +88,8 @@ def token_matrices(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, e
 
     Ids are a text's tokens, then end_id unless that is None, cut losslessly at multiples of the
     capacity. Pieces go at random to groups of about group_bytes of text, however long their document
-    is; each group is packed by best-fit decreasing. A row is one sequence:
+    is; each group is packed by best-fit decreasing. Rows that repeat doc_id and text are counted first, tokenized once, and
+    their copies dealt in lots of COPIES, so no group holds more than chance gives it. A row is one sequence:
 
     sequence_id   group times 2^32 plus bin
     ids           capacity little-endian unsigned integers of id_bytes each, filled up with pad_id
@@ -100,13 +105,24 @@ def token_matrices(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, e
     """
     spark = docs.sparkSession
     bound_batches(spark)
-    total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)) + F.count("*")).first()[0]
+    space = Workspace(spark, "token-binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    kinds = rows.groupBy("doc_id", text_mark(F.col("text")).alias("text_mark")).agg(F.count("*").cast("long").alias("n"), F.max(F.coalesce(F.octet_length("text"), F.lit(0))).alias("bytes"))
+    kinds = space.stage(kinds, "kinds")
+    total, n_repeated = kinds.agg(F.coalesce(F.sum(F.col("n") * (F.col("bytes") + 1)), F.lit(0)), F.count_if(F.col("n") > 1)).first()
     groups = max(1, -(-total // group_bytes))
     width = 2 if max(Vocabulary(tokenizer_path).size, (end_id or 0) + 1, pad_id + 1) <= 1 << 16 else 4
-    cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        remote(__name__, "id_batches", tokenizer_path, capacity, end_id, width), "doc_id long, start long, length int, ids binary"
-    )
-    dealt = cut.withColumn("bin_group", F.pmod(F.xxhash64("doc_id", "start", "ids"), F.lit(groups)))
+    counted = rows.withColumn("n", F.lit(1).cast("long"))
+    if n_repeated:
+        repeated, same, (n,) = named(rows, kinds.filter("n > 1"), ("n",))
+        repeated = broadcast_below(repeated, n_repeated, BROADCAST_ROWS)
+        again = rows.join(repeated, same).select("doc_id", "text", n, text_mark(F.col("text")).alias("text_mark"))
+        once = again.groupBy("doc_id", "text_mark").agg(F.first("text").alias("text"), F.max(n).alias("n"))
+        counted = counted.join(repeated, same, "left_anti").unionByName(once.select("doc_id", "text", "n"))
+    cut = counted.mapInArrow(remote(__name__, "id_batches", tokenizer_path, capacity, end_id, width), "doc_id long, start long, length int, ids binary, n long")
+    lots = cut.withColumn("lot", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / COPIES))))
+    copies = F.least(F.lit(COPIES), F.col("n") - COPIES * F.col("lot")).cast("int")
+    dealt = lots.select("doc_id", "start", "length", "ids", copies.alias("copies"), F.pmod(F.xxhash64("doc_id", "start", "ids", "lot"), F.lit(groups)).alias("bin_group"))
     # tasks in number with the groups, not with the session's fixed setting
     tasks = min(groups, max(int(spark.conf.get("spark.sql.shuffle.partitions")), groups // GROUPS_PER_TASK))
     dealt = dealt.repartition(tasks, "bin_group")
@@ -120,31 +136,32 @@ def id_batches(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_
     tokens, kind = encoder(path), f"<u{width}"
     tail = b"" if end_id is None else int(end_id).to_bytes(width, "little")
     for batch in batches:
-        columns: list[list] = [[], [], [], []]
+        columns: list[list] = [[], [], [], [], []]
         held = 0
-        for doc_id, text in zip(column(batch, "doc_id").to_pylist(), texts(batch), strict=True):
+        for doc_id, text, n in zip(column(batch, "doc_id").to_pylist(), texts(batch), column(batch, "n").to_pylist(), strict=True):
             ids = tokens.encode(text).astype(kind).tobytes() + tail
             for start in range(0, len(ids), width * capacity):
                 piece = ids[start : start + width * capacity]
-                for values, value in zip(columns, (doc_id, start // width, len(piece) // width, piece), strict=True):
+                for values, value in zip(columns, (doc_id, start // width, len(piece) // width, piece, n), strict=True):
                     values.append(value)
             held += len(ids)
             if held > HELD_BYTES:
                 yield _piece_batch(columns)
-                columns, held = [[], [], [], []], 0
+                columns, held = [[], [], [], [], []], 0
         yield _piece_batch(columns)
 
 
 def _piece_batch(columns: list[list]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "start", "length", "ids"])
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "start", "length", "ids", "n"])
 
 
 def matrix_group(group: pa.Table, capacity: int, pad_id: int, width: int) -> pa.Table:
     """The order is fixed before packing, so a repeated task gives the same rows. Ids are compared only where all else is equal."""
     base = group["bin_group"][0].as_py() << 32
-    doc_ids, starts, lengths, ids = (group[c].to_pylist() for c in ("doc_id", "start", "length", "ids"))
+    doc_ids, starts, lengths, ids, copies = (group[c].to_pylist() for c in ("doc_id", "start", "length", "ids", "copies"))
     order = sorted(range(len(ids)), key=lambda i: (-lengths[i], doc_ids[i] is None, doc_ids[i] or 0, starts[i], ids[i]))
+    order = [i for i in order for _ in range(copies[i])]
     place_width = 2 if capacity <= 1 << 16 else 4
     place = np.arange(capacity, dtype=f"<u{place_width}").tobytes()
     pad = np.full(capacity, pad_id, f"<u{width}").tobytes()
@@ -161,3 +178,29 @@ def matrix_group(group: pa.Table, capacity: int, pad_id: int, width: int) -> pa.
         for values, value in zip(columns.values(), row, strict=True):
             values.append(value)
     return pa.table([pa.array(columns[name], kind) for name, kind in ROW], names=[name for name, _ in ROW])
+
+
+def write_matrices(packed: DataFrame, path: str) -> None:
+    """Write the rows of token_matrices as id matrices with an index: two Parquet tables below path, which must not exist.
+
+    `matrix` holds the rows, ids and positions all of one width, in order of sequence_id in each file; matrices()
+    gives a file's rows as arrays. `index` holds a row for each segment, in order of doc_id in each file: doc_id, start, sequence_id,
+    offset, length. Nulls and repeats of doc_id stay; no rows give empty tables.
+    """
+    packed.sortWithinPartitions("sequence_id").write.option("compression", "zstd").parquet(f"{path}/matrix")
+    # from what was written, so both agree and nothing is tokenized again
+    written = packed.sparkSession.read.schema(packed.schema).parquet(f"{path}/matrix")
+    segments = written.select("sequence_id", "cu_seqlens", F.posexplode(F.arrays_zip("doc_ids", "starts")).alias("place", "segment"))
+    offset = F.get("cu_seqlens", F.col("place"))
+    index = segments.select(
+        F.col("segment.doc_ids").alias("doc_id"), F.col("segment.starts").alias("start"), "sequence_id", offset.alias("offset"), (F.get("cu_seqlens", F.col("place") + 1) - offset).alias("length")
+    )
+    index.sortWithinPartitions("doc_id", "start").write.option("compression", "zstd").parquet(f"{path}/index")
+
+
+def matrices(rows: pa.Table, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids and the positions of rows of `matrix`, as matrices of one row for each sequence."""
+    width = rows["id_bytes"][0].as_py() if len(rows) else 4
+    place_width = 2 if capacity <= 1 << 16 else 4
+    made = (np.frombuffer(b"".join(rows[name].to_pylist()), f"<u{w}").reshape(-1, capacity) for name, w in (("ids", width), ("positions", place_width)))
+    return tuple(made)

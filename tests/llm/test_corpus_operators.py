@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
 
@@ -91,6 +92,26 @@ def test_packing(docs, empty):
     assert packing.pack_documents(empty, VOCABULARY).count() == 0
 
 
+def test_packing_keeps_large_ids_beside_nulls(spark):
+    ids = [2**63 - 1, 2**60 + 1, -(2**63), None, 2**53 + 1]
+    out = packing.pack_documents(spark.createDataFrame([(i, "a b c") for i in ids], "doc_id long, text string"), VOCABULARY).collect()
+    assert Counter(r.doc_id for r in out) == Counter(ids) and len({r.sequence_id for r in out}) == 1
+
+
+def test_repeated_rows_use_all_groups(spark):
+    """6000 equal rows, and as many without a doc_id: all due groups are used and none is much larger than the rest."""
+    rows = spark.range(12_000).selectExpr("if(id % 2 = 0, 7, null) as doc_id", "if(id % 2 = 0, 'the river of stone', null) as text")
+    out = packing.pack_documents(rows, VOCABULARY, group_size=1000).collect()
+    sizes = Counter(r.sequence_id >> 32 for r in out)
+    assert len(out) == 12_000 and len(sizes) == 12 and max(sizes.values()) < 2000
+    assert len({(r.sequence_id, r.offset) for r in out}) == 12_000
+    packed = token_binary.token_matrices(rows, VOCABULARY, group_bytes=10_000).collect()
+    groups = Counter()
+    for r in packed:
+        groups[r.sequence_id >> 32] += len(r.doc_ids)
+    assert sum(groups.values()) == 12_000 and len(groups) == 12 and max(groups.values()) < 2000
+
+
 def test_first_fit_decreasing_is_first_fit():
     rng = random.Random(1)
     sizes = [rng.randint(1, 100) for _ in range(500)]
@@ -140,6 +161,24 @@ def test_token_matrices_round_trip(docs, empty):
     assert token_binary.token_matrices(empty, VOCABULARY).count() == 0
 
 
+def test_matrices_are_written_and_read_again(spark, docs, empty, tmp_path):
+    library = Tokenizer.from_file(VOCABULARY)
+    token_binary.write_matrices(token_binary.token_matrices(docs, VOCABULARY, capacity=128, group_bytes=20_000), str(tmp_path / "out"))
+    table = pq.read_table(tmp_path / "out" / "matrix")
+    ids, positions = token_binary.matrices(table, 128)
+    assert ids.shape == positions.shape == (len(table), 128)
+    at = {s: i for i, s in enumerate(table["sequence_id"].to_pylist())}
+    found = Counter()
+    for r in pq.read_table(tmp_path / "out" / "index").to_pylist():
+        row, end = at[r["sequence_id"]], r["offset"] + r["length"]
+        found[(r["doc_id"], r["start"], *ids[row, r["offset"] : end].tolist())] += 1
+        assert positions[row, r["offset"] : end].tolist() == list(range(r["length"]))
+    whole = [(r[0], [*library.encode(r[1] or "", add_special_tokens=False).ids, 1]) for r in ROWS]
+    assert found == Counter((d, s, *own[s : s + 128]) for d, own in whole for s in range(0, len(own), 128))
+    token_binary.write_matrices(token_binary.token_matrices(empty, VOCABULARY), str(tmp_path / "none"))
+    assert spark.read.parquet(str(tmp_path / "none" / "index")).count() == 0
+
+
 def brute_components(rows, words, percent):
     sets = []
     for row in rows:
