@@ -1,6 +1,7 @@
 """The ten operators on small tables with every awkward case, against brute force."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -10,6 +11,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow.parquet as pq
 import pytest
+import xxhash
 from tokenizers import Tokenizer
 
 from tarnlight.llm import exact_dedup, line_dedup, minhash, mixing, packing, quality_rules, secret_scan, sharding, token_binary, token_counts, word_hashes
@@ -275,6 +277,87 @@ def test_kd_shards_are_even_and_keep_groups(spark):
     assert out.groupBy("text_crc32", "size").agg({"shard": "max", "slot": "count"}).count() == out.select("text_crc32", "size", "shard").distinct().count()
 
 
+def brute_tree(items, shards):
+    """items: (coordinates, order in the cell, weight, name). Weights are cut as if they were fluid; an item goes where its middle went."""
+    pieces, middles, cells = [], {}, defaultdict(int)
+    for at, order, weight, name in sorted(items, key=lambda x: (x[0], x[1])):
+        pieces.append((at, cells[at], cells[at] + weight, name))
+        middles[name] = cells[at] + weight / 2
+        cells[at] += weight
+    extent = [max(p[0][d] for p in pieces) - min(p[0][d] for p in pieces) or 1 for d in range(3)]
+    homes = {}
+
+    def go(own, first, count):
+        if count == 1:
+            homes.update((name, first) for _, start, end, name in own if start <= middles[name] < end)
+            return
+        d = max(range(3), key=lambda d: (max(p[0][d] for p in own) - min(p[0][d] for p in own)) / extent[d])
+        left, right, room = [], [], sum(e - s for _, s, e, _ in own) * (count // 2) // count
+        for at, start, end, name in sorted(own, key=lambda p: (p[0][d], p[0], p[1])):
+            middle = min(end, start + max(room, 0))
+            room -= end - start
+            left += [(at, start, middle, name)] * (start < middle)
+            right += [(at, middle, end, name)] * (middle < end)
+        go(left, first, count // 2)
+        go(right, first + count // 2, count - count // 2)
+
+    go(pieces, 0, shards)
+    return homes
+
+
+def test_kd_tree_equals_a_plain_one(spark):
+    rng = random.Random(12)
+    rows = [(i, f"{i} " + "x" * rng.choice([30, 60, 61, 100, 130, 250]), rng.choice([None, "de", "en", "fr"]), rng.choice("abcdefgh")) for i in range(2000)]
+    found = {r.doc_id: r.shard for r in sharding.kd_shards(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), 5).collect()}
+    items = []
+    for i, text, lang, source in rows:
+        size = len(text) + 8
+        mark = xxhash.xxh64(text.encode(), seed=42).intdigest()
+        mark -= (mark >= 2**63) << 64
+        at = (math.floor(math.log2(size) * sharding.STEPS), ["de", "en", "fr"].index(lang) + 1 if lang else 0, "abcdefgh".index(source) + 1)
+        items.append((at, (mark, zlib.crc32(text.encode()), size), size, i))
+    assert found == brute_tree(items, 5)
+
+
+def test_kd_shards_deal_a_repeated_row(spark):
+    """Half of the rows are one row, with or without a doc_id: all shards are used and within 1 % of their mean."""
+    for hot in ("77", "null"):
+        rows = spark.range(20_000).selectExpr(f"if(id < 10000, {hot}, id) as doc_id", "if(id < 10000, 'same text', concat('t', id, repeat(' ab', cast(id % 13 as int)))) as text", "'en' as lang", "concat('s', id % 100) as source")
+        out = sharding.kd_shards(rows, 24).collect()
+        sizes, slots = Counter(), defaultdict(set)
+        for r in out:
+            sizes[r.shard] += r.size
+            slots[r.shard].add(r.slot)
+        assert len(out) == 20_000 and len(sizes) == 24 and sum(map(len, slots.values())) == 20_000
+        mean = sum(sizes.values()) / 24
+        assert all(abs(s - mean) <= 0.01 * mean for s in sizes.values())
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_kd_shards_keep_the_groups_of_the_supplied_documents(spark, sf):
+    out = sharding.kd_shards(spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")).collect()
+    homes, sizes = defaultdict(set), Counter()
+    for r in out:
+        homes[(r.text_crc32, r["size"])].add(r.shard)
+        sizes[r.shard] += r["size"]
+    mean = sum(sizes.values()) / 24
+    assert all(len(h) == 1 for h in homes.values()) and all(abs(s - mean) <= 0.1 * mean for s in sizes.values())
+
+
+def test_kd_shards_reach_target_bytes(spark):
+    rows = spark.range(5000).selectExpr("id as doc_id", "rpad(id, 92, 'x') as text", "concat('s', id % 700) as source")
+    out = sharding.kd_shards(rows, target_bytes=20_000).groupBy("shard").sum("size").collect()
+    assert len(out) == 25 and all(abs(r["sum(size)"] - 20_000) <= 200 for r in out)
+
+
+def test_kd_tree_swaps_atoms_where_nothing_is_loose():
+    _, homes = sharding.build_tree([], [((i, 0), i, w) for i, w in enumerate([9, 9, 1, 1, 1, 1, 9, 9])], 4)
+    loads = Counter()
+    for name, shard in homes.items():
+        loads[shard] += [9, 9, 1, 1, 1, 1, 9, 9][name]
+    assert dict(loads) == {0: 10, 1: 10, 2: 10, 3: 10}
+
+
 def test_quality_features_and_verdicts(docs, empty):
     out = quality_rules.judge_quality(docs).collect()
     expect = Counter()
