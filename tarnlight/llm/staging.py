@@ -100,6 +100,19 @@ def without(docs: DataFrame, gone: DataFrame, broadcast_rows: int = 500_000) ->
     return docs.join(broadcast_below(keys, gone.count(), broadcast_rows), same, "left_anti")
 
 
+def repeated(frame: DataFrame, times: str, lot: int = 1_000) -> DataFrame:
+    """The rows, each as often as its column `times` says (never, if that is below 1), without that column.
+
+    Rows that are repeated more than `lot` times are dealt to several tasks, lot by lot.
+    """
+    at, i = unused(frame, "at", "i")
+    columns = [c for c in frame.columns if c != times]
+    few = frame.filter(F.col(times).between(1, lot)).withColumn(i, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times).cast("long"))))
+    many = frame.filter(F.col(times) > lot).withColumn(at, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times).cast("long"), F.lit(lot).cast("long"))))
+    many = many.repartition(at, *columns).withColumn(i, F.explode(F.sequence(F.col(at), F.least(F.col(at) + lot - 1, F.col(times).cast("long")))))
+    return few.select(*columns).unionByName(many.select(*columns))
+
+
 def broadcast_below(frame: DataFrame, rows: int, limit: int) -> DataFrame:
     """Broadcast the frame if its counted rows are within the limit, else join it by sort and merge."""
     return frame.hint("broadcast") if rows <= limit else frame.hint("merge")

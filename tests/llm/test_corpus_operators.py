@@ -12,6 +12,7 @@ import public_tokenizers
 import pyarrow.parquet as pq
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tarnlight.llm import exact_dedup, line_dedup, minhash, mixing, packing, quality_rules, secret_scan, sharding, token_binary, token_counts, word_hashes
@@ -412,6 +413,119 @@ def test_pareto_mix(spark, docs, empty):
         assert r["max(target)"] <= 3 * r["max(source_size)"] + 1e-6
 
 
+def brute_copies(rows, weights=(1.0, 2.0, 3.0)):
+    """rows: (doc_id, words, source, u). Copies by doc_id from plain loops; classes are rounded with the number that the query uses."""
+    sources = sorted({r[2] for r in rows}, key=lambda s: (s is None, s or ""))
+    sizes = {s: sum(r[1] for r in rows if r[2] == s) for s in sources}
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(sources)}
+    targets = levelled(sizes, weight)
+    copies = {}
+    for s in sources:
+        whole = math.floor(targets[s] / sizes[s] + 1e-12)
+        wanted = targets[s] - whole * sizes[s]
+        groups = defaultdict(list)
+        for r in rows:
+            if r[2] == s:
+                copies[r[0]] = whole
+                if r[1]:
+                    groups[math.floor(math.log2(r[1]) * mixing.CLASSES)].append(r)
+        order = sorted(groups, reverse=True)
+        mean = {c: sum(r[1] for r in groups[c]) / len(groups[c]) for c in order}
+        certain = 0
+        while certain < len(order):  # classes whose chance is 1 are taken out until no other reaches it
+            left = wanted - sum(len(groups[c]) * mean[c] for c in order[:certain])
+            factor = left / sum(len(groups[c]) * mean[c] ** 2 for c in order[certain:])
+            if factor * mean[order[certain]] <= 1 + 1e-9:
+                break
+            certain += 1
+        owed = 0.0
+        for c in order:
+            expected = len(groups[c]) * min(1.0, factor * mean[c])
+            due = max(0, min(len(groups[c]), math.floor(expected + owed / mean[c] + spark_uniform(17, s, c))))
+            owed += (expected - due) * mean[c]
+            total = sum(r[1] for r in groups[c])
+
+            def rank(r):
+                chance = min(due * r[1] / total, 1 - 1e-9)
+                return r[3] / (1 - r[3]) * (1 - chance) / chance
+
+            for r in sorted(groups[c], key=rank)[:due] if due else []:
+                copies[r[0]] += 1
+    return copies
+
+
+def levelled(sizes, weights):
+    """min(3 * size, level * weight) with one level for all, adding up to all sizes."""
+    open_, found, left = set(sizes), {}, float(sum(sizes.values()))
+    while open_:
+        level = left / sum(weights[s] for s in open_)
+        full = {s for s in open_ if level * weights[s] > 3.0 * sizes[s]}
+        if not full:
+            return found | {s: level * weights[s] for s in open_}
+        found |= {s: 3.0 * sizes[s] for s in full}
+        left -= sum(3.0 * sizes[s] for s in full)
+        open_ -= full
+    return found
+
+
+def spark_uniform(*values):
+    """Spark's xxhash64 of the values, as a number between 0 and 1."""
+    seed = 42
+    for v in values:
+        if v is not None:
+            data = v.encode() if isinstance(v, str) else v.to_bytes(4, "little", signed=True)
+            seed = xxhash.xxh64(data, seed=seed).intdigest()
+    return ((seed & ((1 << 52) - 1)) + 0.5) / (1 << 52)
+
+
+def test_pareto_sample_equals_a_plain_one(spark):
+    rng = random.Random(8)
+    rows = [(i, "w " * min(3000, int(rng.paretovariate(0.9) * 4)), rng.choice(["a", "b", "c", "d", None])) for i in range(1500)] + [(2000 + i, None, "a") for i in range(3)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    u = {r.doc_id: r.u for r in table.select("doc_id", mixing._uniform(F.lit(17), "doc_id", mixing.text_mark(F.col("text"))).alias("u")).collect()}
+    plain = [(i, len((t or "").split()), s, u[i]) for i, t, s in rows]
+    expect = brute_copies(plain)
+    assert {r.doc_id: r.copies for r in mixing.pareto_mix(table, bucket_rows=7).collect()} == expect
+    assert {r.doc_id: r.copies for r in mixing.mixed_sizes(table, broadcast_rows=0).collect()} == expect
+    sizes = {i: n for i, n, _, _ in plain}
+    for source in "abcd":  # chances differ by size: drawn documents are longer
+        own = [i for i, _, s, _ in plain if s == source and sizes[i]]
+        least = min(expect[i] for i in own)
+        drawn, others = [sizes[i] for i in own if expect[i] > least], [sizes[i] for i in own if expect[i] == least]
+        assert not drawn or not others or sum(drawn) / len(drawn) > sum(others) / len(others)
+
+
+def test_pareto_draws_match_the_chances(spark):
+    """The same forty documents in 600 sources: how often each is drawn agrees with its chance, and each source's words with its target."""
+    sizes = [3, 5, 8, 8, 13, 20, 20, 33, 50, 80] * 4
+    rows = spark.range(600 * 40).selectExpr("id as doc_id", f"repeat('w ', array({','.join(map(str, sizes))})[cast(id % 40 as int)]) as text", "lpad(cast(id div 40 as string), 4, '0') as source")
+    out = mixing.mixed_sizes(rows, weights=(1.0, 2.0)).collect()
+    drawn, taken = [Counter(), Counter()], Counter()
+    for r in out:
+        source = r.doc_id // 40
+        drawn[source % 2][r["size"]] += r.copies - source % 2  # every other source has one copy for certain
+        taken[source] += r.copies * r["size"]
+    for side, share in enumerate((2 / 3, 1 / 3)):
+        wanted, certain = share * sum(sizes), 0
+        ordered = sorted(sizes, reverse=True)
+        while (factor := (wanted - sum(ordered[:certain])) / sum(s * s for s in ordered[certain:])) * ordered[certain] > 1:
+            certain += 1
+        for size in set(sizes):
+            chance, n = min(1.0, factor * size), sizes.count(size) * 300
+            assert abs(drawn[side][size] / n - chance) <= 5 * math.sqrt(chance * (1 - chance) / n) + 1e-9, (side, size)
+    for source, words in taken.items():
+        assert abs(words - (2 / 3 if source % 2 == 0 else 4 / 3) * sum(sizes)) <= 20
+
+
+def test_pareto_mix_takes_part_of_a_repeated_row(spark):
+    rows = spark.range(9000).selectExpr("if(id < 4000, 7, id) as doc_id", "if(id < 4000, repeat('w ', 10), repeat('v ', 10)) as text", "if(id % 2 = 0, 'a', 'b') as source", "id as gone_id", "'x' as part", "id as copies")
+    for out in (mixing.pareto_mix(rows), mixing.mixed_sizes(rows)):
+        sums = Counter()
+        for r in (found := out.collect()):
+            sums[r.target] += r.copies * 10
+        assert len(found) == 9000 and len(sums) == 2 and all(abs(t - n) <= 10 for t, n in sums.items())
+
+
 def test_targets_are_capped_and_shared_again(spark):
     check_targets(spark, [("a", 100), ("b", 10), ("c", 1000), (None, 5), ("d", 0)])
     check_targets(spark, [(f"site {i:05d}", 3**(i % 9)) for i in range(2000)] + [("ü", 40), ("\U0001f600", 7), ("\uffee", 9), (None, 10**9)])
@@ -420,17 +534,7 @@ def test_targets_are_capped_and_shared_again(spark):
 def check_targets(spark, sizes):
     got = {r.source: r.target for r in mixing.source_targets(spark.createDataFrame(sizes, "source string, source_size long").repartition(5)).collect()}
     ordered = sorted((s for s, _ in sizes), key=lambda s: (s is None, s or ""))
-    weights, caps = {s: 1.0 + i % 3 for i, s in enumerate(ordered)}, {s: 3.0 * n for s, n in sizes}
-    open_, expect, left = set(caps), {}, float(sum(n for _, n in sizes))
-    while True:
-        level = left / sum(weights[s] for s in open_)
-        full = {s for s in open_ if level * weights[s] > caps[s]}
-        if not full:
-            break
-        expect |= {s: caps[s] for s in full}
-        left -= sum(caps[s] for s in full)
-        open_ -= full
-    expect |= {s: level * weights[s] for s in open_}
+    expect = levelled(dict(sizes), {s: 1.0 + i % 3 for i, s in enumerate(ordered)})
     assert {s: round(t, 6) for s, t in got.items()} == {s: round(t, 6) for s, t in expect.items()}
 
 
