@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnlight.llm.staging import Workspace, broadcast_below
+from tarnlight.llm.staging import Workspace, broadcast_below, delete, text_mark
 
 #: The white space that is stripped at both ends of a line.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -13,6 +18,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BATCHES = 4
 FANOUT = 2
 BROADCAST_ROWS = 500_000
+#: At most so many bits, 32 MB, for the filter of documents that lose lines.
+FILTER_BITS = 1 << 28
 KEY = ["h1", "h2"]
 
 
@@ -33,58 +40,103 @@ class RunStore:
     added as a sorted run of level 0. Whenever a level has `fanout` runs they are merged into one
     of the next level, which adds up the counts of equal lines. So each line hash is rewritten
     at most log(batches) times, and a batch costs what it brings, not what the store holds.
+
+    A run is a table of Parquet files bucketed and sorted by line hash, with the same number of buckets on all levels:
+    runs are joined with batches and with each other bucket by bucket, without moving or sorting what they hold. The files and a
+    manifest of the levels lie below `path`, so a store outlives the session: open() finds the last manifest that was
+    written whole. The tables are external ones of the session's catalog, dropped by close(), which leaves the files.
     """
 
-    def __init__(self, space: Workspace, frequent: int, fanout: int = FANOUT):
-        self.space, self.frequent, self.fanout = space, frequent, fanout
-        self.levels: list[list[DataFrame]] = [[]]
+    def __init__(self, spark: SparkSession, path: str, frequent: int, fanout: int = FANOUT, buckets: int | None = None):
+        self.spark, self.path, self.frequent, self.fanout = spark, path.rstrip("/"), frequent, fanout
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.levels: list[list[str]] = [[]]
+        self.version = 0
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> RunStore:
+        """The store as its last absorb left it."""
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/manifest")
+        found = folder.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(spark._jvm.org.apache.hadoop.fs.Path(folder, "*/_SUCCESS"))
+        last = max(int(status.getPath().getParent().getName()) for status in found)
+        state = json.loads(spark.read.text(f"{folder}/{last:09d}").first()[0])
+        store = cls(spark, path, state["frequent"], state["fanout"], state["buckets"])
+        store.levels, store.version = state["levels"], last
+        for name in store._names():
+            spark.sql(f"create table if not exists {name} (h1 bigint, h2 bigint, n_docs bigint) using parquet clustered by (h1, h2) sorted by (h1, h2) into {store.buckets} buckets location '{store.path}/{name}'")
+        return store
+
+    def _names(self) -> list[str]:
+        return [name for level in self.levels for name in level]
 
     def runs(self) -> list[DataFrame]:
-        return [run for level in self.levels for run in level]
-
-    def known(self) -> DataFrame | None:
-        """Line hashes that some run holds as frequent."""
-        runs = [run.filter(F.col("n_docs") >= self.frequent).select(*KEY) for run in self.runs()]
-        return _union(runs) if runs else None
-
-    def absorb(self, counts: DataFrame) -> DataFrame:
-        """Add a batch's (h1, h2, n_docs), one row for each hash, and return its run."""
-        known = self.known()
-        fresh = counts if known is None else counts.join(known.hint("merge"), KEY, "left_anti")
-        run = self.space.stage(fresh.select(*KEY, "n_docs").sortWithinPartitions(*KEY), "run")
-        self.levels[0].append(run)
-        self._compact()
-        return run
-
-    def _compact(self) -> None:
-        for depth in range(len(self.levels)):
-            if len(self.levels[depth]) >= self.fanout:
-                merged = self.space.stage(_merge(self.levels[depth]), "run")
-                self.space.drop(*self.levels[depth])
-                self.levels[depth] = []
-                if depth + 1 == len(self.levels):
-                    self.levels.append([])
-                self.levels[depth + 1].append(merged)
+        return [self.spark.table(name) for name in self._names()]
+
+    def unknown(self, counts: DataFrame) -> DataFrame:
+        """The rows of a batch's counts whose lines no run holds as frequent."""
+        for run in self.runs():
+            counts = counts.join(run.filter(F.col("n_docs") >= self.frequent).select(*KEY).hint("merge"), KEY, "left_anti")
+        return counts
+
+    def absorb(self, counts: DataFrame) -> None:
+        """Add a batch's (h1, h2, n_docs), one row for each hash. Each batch must be absorbed once."""
+        with sorted_buckets(self.spark):
+            self.levels[0].append(self._write(self.unknown(counts).select(*KEY, "n_docs")))
+            old = []
+            for depth in range(len(self.levels)):
+                if len(self.levels[depth]) >= self.fanout:
+                    merged = self._write(_merged([self.spark.table(name) for name in self.levels[depth]]))
+                    old += self.levels[depth]
+                    self.levels[depth] = []
+                    if depth + 1 == len(self.levels):
+                        self.levels.append([])
+                    self.levels[depth + 1].append(merged)
+        self.version += 1
+        state = json.dumps({"frequent": self.frequent, "fanout": self.fanout, "buckets": self.buckets, "levels": self.levels})
+        self.spark.range(0, 1, 1, 1).select(F.lit(state)).write.text(f"{self.path}/manifest/{self.version:09d}")
+        for name in old:  # no manifest names them any more
+            self.spark.sql(f"drop table if exists {name}")
+            delete(self.spark, f"{self.path}/{name}")
+
+    def _write(self, run: DataFrame) -> str:
+        name = f"tarnlight_run_{uuid.uuid4().hex}"
+        run.write.format("parquet").option("compression", "zstd").option("path", f"{self.path}/{name}").bucketBy(self.buckets, *KEY).sortBy(*KEY).saveAsTable(name)
+        return name
 
     def frequent_lines(self) -> DataFrame:
         """Hashes of the lines that all batches together have in at least `frequent` documents."""
-        runs = self.runs()
-        whole = runs[0] if len(runs) == 1 else _merge(runs)
-        return whole.filter(F.col("n_docs") >= self.frequent).select(*KEY)
-
-
-def _union(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for frame in frames[1:]:
-        out = out.unionByName(frame)
-    return out
-
-
-def _merge(runs: list[DataFrame]) -> DataFrame:
-    return _union(runs).groupBy(*KEY).agg(F.sum("n_docs").alias("n_docs")).sortWithinPartitions(*KEY)
-
-
-def line_dedup(docs: DataFrame, min_docs: int = 10, min_length: int = 1, batches: int = BATCHES, fanout: int = FANOUT, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+        return _merged(self.runs()).filter(F.col("n_docs") >= self.frequent).select(*KEY)
+
+    def close(self) -> None:
+        """Take the tables out of the catalog; plans that read the runs can't be executed afterwards."""
+        for name in self._names():
+            self.spark.sql(f"drop table if exists {name}")
+
+
+def _merged(runs: list[DataFrame]) -> DataFrame:
+    """The runs as one, two at a time by a merge of their sorted buckets, with the counts of equal lines added up."""
+    whole = runs[0]
+    for run in runs[1:]:
+        more = run.withColumnRenamed("n_docs", "more")
+        whole = whole.join(more.hint("merge"), KEY, "full").select(*KEY, (F.coalesce("n_docs", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("n_docs"))
+    return whole
+
+
+@contextmanager
+def sorted_buckets(spark: SparkSession) -> Iterator[None]:
+    """Within, Spark takes a bucket of one file as sorted, as the runs' are; afterwards the setting is as before."""
+    setting = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
+
+
+def line_dedup(
+    docs: DataFrame, min_docs: int = 10, min_length: int = 1, batches: int = BATCHES, fanout: int = FANOUT, broadcast_rows: int = BROADCAST_ROWS, store: RunStore | None = None
+) -> DataFrame:
     """Drop lines that stand in at least min_docs documents from every document.
 
     Lines are split at \\n and compared by line_key; keys shorter than min_length code points are
@@ -94,9 +146,13 @@ def line_dedup(docs: DataFrame, min_docs: int = 10, min_length: int = 1, batches
     Columns of docs with these names are replaced. doc_id may be null or repeated: rows are told
     apart by doc_id and text. An empty table gives no rows.
 
+    With a store, its runs count too: lines are dropped that stand in as many documents (the store's `frequent`) of docs
+    and all batches that it has absorbed, and docs are absorbed into it. Without one, docs alone count.
+
     One scan writes the line hashes (a few per cent of the text), the runs are built from those,
-    and one join by document brings each its dropped lines' places. The frequent lines are broadcast
-    only if they number at most broadcast_rows.
+    and one join by document brings each its dropped lines' places. The frequent lines, and the places, are broadcast
+    only if they number at most broadcast_rows; else a Bloom filter of the documents that lose lines keeps
+    most texts of the others out of the shuffle.
     """
     spark = docs.sparkSession
     space = Workspace(spark, "line-dedup")
@@ -111,26 +167,38 @@ def line_dedup(docs: DataFrame, min_docs: int = 10, min_length: int = 1, batches
     )
     hashed = space.stage(hashed, "lines", ("batch",))
 
-    store = RunStore(space, min_docs, fanout)
+    runs = store or RunStore(spark, f"{space.path}/store", min_docs, fanout)
     for batch in range(batches):
         lines = hashed.filter(F.col("batch") == batch).select(F.inline("own"))
-        store.absorb(lines.groupBy(*KEY).agg(F.count("*").alias("n_docs")))
-    frequent = space.stage(store.frequent_lines(), "frequent")
+        runs.absorb(lines.groupBy(*KEY).agg(F.count("*").alias("n_docs")))
+    with sorted_buckets(spark):
+        frequent = space.stage(runs.frequent_lines(), "frequent")
+    if store is None:
+        runs.close()
+        delete(spark, runs.path)
     frequent = broadcast_below(frequent, frequent.count(), broadcast_rows)
 
     placed = hashed.select("doc_id", "text_hash", F.posexplode("lines").alias("place", "line")).filter("line is not null")
     placed = placed.select("doc_id", "text_hash", "place", "line.h1", "line.h2").join(frequent, KEY, "left_semi")
     # a set, as repeated rows bring the same places
     dropped = placed.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("place")).alias("places"))
-    return _without(docs, dropped)
+    return _without(docs, space.stage(dropped, "dropped"), broadcast_rows)
 
 
-def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+def _without(docs: DataFrame, dropped: DataFrame, broadcast_rows: int) -> DataFrame:
     """docs without the lines at the sorted places: the slices between them are joined again."""
     own = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
-    rows = docs.select(F.struct(*own).alias("own"), F.col("doc_id").alias("of_doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("of_text"))
-    joined = rows.join(dropped, F.col("of_doc").eqNullSafe(F.col("doc_id")) & (F.col("of_text") == F.col("text_hash")), "left")
-    joined = joined.select("own", F.coalesce("places", F.array().cast("array<int>")).alias("places"), F.split(F.coalesce("own.text", F.lit("")), "\n", -1).alias("lines"))
+    rows = docs.select(F.struct(*own).alias("own"), F.col("doc_id").alias("of_doc"), text_mark(F.col("text")).alias("of_text"))
+    same = F.col("of_doc").eqNullSafe(F.col("doc_id")) & (F.col("of_text") == F.col("text_hash"))
+    n_docs, n_places = dropped.agg(F.count("*"), F.coalesce(F.sum(F.size("places")), F.lit(0))).first()
+    nothing = F.array().cast("array<int>")
+    if n_docs + n_places <= broadcast_rows:
+        joined = rows.join(F.broadcast(dropped), same, "left").select("own", F.coalesce("places", nothing).alias("places"))
+    else:
+        marked = _marked(rows, dropped, n_docs)
+        joined = marked.filter("maybe").join(dropped.hint("merge"), same, "left").select("own", F.coalesce("places", nothing).alias("places"))
+        joined = joined.unionByName(marked.filter("not maybe").select("own", nothing.alias("places")))
+    joined = joined.withColumn("lines", F.split(F.coalesce("own.text", F.lit("")), "\n", -1))
     ends = F.concat(F.array(F.lit(-1)), "places", F.array(F.size("lines")))
     gaps = F.transform(F.sequence(F.lit(0), F.size("places")), lambda i: F.slice("lines", F.get("ends", i) + 2, F.get("ends", i + 1) - F.get("ends", i) - 1))
     joined = joined.withColumn("ends", ends)
@@ -142,6 +210,21 @@ def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     )
 
 
+def _marked(rows: DataFrame, dropped: DataFrame, n_docs: int) -> DataFrame:
+    """rows with maybe, false only if dropped doesn't hold their key.
+
+    A Bloom filter of eight bits or more for each key, up to FILTER_BITS in all, in bitmaps of 4 KB that are broadcast.
+    """
+    bits = min(FILTER_BITS, 1 << (8 * n_docs).bit_length())
+    at = F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(bits))
+    bitmaps = dropped.groupBy(F.bitmap_bucket_number(at).alias("bitmap_no")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bitmap"))
+    own = F.pmod(F.xxhash64("of_doc", "of_text"), F.lit(bits))
+    bit = F.bitmap_bit_position(own)
+    byte = F.conv(F.hex(F.substring("bitmap", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    held = F.getbit(byte, (bit % 8).cast("int")) == 1
+    return rows.join(F.broadcast(bitmaps), F.bitmap_bucket_number(own) == F.col("bitmap_no"), "left").select(*rows.columns, F.coalesce(held, F.lit(False)).alias("maybe"))
+
+
 def op1_line_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
     kept = line_dedup(docs.select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))

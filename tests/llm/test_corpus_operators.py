@@ -71,6 +71,49 @@ def test_line_dedup(docs, empty):
     assert line_dedup.line_dedup(empty).count() == 0
 
 
+def test_line_runs_are_joined_without_moving_or_sorting_them(spark, tmp_path):
+    store = line_dedup.RunStore(spark, str(tmp_path / "store"), 10)
+    for step in range(2):
+        store.absorb(spark.range(1000).selectExpr("id as h1", f"id * {step + 1} as h2", "id % 20 as n_docs"))
+    store.absorb(spark.range(500).selectExpr("id as h1", "id as h2", "id % 30 as n_docs"))
+    runs = store.runs()
+    assert [len(level) for level in store.levels] == [1, 1]
+    with line_dedup.sorted_buckets(spark):
+        batch = spark.range(50).selectExpr("id as h1", "id as h2").groupBy("h1", "h2").agg(F.count("*").alias("n_docs"))
+        joined = store.unknown(batch)._jdf.queryExecution().executedPlan().toString()
+        merged = line_dedup._merged(runs)._jdf.queryExecution().executedPlan().toString()
+    assert joined.count("SortMergeJoin") == 2 and joined.count("Exchange") == 1 and joined.count("Sort [") == 1  # those of the batch
+    assert merged.count("SortMergeJoin") == 1 and "Exchange" not in merged and "Sort [" not in merged
+    known = {(r.h1, r.h2) for r in store.frequent_lines().collect()}
+    counts = Counter()
+    for step, n, top in ((1, 1000, 20), (2, 1000, 20), (1, 500, 30)):
+        frequent = {k for k, c in counts.items() if c >= 10}
+        counts.update({(i, i * step): i % top for i in range(n) if (i, i * step) not in frequent})
+    assert known == {k for k, c in counts.items() if c >= 10}
+    store.close()
+
+
+def test_a_line_store_outlives_its_session(spark, tmp_path):
+    path = str(tmp_path / "store")
+    first = spark.createDataFrame([(i, f"common line\nonly {i}\nrare {i % 2}") for i in range(8)], "doc_id long, text string")
+    second = spark.createDataFrame([(100 + i, f"Common line \nmore {i}") for i in range(4)], "doc_id long, text string")
+    store = line_dedup.RunStore(spark, path, 10)
+    assert all(r.n_dropped == 0 for r in line_dedup.line_dedup(first, store=store).collect())
+    store.close()
+    again = line_dedup.RunStore.open(spark, path)
+    assert (again.frequent, again.buckets) == (10, store.buckets)
+    out = line_dedup.line_dedup(second, store=again)
+    assert sorted(r.text for r in out.collect()) == [f"more {i}" for i in range(4)]
+    again.close()
+
+
+def test_line_filter_holds_all_its_keys(spark):
+    rows = spark.range(20_000).selectExpr("id as of_doc", "id * 7 as of_text")
+    dropped = spark.range(0, 20_000, 10).selectExpr("id as doc_id", "id * 7 as text_hash")
+    maybe = {r.of_doc for r in line_dedup._marked(rows, dropped, 2000).filter("maybe").collect()}
+    assert maybe >= set(range(0, 20_000, 10)) and len(maybe) < 5000
+
+
 def test_packing(docs, empty):
     library = Tokenizer.from_file(VOCABULARY)
     expect = Counter()
