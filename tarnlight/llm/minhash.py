@@ -7,7 +7,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +14,7 @@ from pyspark.sql import functions as F
 from tarnlight.llm.batches import bound_batches, column, raw_texts
 from tarnlight.llm.components import connected_components
 from tarnlight.llm.shipping import remote
-from tarnlight.llm.staging import Workspace, broadcast_below, text_mark, without
+from tarnlight.llm.staging import Workspace, broadcast_below, named, once, text_mark, unused, without
 from tarnlight.llm.word_hashes import mix, windows, word_hashes
 
 #: Bands of rows: texts of similarity 0.8 share none of 32 bands of 5 with a chance of 3 in a million, of 0.85 with 7 in a billion.
@@ -24,7 +23,10 @@ BANDS, ROWS = 32, 5
 BINS, BITS = 4096, 2048
 #: Deviations by which a pair's odd sketches may miss the threshold and still go to the full check. The formula overstates them: these are 4.6 or more of the deviations measured at any set size.
 DEVIATIONS = 3.4
-CHUNK = 64
+#: A chunk of texts that are checked against one: at most about so many, and so many bytes unless one text has more.
+CHUNK, CHUNK_BYTES = 64, 16 << 20
+#: Members of a bucket whose pairs one task compares with all other members.
+SPLIT = 1_024
 BROADCAST_ROWS = 500_000
 _STEP = np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)
 _FACTORS = mix(_STEP * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -65,12 +67,13 @@ def odd_sketch(samples: np.ndarray) -> np.ndarray:
 
 
 def sketch_batches(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "text_mark", "n_shingles", "s1", "s2", "n_samples", "bands", "odd"]
+    names = ["doc_id", "text_mark", "n_shingles", "n_bytes", "s1", "s2", "n_samples", "bands", "odd"]
     for batch in batches:
-        sizes, digests, counts, bands, odds = [], [], [], [], []
+        sizes, lengths, digests, counts, bands, odds = [], [], [], [], [], []
         for data in raw_texts(batch):
             shingles = shingle_set(data, words)
             sizes.append(len(shingles))
+            lengths.append(len(data))
             digests.append(np.frombuffer(hashlib.blake2b(shingles.tobytes(), digest_size=16).digest(), np.int64))
             bands.append(band_keys(shingles))
             samples = bin_samples(shingles)
@@ -78,7 +81,7 @@ def sketch_batches(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa
             odds.append(odd_sketch(samples))
         digest = np.array(digests, np.int64).reshape(-1, 2)
         lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * n), pa.array(np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64))) for x, n in ((bands, BANDS), (odds, BITS // 64))]
-        yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "text_mark"), pa.array(sizes, pa.int64()), pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy()), pa.array(counts, pa.int32()), *lists], names)
+        yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "text_mark"), pa.array(sizes, pa.int64()), pa.array(lengths, pa.int64()), pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy()), pa.array(counts, pa.int32()), *lists], names)
 
 
 def _alike(percent: int) -> Column:
@@ -142,10 +145,11 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) ->
     repeated = space.stage(judged.filter("kept and doc_id is not null").groupBy("doc_id", "text_mark").agg(F.count("*").alias("n")).filter("n > 1"), "repeated")
     if repeated.isEmpty():
         return kept
-    once = kept.withColumn("_mark", text_mark(F.col("text")))
-    some = repeated.select("doc_id", F.col("text_mark").alias("_mark"))
-    own = once.join(some, ["doc_id", "_mark"], "left_semi").dropDuplicates(["doc_id", "_mark"])
-    return once.join(some, ["doc_id", "_mark"], "left_anti").unionByName(own).select(*docs.columns)
+    some, same, _ = named(kept, repeated)
+    some = broadcast_below(some, repeated.count(), BROADCAST_ROWS)
+    (mark,) = unused(kept, "mark")
+    own = kept.join(some, same, "left_semi").withColumn(mark, text_mark(F.col("text"))).dropDuplicates(["doc_id", mark])
+    return kept.join(some, same, "left_anti").unionByName(own.select(*docs.columns))
 
 
 def _judged(docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -154,19 +158,21 @@ def _judged(docs: DataFrame, words: int, percent: int) -> DataFrame:
     space = Workspace(spark, "near-duplicates")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketches = space.stage(
-        rows.withColumn("text_mark", text_mark(F.col("text"))).mapInArrow(remote(__name__, "sketch_batches", words), "doc_id long, text_mark long, n_shingles long, s1 long, s2 long, n_samples int, bands array<long>, odd array<long>"), "sketches"
+        rows.withColumn("text_mark", text_mark(F.col("text"))).mapInArrow(remote(__name__, "sketch_batches", words), "doc_id long, text_mark long, n_shingles long, n_bytes long, s1 long, s2 long, n_samples int, bands array<long>, odd array<long>"), "sketches"
     )
-    ids = sketches.filter("doc_id is not null").groupBy("doc_id").agg(F.min("text_mark").alias("low"), F.max("text_mark").alias("high"))
-    twice = space.stage(ids.filter("low < high").select(F.col("doc_id").alias("id")), "twice")
+    kinds = space.stage(sketches.filter("doc_id is not null").groupBy("doc_id", "text_mark").agg(F.count("*").alias("n")).withColumn("n", F.col("n").cast("long")), "kinds")
+    again = kinds.filter("n > 1")
+    rows = once(rows, again, again.count(), BROADCAST_ROWS).select("doc_id", "text")
+    twice = space.stage(kinds.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("id")), "twice")
     n_twice = twice.count()
     if not n_twice:
         return _linked(space, sketches.withColumn("node", F.col("doc_id")), rows.withColumnRenamed("doc_id", "node"), words, percent, made_ids=False)
     # such an id's texts are nodes of their own, by a number made from the id and the text
     several = broadcast_below(twice, n_twice, BROADCAST_ROWS)
     node = F.when(F.col("id").isNotNull(), F.xxhash64(F.lit("node"), "doc_id", "text_mark")).otherwise(F.col("doc_id")).alias("node")
-    named = space.stage(sketches.join(several, F.col("doc_id") == F.col("id"), "left").select(*sketches.columns, node), "named")
+    noded = space.stage(sketches.join(several, F.col("doc_id") == F.col("id"), "left").select(*sketches.columns, node), "named")
     texts = rows.withColumn("text_mark", text_mark(F.col("text"))).join(several, F.col("doc_id") == F.col("id"), "left").select(node, "text")
-    return _linked(space, named, texts, words, percent, made_ids=True)
+    return _linked(space, noded, texts, words, percent, made_ids=True)
 
 
 def _linked(space: Workspace, sketches: DataFrame, rows: DataFrame, words: int, percent: int, made_ids: bool) -> DataFrame:
@@ -174,32 +180,35 @@ def _linked(space: Workspace, sketches: DataFrame, rows: DataFrame, words: int,
     sets = sketches.filter("n_shingles > 0 and node is not null")
     classes = space.stage(sets.groupBy("s1", "s2").agg(F.min("node").alias("rep"), F.min("doc_id").alias("low_id")), "classes")
     # a class's sketches come from its representative's row
-    named = sets.withColumnRenamed("node", "rep").join(classes, ["s1", "s2", "rep"], "left_semi").dropDuplicates(["rep"])
-    bands = named.select("rep", F.posexplode("bands").alias("band", "bucket"))
-    marks = F.transform("bands", lambda x: F.shiftright(x, 32).cast("int")).alias("marks")
-    odd = named.select("rep", F.col("n_shingles").alias("n"), F.col("n_samples").alias("k"), "odd", marks)
+    first_of = sets.withColumnRenamed("node", "rep").join(classes, ["s1", "s2", "rep"], "left_semi").dropDuplicates(["rep"])
+    bands = first_of.select("rep", F.posexplode("bands").alias("band", "bucket"))
+    odd = first_of.select("rep", F.col("n_shingles").alias("n"), F.col("n_bytes").alias("bytes"), F.col("n_samples").alias("k"), "odd", F.col("bands").alias("keys"))
     shared = bands.groupBy("bucket").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).filter("leader < last").select("bucket", "leader")
     members = space.stage(bands.join(shared, "bucket").select("bucket", "band", "leader", "rep"), "members")
 
     star = members.filter("rep > leader").groupBy("leader", "rep").agg(F.count("*").alias("n"))
     star = star.groupBy("rep").agg(F.max_by("leader", F.struct("n", -F.col("leader"))).alias("leader"))
-    side = {x: odd.select(*[F.col(c).alias(f"{c}_{x}" if c != "rep" else x) for c in ("rep", "n", "k", "odd")]) for x in "ab"}
-    pairs = star.select(F.col("leader").alias("a"), F.col("rep").alias("b")).join(side["a"], "a").join(side["b"], "b").filter(_alike(percent)).select("a", "b")
+    side = {x: odd.select(*[F.col(c).alias(f"{c}_{x}" if c != "rep" else x) for c in ("rep", "n", "bytes", "k", "odd")]) for x in "ab"}
+    pairs = star.select(F.col("leader").alias("a"), F.col("rep").alias("b")).join(side["a"], "a").join(side["b"], "b").filter(_alike(percent))
+    pairs = pairs.select("a", "b", F.greatest("bytes_a", "bytes_b").alias("bytes"))
     first = connected_components(space, verify(space, pairs, rows, words, percent))
     first = space.stage(first, "first")
 
     held = members.select("bucket", "band", "rep").join(first, F.col("rep") == F.col("node"), "left").select("bucket", "band", "rep", F.coalesce("label", "rep").alias("part"))
     mixed = held.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high").select("bucket")
     held = mixed = space.stage(held.join(mixed, "bucket", "left_semi"), "mixed")
-    main = held.groupBy("bucket", "part").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max_by("part", F.struct("n", "part")).alias("main"))
-    held = held.join(main, "bucket").join(odd, "rep")
-    left, right = (held.select(*[F.col(c).alias(f"{c}_{x}" if c != "rep" else x) for c in ("bucket", "band", "rep", "part", "n", "k", "odd", "marks", "main")]) for x in "ab")
-    left = left.filter("part_a != main_a")
+    main = held.groupBy("bucket", "part").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.ceil(F.sum("n") / SPLIT).cast("int").alias("splits"))
+    main = space.stage(main, "main")  # so the join below reads shuffled rows alone, which can be split where they are skewed
+    held = held.join(broadcast_below(main, main.count(), BROADCAST_ROWS), "bucket").join(odd, "rep")
+    left, right = (held.select(*[F.col(c).alias(f"{c}_{x}" if c != "rep" else x) for c in ("bucket", "band", "rep", "part", "n", "bytes", "k", "odd", "keys", "main", "splits")]) for x in "ab")
+    # the members of a large bucket that aren't in its main part are dealt to splits, each of which meets all members
+    left = left.filter("part_a != main_a").withColumn("split_a", F.pmod(F.xxhash64("a"), F.col("splits_a")).cast("int"))
+    right = right.withColumn("split_b", F.explode(F.sequence(F.lit(0), F.col("splits_b") - 1)))
     # of the buckets that a pair shares, the first brings it
-    first_band = F.array_position(F.zip_with("marks_a", "marks_b", lambda x, y: x == y), True) == F.col("band_a") + 1
-    apart = (F.col("bucket_a") == F.col("bucket_b")) & (F.col("part_a") != F.col("part_b")) & ((F.col("part_b") == F.col("main_b")) | (F.col("a") < F.col("b")))
+    first_band = F.array_position(F.zip_with("keys_a", "keys_b", lambda x, y: x == y), True) == F.col("band_a") + 1
+    apart = (F.col("bucket_a") == F.col("bucket_b")) & (F.col("split_a") == F.col("split_b")) & (F.col("part_a") != F.col("part_b")) & ((F.col("part_b") == F.col("main_b")) | (F.col("a") < F.col("b")))
     cross = left.join(right, apart & _alike(percent) & first_band)
-    cross = cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    cross = cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.greatest("bytes_a", "bytes_b").alias("bytes")).distinct()
     links = verify(space, cross, rows, words, percent)
     space.drop(members, mixed)
     label = {x: first.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}")) for x in "ab"}
@@ -220,19 +229,21 @@ def _linked(space: Workspace, sketches: DataFrame, rows: DataFrame, words: int,
 
 
 def verify(space: Workspace, pairs: DataFrame, rows: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs(a, b) whose full sets are similar enough, staged.
+    """The pairs(a, b, bytes of the longer text) whose full sets are similar enough, staged. rows(node, text) has each node once.
 
-    Each a's partners are dealt to chunks of about CHUNK, so no task gathers a group; a text goes once to each
-    chunk that needs it. The texts come from one pass over the rows; which are needed is broadcast
+    Each a's partners are dealt to chunks of about CHUNK and CHUNK_BYTES, so no task gathers a group, and long texts are checked
+    pair by pair; a text goes once to each chunk that needs it. The texts come from one pass over the rows; which are needed is broadcast
     only if that is a bounded number.
     """
     pairs = space.stage(pairs, "pairs")
-    sizes = pairs.groupBy("a").agg(F.count("*").alias("n"))
-    dealt = pairs.join(sizes, "a").select("a", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / CHUNK)).alias("chunk"), "b")
+    sizes = pairs.groupBy("a").agg(F.count("*").alias("n"), F.max("bytes").alias("most"))
+    at_once = F.least(F.lit(CHUNK), F.floor(CHUNK_BYTES / F.greatest(F.col("most"), F.lit(1))))
+    chunk = F.when(at_once <= 1, F.xxhash64("b")).otherwise(F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / at_once)))
+    dealt = pairs.join(sizes, "a").select("a", chunk.alias("chunk"), "b")
     needed = dealt.select("a", "chunk", F.col("b").alias("id")).unionByName(dealt.select("a", "chunk", F.col("a").alias("id")).distinct())
     needed = space.stage(needed, "needed")
     texts = rows.join(broadcast_below(needed, needed.count(), BROADCAST_ROWS), F.col("node") == F.col("id")).select("a", "chunk", "id", "text")
-    links = space.stage(texts.groupBy("a", "chunk").applyInPandas(remote(__name__, "check_chunk", words, percent), "a long, b long"), "links")
+    links = space.stage(texts.groupBy("a", "chunk").applyInArrow(remote(__name__, "check_chunk", words, percent), "a long, b long"), "links")
     space.drop(pairs, needed)
     return links
 
@@ -243,14 +254,12 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 0 < both and 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def check_chunk(group: pd.DataFrame, words: int, percent: int) -> pd.DataFrame:
-    own = int(group["a"].iloc[0])
-    group = group.drop_duplicates(["id", "text"])
-    sets: dict[int, list[np.ndarray]] = {}
-    for doc_id, text in zip(group["id"], group["text"], strict=True):
-        sets.setdefault(int(doc_id), []).append(shingle_set((text or "").encode(), words))
-    found = [b for b in sets if b != own and any(similar(x, y, percent) for x in sets[own] for y in sets[b])]
-    return pd.DataFrame({"a": np.full(len(found), own, np.int64), "b": np.array(found, np.int64)})
+def check_chunk(group: pa.Table, words: int, percent: int) -> pa.Table:
+    own, ids = group["a"][0].as_py(), group["id"].to_pylist()
+    texts = group["text"].cast(pa.binary())
+    mine = shingle_set(texts[ids.index(own)].as_py() or b"", words)
+    found = [b for i, b in enumerate(ids) if b != own and similar(mine, shingle_set(texts[i].as_py() or b"", words), percent)]
+    return pa.table([pa.array([own] * len(found), pa.int64()), pa.array(found, pa.int64())], names=["a", "b"])
 
 
 def op4_minhash_near_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:

@@ -100,6 +100,17 @@ def without(docs: DataFrame, gone: DataFrame, broadcast_rows: int = 500_000) ->
     return docs.join(broadcast_below(keys, gone.count(), broadcast_rows), same, "left_anti")
 
 
+def once(rows: DataFrame, kinds: DataFrame, n_kinds: int, limit: int = 500_000) -> DataFrame:
+    """rows(doc_id, text) and n: those in kinds(doc_id, text_mark, n), counted as n_kinds, stand once with their n, all others with 1."""
+    keys, same, (n,) = named(rows, kinds, ("n",))
+    if not n_kinds:
+        return rows.withColumn("n", F.lit(1).cast("long"))
+    keys = broadcast_below(keys, n_kinds, limit)
+    again = rows.join(keys, same).select("doc_id", "text", n, text_mark(F.col("text")).alias("text_mark"))
+    again = again.groupBy("doc_id", "text_mark").agg(F.first("text").alias("text"), F.max(n).alias("n"))
+    return rows.join(keys, same, "left_anti").withColumn("n", F.lit(1).cast("long")).unionByName(again.select("doc_id", "text", "n"))
+
+
 def repeated(frame: DataFrame, times: str, lot: int = 1_000) -> DataFrame:
     """The rows, each as often as its column `times` says (never, if that is below 1), without that column.
 

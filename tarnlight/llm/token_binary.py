@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tarnlight.llm.batches import bound_batches, column, texts
 from tarnlight.llm.byte_pairs import Vocabulary, encoder
 from tarnlight.llm.shipping import remote
-from tarnlight.llm.staging import Workspace, broadcast_below, named, text_mark
+from tarnlight.llm.staging import Workspace, once, text_mark
 
 GROUP_BYTES = 4 << 20
 #: Bytes of ids after which a batch of pieces is handed on.
@@ -112,13 +112,7 @@ def token_matrices(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, e
     total, n_repeated = kinds.agg(F.coalesce(F.sum(F.col("n") * (F.col("bytes") + 1)), F.lit(0)), F.count_if(F.col("n") > 1)).first()
     groups = max(1, -(-total // group_bytes))
     width = 2 if max(Vocabulary(tokenizer_path).size, (end_id or 0) + 1, pad_id + 1) <= 1 << 16 else 4
-    counted = rows.withColumn("n", F.lit(1).cast("long"))
-    if n_repeated:
-        repeated, same, (n,) = named(rows, kinds.filter("n > 1"), ("n",))
-        repeated = broadcast_below(repeated, n_repeated, BROADCAST_ROWS)
-        again = rows.join(repeated, same).select("doc_id", "text", n, text_mark(F.col("text")).alias("text_mark"))
-        once = again.groupBy("doc_id", "text_mark").agg(F.first("text").alias("text"), F.max(n).alias("n"))
-        counted = counted.join(repeated, same, "left_anti").unionByName(once.select("doc_id", "text", "n"))
+    counted = once(rows, kinds.filter("n > 1"), n_repeated, BROADCAST_ROWS)
     cut = counted.mapInArrow(remote(__name__, "id_batches", tokenizer_path, capacity, end_id, width), "doc_id long, start long, length int, ids binary, n long")
     lots = cut.withColumn("lot", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / COPIES))))
     copies = F.least(F.lit(COPIES), F.col("n") - COPIES * F.col("lot")).cast("int")

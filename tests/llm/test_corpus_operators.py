@@ -260,8 +260,11 @@ def test_near_duplicates_judge_each_text_of_a_repeated_id(spark):
     assert Counter(map(tuple, kept)) == Counter([(1, one), (1, two), (-7, three), (None, one)])
 
 
-def test_near_duplicates_in_chains_and_crowds(spark):
+@pytest.mark.parametrize("limits", [{}, {"SPLIT": 3, "CHUNK_BYTES": 2000, "CHUNK": 2, "BROADCAST_ROWS": 0}])
+def test_near_duplicates_in_chains_and_crowds(spark, monkeypatch, limits):
     """Texts that differ a little more with each step, and a crowd around one text: links at all similarities about the threshold."""
+    for name, value in limits.items():
+        monkeypatch.setattr(minhash, name, value)
     rng = random.Random(3)
     rows, doc = [], sentence(rng, 120).split()
     for i in range(60):
@@ -281,6 +284,39 @@ def test_near_duplicates_in_chains_and_crowds(spark):
     assert 5 < len(set(label.values())) < 170
 
 
+def sketched_pairs(rng, size, percent, pairs):
+    """Pairs of random sets whose similarity is the least that counts as alike, as rows for _alike."""
+    both = -(-percent * size // 100)
+    for _ in range(pairs):
+        hashes = rng.integers(0, 2**63, size, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        extra = rng.binomial(size - both, 0.5)
+        sides = [np.sort(np.concatenate([hashes[:both], x])) for x in (hashes[both : both + extra], hashes[both + extra :])]
+        samples = [minhash.bin_samples(x) for x in sides]
+        odd = [minhash.odd_sketch(x).tolist() for x in samples]
+        yield (len(sides[0]), len(sides[1]), len(samples[0]), len(samples[1]), *odd)
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_odd_sketches_keep_pairs_at_the_threshold(spark, percent):
+    rng = np.random.default_rng(percent)
+    rows = [row for size, pairs in ((3, 300), (10, 300), (100, 600), (1000, 600), (10_000, 200), (100_000, 20)) for row in sketched_pairs(rng, size, percent, pairs)]
+    pairs = spark.createDataFrame(rows, "n_a long, n_b long, k_a int, k_b int, odd_a array<long>, odd_b array<long>")
+    assert pairs.filter(minhash._alike(percent)).count() == len(rows)
+
+
+def test_near_duplicates_of_repeated_rows_and_clashing_names(spark):
+    rng = random.Random(4)
+    texts = [sentence(rng, 70) for _ in range(20)]
+    rows = [(i % 25, texts[i % 20], "own", i, "x", "y", "z") for i in range(200)] + [(None, texts[0], "none", 0, "x", "y", "z")] * 2
+    table = spark.createDataFrame(rows, "doc_id long, text string, _mark string, mark int, gone_id string, of_doc string, of_mark string")
+    kept = minhash.drop_near_duplicates(table, 3, 85)
+    assert kept.columns == table.columns
+    found = Counter((r.doc_id, r.text) for r in kept.collect() if r.doc_id is not None)
+    lowest = {t: min(i for i, x, *_ in rows if x == t and i is not None) for t in texts}
+    assert found == Counter((i, t) for t, i in lowest.items())
+    assert Counter(r._mark for r in kept.collect()) == {"own": 20, "none": 2}
+
+
 def test_exact_dedup(docs, empty):
     groups = defaultdict(list)
     for r in ROWS:
