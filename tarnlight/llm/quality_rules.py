@@ -27,6 +27,8 @@ der die das und zu den von ist im nicht ein auf für mit
 le la les de des et en un une que qui pour dans est sur du
 el los las del y se por con para una su
 """.split()
+#: The languages that the list covers; only in texts said to be in one of them does a lack of its words speak against a text.
+STOP_LANGUAGES = ("en", "de", "fr", "es")
 SYMBOLS = b"#*$%&|<>"
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stop_words", "n_letters", "n_upper", "n_lettered")
 
@@ -41,12 +43,11 @@ class Rule:
 
 
 RULES = (
-    Rule("length", "n_words >= 80", "n_words < 50"),
     Rule("word_length", "word_chars between 3 * n_words and 10 * n_words", "word_chars < 2 * n_words or word_chars > 13 * n_words"),
     Rule("symbols", "50 * n_symbols <= n_words", "10 * n_symbols > n_words"),
     Rule("repeated_lines", "10 * n_dup_lines <= n_lines", "10 * n_dup_lines > 3 * n_lines"),
     Rule("repeated_words", "100 * n_repeat_words <= 15 * n_words", "100 * n_repeat_words > 35 * n_words"),
-    Rule("stop_words", "10 * n_stop_words >= n_words", "100 * n_stop_words < n_words"),
+    Rule("stop_words", "10 * n_stop_words >= n_words", "is_listed and n_words >= 20 and 100 * n_stop_words < n_words"),
     Rule("letters", "100 * n_letters >= 90 * word_chars", "100 * n_letters < 75 * word_chars"),
     Rule("worded", "100 * n_lettered >= 95 * n_words", "100 * n_lettered < 80 * n_words"),
     Rule("capitals", "10 * n_upper <= n_letters", "10 * n_upper > 4 * n_letters"),
@@ -59,27 +60,39 @@ STEPS = 50
 
 
 def base_features(docs: DataFrame) -> DataFrame:
-    """doc_id, text_mark and FEATURES for every row of docs(doc_id, text); a null text has no words and one line."""
+    """doc_id, text_mark, is_listed and FEATURES for every row of docs(doc_id, text, and lang if there is one); a null text has no words and one line.
+
+    is_listed: lang begins with the code of one of STOP_LANGUAGES.
+    """
     bound_batches(docs.sparkSession)
-    schema = "doc_id long, text_mark long, " + ", ".join(f"{f} long" for f in FEATURES)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_mark(F.col("text")).alias("text_mark")).mapInArrow(remote(__name__, "feature_batches"), schema)
+    schema = "doc_id long, text_mark long, is_listed boolean, " + ", ".join(f"{f} long" for f in FEATURES)
+    listed = F.lower(F.substring(F.col("lang").cast("string"), 1, 2)).isin(*STOP_LANGUAGES) if "lang" in docs.columns else F.lit(False)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_mark(F.col("text")).alias("text_mark"), F.coalesce(listed, F.lit(False)).alias("is_listed"))
+    return rows.mapInArrow(remote(__name__, "feature_batches"), schema)
 
 
 def feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    own = ["doc_id", "text_mark", "is_listed"]
     for batch in batches:
         rows = np.array([features(text) for text in raw_texts(batch)], np.int64).reshape(-1, len(FEATURES))
-        yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "text_mark"), *(pa.array(c) for c in rows.T.copy())], ["doc_id", "text_mark", *FEATURES])
+        yield pa.RecordBatch.from_arrays([*(column(batch, c) for c in own), *(pa.array(c) for c in rows.T.copy())], [*own, *FEATURES])
 
 
 _IS_SYMBOL, _IS_LETTER, _IS_UPPER = np.zeros(256, np.int64), np.zeros(256, np.int64), np.zeros(256, np.int64)
 _IS_SYMBOL[list(SYMBOLS)] = 1
 _IS_UPPER[range(ord("A"), ord("Z") + 1)] = 1
-_IS_LETTER[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1), *range(0xC0, 0x100)]] = 1
+#: First bytes of letters. Those of Latin-1 signs (C2) and of punctuation, arrows and the like (E2) are left out.
+_IS_LETTER[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1), *range(0xC3, 0xE2), *range(0xE3, 0xF5)]] = 1
+#: First two bytes of characters that are none although their first byte says so: CJK punctuation, variation selectors, full-width signs, emoji.
+_NO_LETTERS = (b"\xe3\x80", b"\xef\xb8", b"\xef\xbc", b"\xf0\x9f")
+#: As the table above, but a word of emoji alone holds no letter.
+_IN_WORD = _IS_LETTER.copy()
+_IN_WORD[0xF0:] = 0
 _STOP = np.sort(word_hashes(" ".join(STOP_WORDS).encode()))
 
 
 def features(data: bytes) -> tuple[int, ...]:
-    """FEATURES of a text. A letter is one of A-Z and a-z or any character beyond ASCII."""
+    """FEATURES of a text. A letter is one of A-Z and a-z or a character beyond ASCII that isn't known as another kind by its first bytes."""
     tally = sum((np.bincount(np.frombuffer(block, np.uint8), minlength=256) for block in blocks(data)), np.zeros(256, np.int64))
     blanks = int(tally[_BLANK].sum())
     # code points: all bytes but the continuation bytes 0x80 to 0xBF
@@ -97,7 +110,7 @@ def features(data: bytes) -> tuple[int, ...]:
     at = np.minimum(np.searchsorted(_STOP, lowered), len(_STOP) - 1)
     n_stop = int((_STOP[at] == lowered).sum()) if len(lowered) else 0
     n_lettered = sum(map(lettered_words, blocks(data)))
-    return (len(words), word_chars, int((tally * _IS_SYMBOL).sum()), n_dup, n_repeat, max(1, n_lines), n_stop, int((tally * _IS_LETTER).sum()), int((tally * _IS_UPPER).sum()), n_lettered)
+    return (len(words), word_chars, int((tally * _IS_SYMBOL).sum()), n_dup, n_repeat, max(1, n_lines), n_stop, int((tally * _IS_LETTER).sum()) - sum(map(data.count, _NO_LETTERS)), int((tally * _IS_UPPER).sum()), n_lettered)
 
 
 def lettered_words(data: bytes) -> int:
@@ -105,7 +118,7 @@ def lettered_words(data: bytes) -> int:
     codes = np.frombuffer(data, np.uint8)
     starts, ends = spans(codes)
     letters = np.zeros(len(data) + 1, np.int32)
-    np.cumsum(_IS_LETTER[codes], out=letters[1:])
+    np.cumsum(_IN_WORD[codes], out=letters[1:])
     return int((letters[ends] > letters[starts]).sum())
 
 
@@ -158,12 +171,12 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, prior: float = PRIOR) ->
 
 
 def judge_quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, min_words: int = 50, max_repeat_percent: int = 50, min_posterior: float = 0.5) -> DataFrame:
-    """doc_id, text_mark, the features, base_failed, quality (posterior) and kept for every row of docs(doc_id, text).
+    """doc_id, text_mark, is_listed, the features, base_failed, quality (posterior) and kept for every row of docs(doc_id, text, and lang if there is one).
 
     base_failed: fewer than min_words words, or over max_repeat_percent of them in repeated windows of three
     words. kept: not base_failed, and a posterior of at least min_posterior. A null or empty text
     has no words, so it fails. Rows may repeat and doc_id may be null: a row is judged by its
-    text alone. Other columns are ignored; an empty table gives no rows.
+    text and lang alone. Other columns are ignored; an empty table gives no rows.
 
     One scan of the texts; votes are counted by pattern (at most 3 ^ rules of them), and those counts
     are all that the estimation needs, so it takes in every document at any size.
@@ -185,12 +198,19 @@ def judge_quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, min_words: i
     return judged.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= min_posterior))
 
 
-def keep_quality(docs: DataFrame) -> DataFrame:
-    """The rows of docs that judge_quality keeps, with all their columns; repeated rows and rows without a doc_id by their own texts."""
-    rejected = judge_quality(docs.select("doc_id", "text")).filter("not kept").select("doc_id", "text_mark")
+def _judged_columns(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "text", *[c for c in ("lang",) if c in docs.columns])
+
+
+def keep_quality(docs: DataFrame, min_words: int = 50) -> DataFrame:
+    """The rows of docs that judge_quality keeps, with all their columns.
+
+    Rows without a doc_id are judged by their own texts; of rows that repeat doc_id and text none is kept if one is rejected.
+    """
+    rejected = judge_quality(_judged_columns(docs), min_words=min_words).filter("not kept").select("doc_id", "text_mark")
     return without(docs, Workspace(docs.sparkSession, "quality").stage(rejected, "rejected"))
 
 
 def op7_quality_rules(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    judged = judge_quality(docs.select("doc_id", "text"))
+    judged = judge_quality(_judged_columns(docs))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")

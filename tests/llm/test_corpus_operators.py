@@ -458,6 +458,43 @@ def test_quality_features_and_verdicts(docs, empty):
     assert quality_rules.judge_quality(empty).count() == 0
 
 
+def plain_estimate(votes):
+    """Expectation-maximisation document by document: the posterior of each, for two classes and rules that are independent given the class."""
+    n_rules = len(votes[0])
+    wrong, right, share = [0.02] * n_rules, [0.5] * n_rules, 0.85
+    for _ in range(quality_rules.STEPS):
+        up = [max(0.0, math.log((1 - f) / (1 - t))) for f, t in zip(wrong, right, strict=True)]
+        down = [min(0.0, math.log(f / t)) for f, t in zip(wrong, right, strict=True)]
+        posterior = []
+        for vote in votes:
+            odds = math.log(share / (1 - share)) + sum(up[i] if v > 0 else down[i] if v < 0 else 0.0 for i, v in enumerate(vote))
+            posterior.append(1 / (1 + math.exp(-odds)))
+        for i in range(n_rules):
+            voted = [(v[i], p) for v, p in zip(votes, posterior, strict=True) if v[i]]
+            wrong[i] = (sum(p for v, p in voted if v < 0) + 50 * 0.02) / (sum(p for _, p in voted) + 50)
+            right[i] = (sum(1 - p for v, p in voted if v < 0) + 50 * 0.5) / (sum(1 - p for _, p in voted) + 50)
+        share = min(0.95, max(0.05, (sum(posterior) + 0.85 * 50) / (len(votes) + 50)))
+    return posterior
+
+
+def test_quality_verdicts_equal_a_plain_estimate(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    out = quality_rules.judge_quality(docs).collect()
+    names = [f"vote_{r.name}" for r in quality_rules.RULES]
+    posterior = plain_estimate([[r[n] for n in names] for r in out])
+    assert all(abs(r.quality - p) < 1e-9 for r, p in zip(out, posterior, strict=True))
+    assert all(r.kept == (r.n_words >= 50 and 100 * r.n_repeat_words <= 50 * r.n_words and p >= 0.5) for r, p in zip(out, posterior, strict=True))
+    assert {r.kept for r in out} == {True, False}
+
+
+def test_stop_words_speak_against_texts_of_listed_languages_alone(spark):
+    russian = " ".join(f"слово{i} и дело{i} было в городе" for i in range(40))
+    rows = [(1, russian, "ru"), (2, russian, None), (3, russian, "en"), (4, "зима\U0001f600 \U0001f600 。", "ru")]
+    out = {r.doc_id: r for r in quality_rules.judge_quality(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert [out[i].vote_stop_words for i in (1, 2, 3)] == [0, 0, -1] and out[1].kept and out[2].kept
+    assert (out[4].n_letters, out[4].n_lettered) == (4, 2)  # the full stop's first byte is that of letters
+
+
 def test_quality_features_are_the_same_in_blocks(monkeypatch):
     texts = ["Ein Wort, two words\nund mehr 12 34\n", "x" * 500, "ünï cödé 5 5 5 " * 40, "", " \t\n", "A b\nA b\n" * 30]
     whole = [quality_rules.features(t.encode()) for t in texts]
