@@ -23,8 +23,8 @@ def _documents(docs: DataFrame) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
-    return keep_quality(docs).select(*COLUMNS)
+    """Documents that the quality rules reject go: by their posterior if they have few words too, since a short document is not thereby a bad one."""
+    return keep_quality(docs, min_words=1).select(*COLUMNS)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
