@@ -22,7 +22,7 @@ CELLS, STEPS = 32, 2
 HEAVY, MAX_HEAVY = 0.01, 20_000
 #: By how much a shard may be over the mean before groups in it are parted.
 TOLERANCE = 0.1
-SLOT_ROWS = 2_000
+SLOT_ROWS = 500
 #: Copies of a repeated row that one task writes out at once.
 RUN = 1_000
 KEY = ["text_hash", "text_crc32", "size"]
