@@ -12,7 +12,7 @@ from tarnlight.llm.staging import Workspace, broadcast_below, repeated, text_mar
 #: Weights of the sources in order, repeating.
 WEIGHTS = (1.0, 2.0, 3.0)
 MAX_REPEATS = 3
-BUCKET_ROWS = 2_000
+BUCKET_ROWS = 500
 BROADCAST_ROWS = 100_000
 #: Size classes for each doubling of a document's words; the documents of one are of nearly one size.
 CLASSES = 16
