@@ -6,22 +6,45 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def asof_join(left: DataFrame, right: DataFrame, on: str, by: list[str], values: list[str]) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, on: str, by: list[str], values: list[str], slot_seconds: int = 86_400) -> DataFrame:
     """left with the values of right's latest row at or before left's `on`, among equal `by`; nulls where there is none.
 
-    Both sides are put into one table and a window carries the last row of right forward, so
-    there is one shuffle by key and no pair is made. Of right rows at one time the one with the largest
-    values counts. Right must have no other columns than on, by and values. Left rows with a null key or a
-    null `on` find nothing.
+    Time is cut into slots, and both sides are put into one table whose rows are ordered within key and slot: a window
+    carries the last row of right forward there. What is found in no row of the own slot comes from the last slot before that has any,
+    by a window over one row for each key and slot. So no pair is made, and a hot key's rows are dealt by
+    slot. Of right rows at one time the one with the largest values counts. Left rows with a null key or a null `on` find nothing.
     """
-    rows = left.select(F.lit(1).alias("is_left"), F.col(on).alias("at"), *by, F.struct(*left.columns).alias("own"), F.lit(None).cast(right.select(F.struct(*values)).schema[0].dataType).alias("found"))
-    seen = right.filter(F.col(on).isNotNull()).select(F.lit(0).alias("is_left"), F.col(on).alias("at"), *by, F.lit(None).cast(rows.schema["own"].dataType).alias("own"), F.struct(*values).alias("found"))
-    upto = Window.partitionBy(*by).orderBy("at", "is_left", "found").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    last = rows.unionByName(seen).withColumn("last", F.last("found", ignorenulls=True).over(upto)).filter("is_left = 1")
-    known = F.col("at").isNotNull()
+
+    def slot(at: str) -> Column:
+        return F.floor(F.unix_micros(F.col(at).cast("timestamp")) / (slot_seconds * 1_000_000)).alias("slot")
+
+    rows = left.select(F.lit(1).alias("is_left"), F.col(on).alias("at"), slot(on), *by, F.struct(*left.columns).alias("own"), F.lit(None).cast(right.select(F.struct(*values)).schema[0].dataType).alias("found"))
+    seen = right.filter(F.col(on).isNotNull()).select(F.lit(0).alias("is_left"), F.col(on).alias("at"), slot(on), *by, F.lit(None).cast(rows.schema["own"].dataType).alias("own"), F.struct(*values).alias("found"))
+    both = rows.unionByName(seen)
+    upto = Window.partitionBy(*by, "slot").orderBy("at", "is_left", "found").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = both.withColumn("last", F.last("found", ignorenulls=True).over(upto)).filter("is_left = 1")
+    slots = both.groupBy(*by, "slot").agg(F.max(F.when(F.col("is_left") == 0, F.struct("at", "found")))["found"].alias("ends"))
+    before = F.last("ends", ignorenulls=True).over(Window.partitionBy(*by).orderBy("slot").rowsBetween(Window.unboundedPreceding, -1))
+    carried = slots.select(*[F.col(k).alias(f"slot_{k}") for k in by], F.col("slot").alias("of_slot"), before.alias("before"))
+    same = F.col("slot") == F.col("of_slot")
     for key in by:
-        known = known & F.col(key).isNotNull()
-    return last.select(*[F.col("own").getField(c).alias(c) for c in left.columns], *[F.when(known, F.col("last").getField(c)).alias(c) for c in values])
+        same = same & (F.col(key) == F.col(f"slot_{key}"))
+    # a null key or time meets no slot, and is then in no window with rows of right that count
+    found = F.when(F.col("of_slot").isNotNull(), F.coalesce("last", "before"))
+    joined = last.join(carried, same, "left").withColumn("found", found)
+    return joined.select(*[F.col("own").getField(c).alias(c) for c in left.columns], *[F.col("found").getField(c).alias(c) for c in values])
+
+
+def not_in(left: DataFrame, right: DataFrame, key: str, values: str) -> DataFrame:
+    """left's rows whose key is NOT IN right's values, as SQL has it.
+
+    No value at all lets every row through; a null among the values lets none through; a null key is let through only by no value at all.
+    """
+    state = right.agg(F.count("*").alias("n_values"), F.count_if(F.col(values).isNull()).alias("n_nulls"))
+    wanted = right.select(F.col(values).alias("not_in_value")).filter("not_in_value is not null")
+    rest = left.join(wanted, F.col(key) == F.col("not_in_value"), "left_anti")
+    # one row, so a join with it moves nothing
+    return rest.join(F.broadcast(state), (F.col("n_values") == 0) | ((F.col("n_nulls") == 0) & F.col(key).isNotNull()), "left_semi")
 
 
 def interval_join(left: DataFrame, right: DataFrame, on: str, right_on: str, by: list[str], seconds: int) -> DataFrame:
@@ -49,8 +72,9 @@ def top_per_group(rows: DataFrame, by: list[str], order: list[Column], n: int) -
 def sessions(events: DataFrame, by: str, ts: str, gap: str) -> DataFrame:
     """by, started, ended, n_events for each run of events of one key that are at most `gap` apart.
 
-    Built on session_window, which merges sessions within tasks before the shuffle, so a key with
-    very many events doesn't need them all in one task's memory.
+    Built on session_window. All events of a key meet in one task, sorted and merged one after another. Where a key has very many, set
+    spark.sql.sessionWindow.merge.sessions.in.local.partition, as build_session does: sessions are then merged within
+    tasks before the shuffle, and only those are sent on.
     """
     found = events.groupBy(by, F.session_window(F.col(ts).cast("timestamp"), gap).alias("session")).agg(F.count("*").alias("n_events"), F.max(ts).alias("ended"))
     return found.select(by, F.col("session.start").cast("timestamp_ntz").alias("started"), "ended", "n_events")

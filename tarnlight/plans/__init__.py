@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnlight.plans import aggregates, joins, sets, windows
+from tarnlight.plans import aggregates, joins, sets, streams, texts, windows
 
-QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = joins.QUERIES | aggregates.QUERIES | windows.QUERIES | sets.QUERIES
+QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = (
+    joins.QUERIES | aggregates.QUERIES | windows.QUERIES | sets.QUERIES | texts.QUERIES | streams.QUERIES
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnlight.functions import money
-from tarnlight.operators import asof_join, interval_join
+from tarnlight.operators import asof_join, interval_join, not_in
 from tarnlight.sources import table
 
 
@@ -42,10 +42,9 @@ def top_order_of_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def parts_not_sold_by(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Number of parts that supplier 1 never shipped (NOT IN over a column without nulls)."""
+    """Number of parts that supplier 1 never shipped (NOT IN; a null part key would leave none)."""
     shipped = table(spark, sf_dir, "lineitem").filter("l_suppkey = 1").select("l_partkey")
-    parts = table(spark, sf_dir, "part")
-    return parts.join(shipped, F.expr("p_partkey = l_partkey"), "left_anti").agg(F.count("*").alias("n_parts"))
+    return not_in(table(spark, sf_dir, "part"), shipped, "p_partkey", "l_partkey").agg(F.count("*").alias("n_parts"))
 
 
 def purchase_after_click(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from tarnlight.sources import table
 
 
-def brand_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+def nation_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nations' key multiset of customers less that of suppliers (except all)."""
     buyers = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nationkey"))
     return buyers.exceptAll(table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nationkey")))
 
 
-def brand_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+def nation_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What customers' and suppliers' nations have in common, with repeats (intersect all)."""
     buyers = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nationkey"))
     return buyers.intersectAll(table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nationkey")))
@@ -28,10 +28,12 @@ def nations_with_both(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def calendar_years(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders of every year from the first to the last, years without orders included (recursive query)."""
-    table(spark, sf_dir, "orders").selectExpr("cast(year(o_orderdate) as bigint) as y").createOrReplaceTempView("tarnlight_years")
+    counts = table(spark, sf_dir, "orders").groupBy(F.year("o_orderdate").cast("bigint").alias("y")).agg(F.count("*").alias("n"))
     return spark.sql(
-        """with recursive years(y) as (select min(y) from tarnlight_years union all select y + 1 from years where y < 2003)
-        select years.y as order_year, count(tarnlight_years.y) as n_orders from years left join tarnlight_years on years.y = tarnlight_years.y group by 1"""
+        """with recursive ends as (select min(y) as low, max(y) as high from {counts}),
+        years(y, high) as (select low, high from ends union all select y + 1, high from years where y < high)
+        select years.y as order_year, coalesce(n, 0) as n_orders from years left join {counts} as c on years.y = c.y""",
+        counts=counts,
     )
 
 
@@ -41,12 +43,13 @@ def largest_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "brand_difference": (brand_difference, "select c_nationkey as nationkey from customer except all select s_nationkey from supplier"),
-    "brand_overlap": (brand_overlap, "select c_nationkey as nationkey from customer intersect all select s_nationkey from supplier"),
+    "nation_difference": (nation_difference, "select c_nationkey as nationkey from customer except all select s_nationkey from supplier"),
+    "nation_overlap": (nation_overlap, "select c_nationkey as nationkey from customer intersect all select s_nationkey from supplier"),
     "nations_with_both": (nations_with_both, "select c_nationkey as nationkey from customer union select s_nationkey from supplier"),
     "calendar_years": (
         calendar_years,
-        """with recursive years(y) as (select min(cast(year(o_orderdate) as bigint)) from orders union all select y + 1 from years where y < 2003)
+        """with recursive ends as (select min(cast(year(o_orderdate) as bigint)) as low, max(cast(year(o_orderdate) as bigint)) as high from orders),
+        years(y, high) as (select low, high from ends union all select y + 1, high from years where y < high)
         select y as order_year, count(o_orderkey) as n_orders from years left join orders on year(o_orderdate) = y group by 1""",
     ),
     "largest_orders": (largest_orders, "select o_orderkey, o_totalprice from orders order by o_totalprice desc, o_orderkey limit 10"),

@@ -23,8 +23,9 @@ def moving_average(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def trailing_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each event with the number of its user's events in the hour up to it (time-range frame)."""
-    table(spark, sf_dir, "events").createOrReplaceTempView("tarnlight_events")
-    return spark.sql("select event_id, count(*) over (partition by user_id order by ts range between interval 1 hour preceding and current row) as n_recent from tarnlight_events")
+    return spark.sql(
+        "select event_id, count(*) over (partition by user_id order by ts range between interval 1 hour preceding and current row) as n_recent from {events}", events=table(spark, sf_dir, "events")
+    )
 
 
 def order_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:

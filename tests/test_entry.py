@@ -11,7 +11,7 @@ def test_every_oracle_has_a_query():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert len(entry.queries()) >= 31
+    assert len(entry.queries()) >= 40
 
 
 def test_works_without_the_subpackage(tmp_path):

@@ -9,7 +9,7 @@ import pytest
 from tarnlight import plans
 
 SF = "/root/testdata/sf0.01"
-TABLES = "region nation customer supplier part orders lineitem events".split()
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="needs the supplied tables")
 
 
