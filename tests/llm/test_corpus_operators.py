@@ -1,5 +1,6 @@
 """The ten operators on small tables with every awkward case, against brute force."""
 
+import base64
 import hashlib
 import math
 import random
@@ -7,6 +8,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pyarrow.parquet as pq
@@ -759,3 +761,124 @@ def test_kd_shards_keep_large_groups(spark):
             homes[r.doc_id // 100_000 - 1].add(r.shard)
     assert {g: len(h) for g, h in homes.items() if g != 8} == {g: 1 for g in copies if g != 8} and len(homes[8]) > 2
     assert len(sizes) == 24 and max(sizes.values()) <= 1.03 * min(sizes.values())
+
+
+def plain_base(text):
+    """The base kinds, character by character."""
+    found = []
+    value = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+    lowered = "".join(c.lower() if "A" <= c <= "Z" else c for c in text)
+
+    def run(at, allowed):
+        while at < len(text) and text[at] in allowed:
+            at += 1
+        return at
+
+    i = 0
+    while i < len(text):
+        word = next((w for w in ("password", "passwd", "secret", "token", "api_key", "apikey") if lowered.startswith(w, i)), None)
+        if word:
+            at = i + len(word)
+            at += at < len(text) and text[at] in "\"'"
+            at = run(at, " ")
+            if at < len(text) and text[at] in ":=":
+                at = run(at + 1, " ")
+                at += at < len(text) and text[at] in "\"'"
+                end = run(at, value)
+                if end > at:
+                    if end - at >= 8:
+                        found.append((i, 0, end))
+                    i = end
+                    continue
+        i += 1
+    for kind, start, allowed, least in ((1, "AKIA", set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 16), (2, "", set("0123456789abcdef"), 32)):
+        i = 0
+        while i < len(text):
+            end = run(i + len(start), allowed) if text.startswith(start, i) else i
+            if end - i >= least:
+                found.append((i, kind, end))
+            i = max(end, i + 1)
+    return sorted(found)
+
+
+def test_base_spans_equal_a_plain_scanner():
+    rng = random.Random(13)
+    parts = ["password", "passwd", "SECRET", "Token", "api_key", "apikey", "API_KEY", "=", ":", " ", "  ", "'", '"', "\n", "abcdefgh", "x", "AKIA", "AKIAABCDEFGHIJKL", "ABCDEFGHIJKLMNOP", "0123456789abcdef" * 2, "deadbeef" * 3, "0", "é", "-", "/", "K", "ſ", "#"]
+    hits = Counter()
+    for _ in range(6000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(1, 14)))
+        expect = plain_base(text)
+        assert secret_scan.base_spans(text) == expect, ascii(text)
+        hits.update(k for _, k, _ in expect)
+    assert all(hits[k] > 200 for k in range(3))
+
+
+def test_random_runs_equal_a_plain_judgement():
+    """Runs without separators: a letter, no digest, and few characters to a token by a plain merge of the lowest ranks, in both cases."""
+    encoding, rng = secret_scan.ranks(RANKS), random.Random(14)
+    with open(RANKS, "rb") as file:
+        table = {base64.b64decode(t): int(r) for t, r in map(bytes.split, file)}
+
+    def tokens(run):
+        n = 0
+        for part in re.findall("[A-Za-z]+|[0-9]+", run):
+            own = [bytes([c]) for c in part.encode()]
+            while len(own) > 1:
+                rank, i = min((table.get(a + b, 10**9), i) for i, (a, b) in enumerate(zip(own, own[1:], strict=False)))
+                if rank == 10**9:
+                    break
+                own[i : i + 2] = [own[i] + own[i + 1]]
+            n += len(own)
+        return n
+
+    hits = Counter()
+    words = "account river Stone under international configuration 2024 key user DATA abc".split()
+    for _ in range(1500):
+        if rng.random() < 0.5:
+            run = "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=rng.randint(12, 40)))
+        else:
+            run = "".join(rng.choices(words, k=rng.randint(2, 6)))
+        known = len(run) in (32, 40, 56, 64, 96, 128) and re.fullmatch("[0-9a-f]+|[0-9A-F]+", run)
+        expect = len(run) >= 16 and not run.isdigit() and not known and all(len(x) <= secret_scan.MAX_RATIO * tokens(x) for x in (run, run.lower()))
+        got = secret_scan.random_spans(f"x {run} y", secret_scan.base_spans(f"x {run} y"), encoding, secret_scan.MAX_RATIO)
+        assert got == ([(2, 3, 2 + len(run))] if expect else []), run
+        hits[expect] += 1
+    assert hits[True] > 300 and hits[False] > 300
+
+
+COLUMNS = {
+    "op1_line_dedup": "doc_id n_lines n_dropped kept_sha256",
+    "op2_packing": "doc_id start length ids_crc32 doc_tokens sequence_id offset",
+    "op3_token_binary": "sequence_id ids id_bytes n_tokens cu_seqlens positions doc_ids starts",
+    "op4_minhash_near_dedup": "doc_id n_shingles component_id kept",
+    "op5_exact_dedup": "doc_id keep_id group_size kept text_sha256",
+    "op6_kd_sharding": "doc_id size text_crc32 law shard slot grown_shard",
+    "op7_quality_rules": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept",
+    "op8_pareto_mix": "doc_id size source_size target taken",
+    "op9_token_counts": "doc_id n_bytes n_tokens over_limit",
+    "op10_secret_scan": "doc_id n_assign n_access n_hex base_sha256 spans",
+}
+
+
+@pytest.mark.parametrize("name", COLUMNS)
+def test_registered_queries_and_their_sql(spark, name):
+    from tarnlight.llm import registry
+
+    sf = "/root/testdata/sf0.001"
+    out = registry.queries()[name](spark, sf)
+    rows = out.collect()
+    assert out.columns[: len(COLUMNS[name].split())] == COLUMNS[name].split()
+    ids = Counter(r[0] for r in duckdb.sql(f"select doc_id from '{sf}/documents.parquet'").fetchall())
+    if name == "op3_token_binary":
+        assert {d for r in rows for d in r.doc_ids} == set(ids)
+    elif name == "op2_packing":
+        assert Counter(r.doc_id for r in rows if r.start == 0) == ids
+    else:
+        assert Counter(r.doc_id for r in rows) == ids
+    if sql := registry.oracle_sql().get(name):
+        con = duckdb.connect()
+        con.execute(f"create view documents as select * from '{sf}/documents.parquet'")
+        theirs = con.execute(sql)
+        columns = [c[0] for c in theirs.description]
+        assert sorted(columns) == sorted(out.columns)
+        assert Counter(map(tuple, out.select(*columns).collect())) == Counter(theirs.fetchall())
