@@ -39,7 +39,7 @@ _CUTS = r"[A-Za-z]+|[0-9]+|[^A-Za-z0-9]+"
 
 
 def secret_scan(docs: DataFrame, ranks_path: str, max_ratio: float = MAX_RATIO) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, n_random, base_sha256 and spans for every row of docs(doc_id, text).
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans and n_random for every row of docs(doc_id, text).
 
     Base kinds are found by pattern: assignments of 8 or more characters, access keys of 16 or
     more, runs of 32 or more hexadecimal digits. The kind `random` adds runs of 16 or more
@@ -54,7 +54,8 @@ def secret_scan(docs: DataFrame, ranks_path: str, max_ratio: float = MAX_RATIO)
     """
     bound_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(remote(__name__, "scan_batches", ranks_path, max_ratio), "doc_id long, n_assign long, n_access long, n_hex long, n_random long, base_sha256 string, spans string")
+    found = rows.mapInArrow(remote(__name__, "scan_batches", ranks_path, max_ratio), "doc_id long, n_assign long, n_access long, n_hex long, n_random long, base_sha256 string, spans string")
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_random")
 
 
 @lru_cache(maxsize=2)
