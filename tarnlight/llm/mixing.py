@@ -206,16 +206,18 @@ def pareto_mix(
     made = ("size", "source_size", "target", "copies")
     own = [c for c in docs.columns if c.lower() not in made]
     size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
-    rows = docs.select(F.struct(*own).alias("own"), "doc_id", text_mark(F.col("text")).alias("text_mark"), "source", size.alias("size"))
+    # exploded, as the optimiser would else count the words anew wherever the size is used
+    rows = docs.select(F.struct(*own).alias("own"), "doc_id", text_mark(F.col("text")).alias("text_mark"), "source", F.explode(F.array(size)).alias("size"))
     rows = rows.withColumn("size_class", _class(F.col("size"))).withColumn("uniform", _uniform(F.lit(seed), "doc_id", "text_mark"))
     plan = broadcast_below(plan, n_classes, broadcast_rows)
     ranked = _ranked(rows.join(plan, _same_class(rows, plan)))
     # the rows of a run that is taken in part are told apart by where they were written
     parted = F.coalesce(F.expr(f"({_AT_LINE}) and last_due < last_n"), F.lit(False))
-    whole = ranked.filter(~parted).withColumn("drawn", F.coalesce(F.expr(f"({_BEFORE}) or ({_AT_LINE})"), F.lit(False)))
+    whole = ranked.withColumn("drawn", F.coalesce(F.expr(f"({_BEFORE}) or ({_AT_LINE})"), F.lit(False)))
     out = [*[F.col("own").getField(c).alias(c) for c in own], "size", "source_size", "target", (F.col("whole") + F.col("drawn").cast("long")).cast("int").alias("copies")]
     if plan.filter("last_due < last_n").isEmpty():
         return whole.select(*out)
+    whole = whole.filter(~parted)
     some = space.stage(ranked.filter(parted).withColumn("part", F.spark_partition_id()), "parted")
     before = F.coalesce(F.sum("rows").over(Window.partitionBy(*CLASS).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     parts = some.groupBy(*CLASS, "part").agg(F.count("*").alias("rows")).select(F.col("of_source").alias("part_source"), F.col("of_class").alias("part_class"), F.col("part").alias("part_no"), before.alias("before"))
