@@ -213,7 +213,8 @@ def pareto_mix(
     ranked = _ranked(rows.join(plan, _same_class(rows, plan)))
     # the rows of a run that is taken in part are told apart by where they were written
     parted = F.coalesce(F.expr(f"({_AT_LINE}) and last_due < last_n"), F.lit(False))
-    whole = ranked.withColumn("drawn", F.coalesce(F.expr(f"({_BEFORE}) or ({_AT_LINE})"), F.lit(False)))
+    # exploded as well: a caller's filter on copies would else become the join's condition, with the rank spelled out in it a dozen times
+    whole = ranked.withColumn("drawn", F.explode(F.array(F.coalesce(F.expr(f"({_BEFORE}) or ({_AT_LINE})"), F.lit(False)))))
     out = [*[F.col("own").getField(c).alias(c) for c in own], "size", "source_size", "target", (F.col("whole") + F.col("drawn").cast("long")).cast("int").alias("copies")]
     if plan.filter("last_due < last_n").isEmpty():
         return whole.select(*out)
