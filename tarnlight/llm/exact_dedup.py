@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnlight.llm.staging import Workspace
+from tarnlight.llm.staging import Workspace, broadcast_below
 
 TRACKED = 4096
 FAN = 64
+BROADCAST_ROWS = 100_000
 
 
 def heavy_candidates(digests: DataFrame, tracked: int = TRACKED) -> DataFrame:
@@ -27,7 +28,7 @@ def heavy_candidates(digests: DataFrame, tracked: int = TRACKED) -> DataFrame:
     return top.select(F.col("top.item").alias("mark")).filter("mark is not null")
 
 
-def exact_dedup(docs: DataFrame, normalise=None, tracked: int = TRACKED) -> DataFrame:
+def exact_dedup(docs: DataFrame, normalise=None, tracked: int = TRACKED, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """One row for each row of docs(doc_id, text): doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when their SHA-256 after normalise (a function of a column; default none) is
@@ -38,7 +39,8 @@ def exact_dedup(docs: DataFrame, normalise=None, tracked: int = TRACKED) -> Data
 
     Misra-Gries summaries find candidates for frequent digests, whose exact counts are then taken.
     Those winners, at most `tracked`, are broadcast and settle their rows on the map side without a shuffle;
-    all other digests, none of them frequent, are shuffled as usual.
+    all other digests, none of them frequent, are shuffled as usual, counted on the map side first. Only the
+    groups of several rows are joined back, by broadcast if they number at most broadcast_rows.
     """
     spark = docs.sparkSession
     space = Workspace(spark, "exact-dedup")
@@ -48,9 +50,12 @@ def exact_dedup(docs: DataFrame, normalise=None, tracked: int = TRACKED) -> Data
     winners = digests.join(candidates, F.xxhash64("digest") == F.col("mark"), "left_semi").groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     winners = F.broadcast(space.stage(winners.filter("group_size > 1"), "winners"))
     heavy = digests.join(winners, "digest").select("doc_id", "digest", "keep_id", "group_size")
-    group = Window.partitionBy("digest")
-    light = digests.join(winners.select("digest"), "digest", "left_anti").select(
-        "doc_id", "digest", F.max("doc_id").over(group).alias("keep_id"), F.count("*").over(group).alias("group_size")
+    rest = digests.join(winners.select("digest"), "digest", "left_anti")
+    groups = rest.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).filter("group_size > 1")
+    groups = space.stage(groups, "groups")  # so the join reads plain shuffles, which can be split where they are skewed
+    alone = F.col("group_size").isNull()
+    light = rest.join(broadcast_below(groups, groups.count(), broadcast_rows), "digest", "left").select(
+        "doc_id", "digest", F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size")
     )
     return heavy.unionByName(light).select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")

@@ -332,6 +332,22 @@ def test_exact_dedup(docs, empty):
     assert exact_dedup.exact_dedup(empty).count() == 0
 
 
+@pytest.mark.parametrize("broadcast_rows", [0, 1_000])
+def test_exact_dedup_of_light_groups(spark, broadcast_rows):
+    """Groups beyond the tracked ones, joined back by merge and by broadcast, with null ids and single rows."""
+    rows = [(i if i % 7 else None, f"text {i % 300}" if i < 700 else f"alone {i}") for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    groups = {}
+    for i, text in rows:
+        groups.setdefault(text, []).append(i)
+    keep = {t: max((i for i in ids if i is not None), default=None) for t, ids in groups.items()}
+    expect = Counter((i, keep[t], len(groups[t]), i == keep[t], hashlib.sha256(t.encode()).hexdigest()) for i, t in rows)
+    out = exact_dedup.exact_dedup(docs, tracked=8, broadcast_rows=broadcast_rows)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert ("SortMergeJoin" in plan) == (broadcast_rows == 0) and "Window" not in plan
+    assert Counter(map(tuple, out.collect())) == expect
+
+
 def test_exact_dedup_settles_a_hot_group_by_broadcast(spark):
     rows = spark.range(3000).selectExpr("id as doc_id", "if(id % 3 = 0, 'hot', concat('t', id)) as text")
     out = exact_dedup.exact_dedup(rows)
