@@ -8,10 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tarnlight.llm import exact_dedup, line_dedup, minhash, mixing, packing, quality_rules, secret_scan, sharding, token_binary, token_counts
+from tarnlight.llm import alignment, exact_dedup, line_dedup, minhash, mixing, packing, quality_rules, secret_scan, sharding, token_binary, token_counts
 
 WORD_VOCABULARY = "word_bpe_49k.json"
 BYTE_RANKS = "byte_bpe_50k.tiktoken"
+BYTE_VOCABULARY = "byte_bpe_50k.json"
+PIECE_MODEL = "piece_bpe_32k.model"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,8 +60,12 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_scan(documents(spark, sf_dir), public_tokenizers.path(BYTE_RANKS))
 
 
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_tokenizers(documents(spark, sf_dir), public_tokenizers.path(BYTE_VOCABULARY), public_tokenizers.path(PIECE_MODEL))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_line_dedup, op2_packing, op3_token_binary, op4_minhash_near_dedup, op5_exact_dedup, op6_kd_sharding, op7_quality_rules, op8_pareto_mix, op9_token_counts, op10_secret_scan)
+    own = (op1_line_dedup, op2_packing, op3_token_binary, op4_minhash_near_dedup, op5_exact_dedup, op6_kd_sharding, op7_quality_rules, op8_pareto_mix, op9_token_counts, op10_secret_scan, op13_tokenizer_alignment)
     return {query.__name__: query for query in own} | {"pipeline": corpus_pipeline.run}
 
 
