@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tarnlight.llm import alignment, exact_dedup, line_dedup, minhash, mixing, packing, quality_rules, secret_scan, sharding, token_binary, token_counts
+from tarnlight.llm import alignment, exact_dedup, line_dedup, minhash, mixing, packing, phrases, quality_rules, secret_scan, sharding, token_binary, token_counts
 
 WORD_VOCABULARY = "word_bpe_49k.json"
 BYTE_RANKS = "byte_bpe_50k.tiktoken"
@@ -60,15 +60,19 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_scan(documents(spark, sf_dir), public_tokenizers.path(BYTE_RANKS))
 
 
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.op12_phrase_collocations(spark, documents(spark, sf_dir))
+
+
 def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align_tokenizers(documents(spark, sf_dir), public_tokenizers.path(BYTE_VOCABULARY), public_tokenizers.path(PIECE_MODEL))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_line_dedup, op2_packing, op3_token_binary, op4_minhash_near_dedup, op5_exact_dedup, op6_kd_sharding, op7_quality_rules, op8_pareto_mix, op9_token_counts, op10_secret_scan, op13_tokenizer_alignment)
+    own = (op1_line_dedup, op2_packing, op3_token_binary, op4_minhash_near_dedup, op5_exact_dedup, op6_kd_sharding, op7_quality_rules, op8_pareto_mix, op9_token_counts, op10_secret_scan, op12_phrase_collocations, op13_tokenizer_alignment)
     return {query.__name__: query for query in own} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    sql = {"op1_line_dedup": line_dedup.SQL, "op5_exact_dedup": exact_dedup.SQL, "pipeline": corpus_pipeline.ORACLE_SQL}
+    sql = {"op1_line_dedup": line_dedup.SQL, "op5_exact_dedup": exact_dedup.SQL, "op12_phrase_collocations": phrases.SQL, "pipeline": corpus_pipeline.ORACLE_SQL}
     return {name: text for name, text in sql.items() if text}
