@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tarnlight.llm import alignment, exact_dedup, line_dedup, minhash, mixing, packing, phrases, quality_rules, secret_scan, sharding, token_binary, token_counts
+from tarnlight.llm import alignment, exact_dedup, line_dedup, minhash, mixing, packing, phrases, quality_rules, sanitising, secret_scan, sharding, token_binary, token_counts
 
 WORD_VOCABULARY = "word_bpe_49k.json"
 BYTE_RANKS = "byte_bpe_50k.tiktoken"
@@ -60,6 +60,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_scan(documents(spark, sf_dir), public_tokenizers.path(BYTE_RANKS))
 
 
+def op11_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sanitising.op11_sanitisation(spark, documents(spark, sf_dir))
+
+
 def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.op12_phrase_collocations(spark, documents(spark, sf_dir))
 
@@ -69,7 +73,7 @@ def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_line_dedup, op2_packing, op3_token_binary, op4_minhash_near_dedup, op5_exact_dedup, op6_kd_sharding, op7_quality_rules, op8_pareto_mix, op9_token_counts, op10_secret_scan, op12_phrase_collocations, op13_tokenizer_alignment)
+    own = (op1_line_dedup, op2_packing, op3_token_binary, op4_minhash_near_dedup, op5_exact_dedup, op6_kd_sharding, op7_quality_rules, op8_pareto_mix, op9_token_counts, op10_secret_scan, op11_sanitisation, op12_phrase_collocations, op13_tokenizer_alignment)
     return {query.__name__: query for query in own} | {"pipeline": corpus_pipeline.run}
 
 
