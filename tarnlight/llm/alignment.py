@@ -7,34 +7,41 @@ import json
 import os
 import re
 from array import array
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnlight.llm.batches import bound_batches, column, texts
-from tarnlight.llm.byte_pairs import Cache, byte_alphabet
+from tarnlight.llm.byte_pairs import CACHED_LENGTH, byte_alphabet
 from tarnlight.llm.shipping import remote
 from tarnlight.llm.staging import Workspace, broadcast_below
 
 #: Remembered transitions, beyond which the memory starts anew.
 MOVES = 2_000_000
+#: Remembered stretches of text of a generation.
+STRETCHES = 300_000
+#: What B encodes a stretch behind that does not start with a space.
+LETTER = "a"
 #: An id pair as one number: A's id times this plus B's id.
 SPAN = 1 << 24
 BROADCAST_ROWS = 1_000_000
-#: A space between two characters that are no white space: both tokenizers end a token before it.
-_CUT = re.compile(r"(?<=\S) (?=\S)")
+#: Characters of a text that are taken at once, about.
+BLOCK = 1 << 20
+_LATIN = "[A-Za-zÀ-ÖØ-öø-ɏ]"
+#: Where both tokenizers end a token: before a single space between characters that are no white space, and between a Latin letter and a sign.
+_CUT = re.compile(rf"(?<=\S)(?= \S)|(?<={_LATIN})(?=[.,;:!?])")
 
 
 class Transducer:
     """Walks two token sequences that spell the same bytes.
 
-    A state is the residual: the bytes by which one side leads, and which side that is; the empty residual is state 0. The side
-    that lags hands in its next token, which takes bytes off the residual or turns the lead. What a token does to a
-    state is remembered, so bytes are compared once for each residual and next token that meet.
+    A state is the residual: the bytes by which one side leads, and which side that is (even numbers: A, odd ones: B); the empty residual is
+    state 0. The side that lags hands in its next token, which takes bytes off the residual or turns the lead. What a
+    token does to a state is remembered, so bytes are compared once for each residual and next token that meet.
     """
 
     def __init__(self, a_bytes: list[bytes], b_bytes: list[bytes]):
@@ -42,26 +49,28 @@ class Transducer:
         self.forget()
 
     def forget(self) -> None:
-        self.states: dict[tuple[bool, bytes], int] = {(False, b""): 0}
-        self.residuals: list[tuple[bool, bytes]] = [(False, b"")]
-        self.moves: tuple[dict[int, int], dict[int, int]] = ({}, {})
-
-    def _state(self, b_leads: bool, rest: bytes) -> int:
-        key = (b_leads and bool(rest), rest)
-        state = self.states.get(key)
+        self.states: dict[tuple[int, bytes], int] = {}
+        self.residuals: list[bytes] = [b"", b""]
+        self.moves: dict[int, int] = {}
+
+    def _state(self, leader: int, rest: bytes) -> int:
+        if not rest:
+            return 0
+        state = self.states.get((leader, rest))
         if state is None:
-            state = self.states[key] = len(self.residuals)
-            self.residuals.append(key)
+            state = self.states[leader, rest] = len(self.residuals) + leader
+            self.residuals += [rest, rest]
         return state
 
-    def _move(self, state: int, side: int, token: int) -> int:
-        """The state after a token of side 0 (A) or 1 (B); -1 if its bytes are not those that the other side has."""
-        rest, own = self.residuals[state][1], self.spell[side][token]
+    def _move(self, state: int, token: int) -> int:
+        """The state after the lagging side's token; -1 if its bytes are not those that the leader has. From state 0 A goes first."""
+        side = 1 - (state & 1) if state else 0
+        rest, own = self.residuals[state], self.spell[side][token]
         if len(own) <= len(rest):
-            made = self._state(side == 0, rest[len(own) :]) if rest.startswith(own) else -1
+            made = self._state(1 - side, rest[len(own) :]) if rest.startswith(own) else -1
         else:
-            made = self._state(side == 1, own[len(rest) :]) if own.startswith(rest) else -1
-        self.moves[side][state * SPAN + token] = made
+            made = self._state(side, own[len(rest) :]) if own.startswith(rest) else -1
+        self.moves[state * SPAN + token] = made
         return made
 
     def align(self, a_ids: list[int], b_ids: list[int]) -> tuple[list[tuple[int, int]], list[int]] | None:
@@ -70,59 +79,46 @@ class Transducer:
         A token that meets a residual overlaps the token that the residual is of, and no other before it, so each step
         out of a state other than 0 is one link.
         """
-        if len(self.moves[0]) + len(self.moves[1]) > MOVES:
+        if len(self.moves) > MOVES:
             self.forget()
+        known, move = self.moves.get, self._move
         ends, links = [], []
-        i = j = state = 0
-        a = b = -1
-        a_moves, b_moves = self.moves
+        i = j = 0
         n_a, n_b = len(a_ids), len(b_ids)
-        while i < n_a or j < n_b:
-            if state == 0 or self.residuals[state][0]:
-                if i == n_a:
-                    return None
-                a = a_ids[i]
-                i += 1
-                if state:
-                    links.append(a * SPAN + b)
-                after = a_moves.get(state * SPAN + a)
-                state = self._move(state, 0, a) if after is None else after
-            else:
-                if j == n_b:
-                    return None
-                b = b_ids[j]
-                j += 1
-                links.append(a * SPAN + b)
-                after = b_moves.get(state * SPAN + b)
-                state = self._move(state, 1, b) if after is None else after
-            if state <= 0:
-                if state < 0:
-                    return None
-                ends.append((i, j))
-        return (ends, links) if state == 0 else None
-
-
-class Aligned:
-    """What a stretch of text becomes: counts, its groups as written, its links with their number."""
-
-    __slots__ = ("n_a", "n_b", "n_groups", "written", "links")
-
-    def __init__(self, a_ids: list[int], b_ids: list[int], ends: list[tuple[int, int]], links: list[int]):
-        self.n_a, self.n_b, self.n_groups = len(a_ids), len(b_ids), len(ends)
-        groups, i, j = [], 0, 0
-        for to_i, to_j in ends:
-            groups.append(",".join(map(str, a_ids[i:to_i])) + "|" + ",".join(map(str, b_ids[j:to_j])))
-            i, j = to_i, to_j
-        self.written = ";".join(groups).encode()
-        self.links = array("q", links)
+        while i < n_a:
+            a = a_ids[i]
+            i += 1
+            state = known(a)
+            if state is None:
+                state = move(0, a)
+            a *= SPAN
+            while state > 0:
+                if state & 1:
+                    if i == n_a:
+                        return None
+                    token = a_ids[i]
+                    i += 1
+                    a = token * SPAN
+                else:
+                    if j == n_b:
+                        return None
+                    token = b = b_ids[j]
+                    j += 1
+                links.append(a + b)
+                after = known(state * SPAN + token)
+                state = move(state, token) if after is None else after
+            if state < 0:
+                return None
+            ends.append((i, j))
+        return (ends, links) if j == n_b else None
 
 
 class Aligner:
     """Both tokenizers, the transducer, and what the stretches between cuts became.
 
-    A text is cut at single spaces between words, where neither tokenizer can have a token across; if B's model could
-    (another normaliser, or pieces with an inner space), texts are taken whole. So memory follows the longest stretch without such a
-    space, besides the ids' text of one document.
+    A text, with the space before it, is cut where neither tokenizer can have a token across; if B's model could (another normaliser,
+    or pieces with an inner space or a sign behind a letter), it is taken whole. So memory follows the longest stretch without a
+    cut, and what is remembered in two generations of bounded size.
     """
 
     def __init__(self, a_path: str, b_path: str):
@@ -141,44 +137,84 @@ class Aligner:
             cutting = json.load(file)["pre_tokenizer"]
         how = spec.normalizer_spec
         self.cuts = cutting == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True} and how.name == "identity" and how.add_dummy_prefix and how.escape_whitespaces
-        self.cuts = self.cuts and not how.remove_extra_whitespaces and not any(re.search("[^▁]▁", p) for p in pieces)
+        self.cuts = self.cuts and len(self.b.encode(LETTER)) == 1 and not how.remove_extra_whitespaces and not any(re.search(f"[^▁]▁|{_LATIN}[.,;:!?]", p) for p in pieces)
         back = {c: b for b, c in byte_alphabet().items()}
         size = self.a.get_vocab_size(with_added_tokens=True)
         a_bytes = [bytes(back[c] for c in token) if token and all(c in back for c in token) else (token or "").encode() for token in map(self.a.id_to_token, range(size))]
         b_bytes = [bytes([int(p[3:5], 16)]) if re.fullmatch("<0x[0-9A-F]{2}>", p) else p.replace("▁", " ").encode() for p in pieces]
         self.spell = (a_bytes, b_bytes)
+        self.written = [str(i) for i in range(max(len(a_bytes), len(b_bytes)))].__getitem__
         self.transducer = Transducer(a_bytes, b_bytes)
-        self.stretches = Cache(self._stretch)
+        self.young: dict[str, tuple | None] = {}
+        self.old: dict[str, tuple | None] = {}
 
-    def _stretch(self, part: str) -> Aligned | None:
-        a_ids = self.a.encode(" " + part, add_special_tokens=False).ids
-        b_ids = self.b.encode(part, num_threads=1)
-        if b"".join(map(self.spell[0].__getitem__, a_ids)) != b" " + part.encode():
+    def _stretch(self, part: str, a_ids: list[int], b_ids: list[int]) -> tuple[bytes, bytes, int] | None:
+        """The groups as written, the links as 64-bit integers, and the numbers of A's tokens, B's tokens and groups in one; None if it has no tokens."""
+        if b"".join(map(self.spell[0].__getitem__, a_ids)) != part.encode():
             return None
         found = self.transducer.align(a_ids, b_ids)
-        return found and Aligned(a_ids, b_ids, *found)
-
-    def parts(self, text: str) -> list[str]:
-        return _CUT.split(text) if self.cuts else [text]
-
-    def document(self, text: str) -> tuple[int, int, int, str, Counter]:
-        """n_a, n_b, n_groups, groups_sha256 and the links with their number; zeros without tokens."""
-        digest, first = hashlib.sha256(), True
-        n_a = n_b = n_groups = 0
-        links: Counter = Counter()
-        for part, times in Counter(self.parts(text)).items() if text else ():
-            made = self.stretches[part]
-            if made is None:
-                return 0, 0, 0, "", Counter()
-            n_a, n_b, n_groups = n_a + times * made.n_a, n_b + times * made.n_b, n_groups + times * made.n_groups
-            for link in made.links:
-                links[link] += times
-        for part in self.parts(text) if text else ():
-            if not first:
-                digest.update(b";")
-            digest.update(self.stretches[part].written)
+        if found is None:
+            return None
+        ends, links = found
+        groups, i, j, written = [], 0, 0, self.written
+        for to_i, to_j in ends:
+            groups.append(",".join(map(written, a_ids[i:to_i])) + "|" + ",".join(map(written, b_ids[j:to_j])))
+            i, j = to_i, to_j
+        return ";".join(groups).encode(), array("q", links).tobytes(), len(a_ids) | len(b_ids) << 40 | len(ends) << 80
+
+    def _known(self, parts: list[str]) -> list[tuple | None]:
+        """What the parts become; those not remembered are encoded together."""
+        if len(self.young) > STRETCHES:
+            self.young, self.old = {}, self.young
+        young = self.young
+        new = []
+        for part in {*parts}:
+            if part in young:
+                continue
+            if part in self.old:
+                young[part] = self.old[part]
+            else:
+                new.append(part)
+        if new:
+            # B puts a space before what it encodes: a stretch without one is encoded behind a letter
+            b_ids = self.b.encode([p[1:] if p[0] == " " else LETTER + p for p in new], num_threads=1)
+            for part, own_a, own_b in zip(new, self.a.encode_batch_fast(new, add_special_tokens=False), b_ids, strict=True):
+                young[part] = self._stretch(part, own_a.ids, own_b if part[0] == " " else own_b[1:])
+        found = [young[part] for part in parts]
+        for part in new:
+            if len(part) > CACHED_LENGTH:
+                del young[part]
+        return found
+
+    def blocks(self, text: str) -> Iterator[list[str]]:
+        """The text's stretches, those of about BLOCK characters at once."""
+        text, at = " " + text, 0
+        while at < len(text):
+            cut = _CUT.search(text, at + BLOCK) if self.cuts else None
+            end = cut.start() if cut else len(text)
+            block = text[at:end]
+            yield _CUT.split(block) if self.cuts else [block]
+            at = end
+
+    def document(self, text: str) -> tuple[int, int, int, str, np.ndarray, np.ndarray]:
+        """n_a, n_b, n_groups, groups_sha256, the distinct links and their numbers; zeros without tokens."""
+        digest, first, numbers = hashlib.sha256(), True, 0
+        links, times = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for parts in self.blocks(text) if text else ():
+            found = self._known(parts)
+            if None in found:
+                return 0, 0, 0, "", links[:0], times[:0]
+            digest.update((b"" if first else b";") + b";".join([f[0] for f in found]))
+            own, n = np.unique(np.frombuffer(b"".join([f[1] for f in found]), np.int64), return_counts=True)
+            numbers += sum([f[2] for f in found])
+            if first:
+                links, times = own, n
+            else:
+                links, back = np.unique(np.concatenate([links, own]), return_inverse=True)
+                times = np.bincount(back, np.concatenate([times, n])).astype(np.int64)
             first = False
-        return n_a, n_b, n_groups, digest.hexdigest() if text else "", links
+        low = (1 << 40) - 1
+        return numbers & low, numbers >> 40 & low, numbers >> 80, "" if first else digest.hexdigest(), links, times
 
 
 @lru_cache(maxsize=1)
@@ -193,12 +229,12 @@ def align_batches(batches: Iterator[pa.RecordBatch], a_path: str, b_path: str) -
         numbers: list[list[int]] = [[], [], []]
         shas, pairs, times = [], [], []
         for text in texts(batch):
-            *counts, sha, links = own.document(text)
-            for kept, n in zip(numbers, counts, strict=True):
-                kept.append(n)
+            *counts, sha, links, n = own.document(text)
+            for kept, count in zip(numbers, counts, strict=True):
+                kept.append(count)
             shas.append(sha)
-            pairs.append(list(links))
-            times.append(list(links.values()))
+            pairs.append(links)
+            times.append(n)
         arrays = [column(batch, "doc_id"), *[pa.array(n, pa.int64()) for n in numbers], pa.array(shas, pa.string()), pa.array(pairs, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int64()))]
         yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_a", "n_b", "n_groups", "groups_sha256", "pairs", "times"])
 
