@@ -171,17 +171,26 @@ def _columns(longest: int) -> list[str]:
     return [f"w{k}" for k in range(1, longest + 1)]
 
 
-def grow_batches(batches: Iterator[pa.RecordBatch], longest: int, least: int) -> Iterator[pa.RecordBatch]:
-    """codes, n of the phrases of 2 or more words in a task's range of occurrences.
+def grow_batches(batches: Iterator[pa.RecordBatch], longest: int, least: int, held: int = TASK_ROWS) -> Iterator[pa.RecordBatch]:
+    """codes, n of the phrases of 2 or more words in a task's ordered occurrences, which are taken `held` or more at once, so memory is bounded however many there are."""
+    parts: list[np.ndarray] = []
+    size = 0
+    for batch in batches:
+        parts.append(np.column_stack([column(batch, c).to_numpy(zero_copy_only=False) for c in [*_columns(longest), "n"]]))
+        size += len(parts[-1])
+        if size >= held:
+            yield _grown(np.concatenate(parts), longest, least)
+            parts, size = [], 0
+    if size:
+        yield _grown(np.concatenate(parts), longest, least)
 
-    The range is put in order, so the occurrences of a prefix are a slice. Each frequent prefix is extended to the right, depth first, within its slice.
-    A prefix that reaches either end of the range may go on in another task: it is given out with what it has here, whatever that is.
+
+def _grown(rows: np.ndarray, longest: int, least: int) -> pa.RecordBatch:
+    """The phrases of a slice of all occurrences in order.
+
+    The occurrences of a prefix are a slice of it. Each frequent prefix is extended to the right, depth first, within its own slice. A prefix that reaches
+    either end of the whole slice may go on in the next: it is given out with what it has here, whatever that is.
     """
-    parts = [np.column_stack([column(b, c).to_numpy(zero_copy_only=False) for c in [*_columns(longest), "n"]]) for b in batches]
-    if not parts:
-        return
-    rows = np.concatenate(parts)
-    rows = rows[np.lexsort([rows[:, k] for k in reversed(range(longest))])]
     words, weights, size = [np.ascontiguousarray(rows[:, k]) for k in range(longest)], np.ascontiguousarray(rows[:, longest]), len(rows)
     found: list[list[int]] = []
     counts: list[int] = []
@@ -199,9 +208,8 @@ def grow_batches(batches: Iterator[pa.RecordBatch], longest: int, least: int) ->
             if len(phrase) < longest:
                 grow(phrase, low + int(starts[i]), low + int(ends[i]))
 
-    if size:
-        grow([], 0, size)
-    yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int64())), pa.array(counts, pa.int64())], ["codes", "n"])
+    grow([], 0, size)
+    return pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int64())), pa.array(counts, pa.int64())], ["codes", "n"])
 
 
 class Mined:
@@ -233,7 +241,7 @@ class Mined:
         windows = encoded.mapInArrow(remote(__name__, "project_batches", longest, likely), ", ".join(f"{c} long" for c in [*columns, "n"]))
         windows = space.stage(windows, "occurrences")
         tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-windows.count() // TASK_ROWS))
-        grown = windows.repartitionByRange(tasks, *columns).mapInArrow(remote(__name__, "grow_batches", longest, least), "codes array<long>, n long")
+        grown = windows.repartitionByRange(tasks, *columns).sortWithinPartitions(*columns).mapInArrow(remote(__name__, "grow_batches", longest, least), "codes array<long>, n long")
         self.phrases = space.stage(grown.groupBy("codes").agg(F.sum("n").alias("a")).filter(F.col("a") >= least), "phrases")
         space.drop(encoded, pairs, windows)
         known.unpersist()
@@ -250,8 +258,8 @@ def collocations(docs: DataFrame, least: int = 100, longest: int = 5, top: int =
 
     Words are counted and coded by 64-bit hashes, which are tried anew if two words clash. Texts become arrays of codes; occurrences of a pair are
     projected, with the codes that follow, if a filter of bits that all frequent pairs are in lets the pair pass. The projections are dealt by ranges of prefixes, so
-    a frequent prefix is split over several tasks, and equal projections are counted before they move. Each task grows phrases depth first; what reaches the end
-    of a range is added up over tasks. Nothing but the filters' bits (at most 32 MB each) goes through the driver.
+    a frequent prefix is split over several tasks, and equal projections are counted before they move. Each task grows phrases depth first in slices of its sorted range; what reaches the end
+    of a slice is added up over all. Nothing but the filters' bits (at most 32 MB each) goes through the driver.
 
     A null or empty text has no words, a null lang counts as `und`, repeated rows count each, other columns are ignored; an empty table gives no rows.
     """

@@ -75,6 +75,15 @@ def test_prefixes_split_over_tasks_are_added_up():
         batch = pa.RecordBatch.from_arrays(columns, ["w1", "w2", "w3", "w4", "n"])
         return [(tuple(r["codes"]), r["n"]) for b in phrases.grow_batches(iter([batch]), 4, 4) for r in b.to_pylist()]
 
+    def batches():
+        for r in rows:
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in [*r, 1]], ["w1", "w2", "w3", "w4", "n"])
+
+    total = Counter()
+    for b in phrases.grow_batches(batches(), 4, 4, held=7):
+        for r in b.to_pylist():
+            total[tuple(r["codes"])] += r["n"]
+    assert {p: n for p, n in total.items() if n >= 4} == expect
     for cuts in [(), (1,), (13, 14), (20, 40), tuple(range(1, 60))]:
         total = Counter()
         for low, high in zip((0, *cuts), (*cuts, 60), strict=True):
