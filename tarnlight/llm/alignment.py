@@ -31,6 +31,9 @@ SPAN = 1 << 24
 BROADCAST_ROWS = 1_000_000
 #: Characters of a text that are taken at once, about.
 BLOCK = 1 << 20
+#: The pattern by which byte-level vocabularies of this kind cut texts before merging (a fixed value), and characters on whose classes all libraries agree.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_COMMON = re.compile("[\t\n\r\x20-\x7e\xa1-\xac\xae-ɏ‐-‧€]*")
 _LATIN = "[A-Za-zÀ-ÖØ-öø-ɏ]"
 #: Where both tokenizers end a token: before a single space between characters that are no white space, and between a Latin letter and a sign.
 _CUT = re.compile(rf"(?<=\S)(?= \S)|(?<={_LATIN})(?=[.,;:!?])")
@@ -134,15 +137,24 @@ class Aligner:
         with open(b_path, "rb") as file:
             spec.ParseFromString(file.read())
         with open(a_path, encoding="utf-8") as file:
-            cutting = json.load(file)["pre_tokenizer"]
+            model = json.load(file)
         how = spec.normalizer_spec
-        self.cuts = cutting == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True} and how.name == "identity" and how.add_dummy_prefix and how.escape_whitespaces
+        known = model["normalizer"] is None and model["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+        self.cuts = known and how.name == "identity" and how.add_dummy_prefix and how.escape_whitespaces
         self.cuts = self.cuts and len(self.b.encode(LETTER)) == 1 and not how.remove_extra_whitespaces and not any(re.search(f"[^▁]▁|{_LATIN}[.,;:!?]", p) for p in pieces)
         back = {c: b for b, c in byte_alphabet().items()}
         size = self.a.get_vocab_size(with_added_tokens=True)
         a_bytes = [bytes(back[c] for c in token) if token and all(c in back for c in token) else (token or "").encode() for token in map(self.a.id_to_token, range(size))]
         b_bytes = [bytes([int(p[3:5], 16)]) if re.fullmatch("<0x[0-9A-F]{2}>", p) else p.replace("▁", " ").encode() for p in pieces]
         self.spell = (a_bytes, b_bytes)
+        # where a trained vocabulary's ids are in the order of its merges, merging by ids gives the same tokens
+        merged = [model["model"]["vocab"][m.replace(" ", "") if isinstance(m, str) else "".join(m)] for m in model["model"]["merges"]]
+        self.ranks = None
+        if known and merged == sorted(merged):
+            import tiktoken
+
+            own = {t["id"] for t in model["added_tokens"]}
+            self.ranks = tiktoken.Encoding("ranks", pat_str=_PATTERN, mergeable_ranks={t: i for i, t in enumerate(a_bytes) if i not in own}, special_tokens={})
         self.written = [str(i) for i in range(max(len(a_bytes), len(b_bytes)))].__getitem__
         self.transducer = Transducer(a_bytes, b_bytes)
         self.young: dict[str, tuple | None] = {}
@@ -178,14 +190,22 @@ class Aligner:
         if new:
             # B puts a space before what it encodes: a stretch without one is encoded behind a letter
             b_ids = self.b.encode([p[1:] if p[0] == " " else LETTER + p for p in new], num_threads=1)
-            for part, own_a, own_b in zip(new, self.a.encode_batch_fast(new, add_special_tokens=False), b_ids, strict=True):
-                young[part] = self._stretch(part, own_a.ids, own_b if part[0] == " " else own_b[1:])
+            for part, own_a, own_b in zip(new, self._a_ids(new), b_ids, strict=True):
+                young[part] = self._stretch(part, own_a, own_b if part[0] == " " else own_b[1:])
         found = [young[part] for part in parts]
         for part in new:
             if len(part) > CACHED_LENGTH:
                 del young[part]
         return found
 
+    def _a_ids(self, parts: list[str]) -> list[list[int]]:
+        """A's ids, of short stretches of common characters by the faster library."""
+        if self.ranks is None:
+            return [e.ids for e in self.a.encode_batch_fast(parts, add_special_tokens=False)]
+        quick = [len(p) <= CACHED_LENGTH and _COMMON.fullmatch(p) is not None for p in parts]
+        slow = iter(self.a.encode_batch_fast([p for p, q in zip(parts, quick, strict=True) if not q], add_special_tokens=False))
+        return [self.ranks.encode_ordinary(p) if q else next(slow).ids for p, q in zip(parts, quick, strict=True)]
+
     def blocks(self, text: str) -> Iterator[list[str]]:
         """The text's stretches, those of about BLOCK characters at once."""
         text, at = " " + text, 0

@@ -117,3 +117,12 @@ def test_transducer_on_random_cuts(seed):
         assert [sum(len(spell[t]) for t in a[:i]) for i, _ in ends] == sorted({e for _, e in sa} & {e for _, e in sb})
         other = bytes([data[0] ^ 3]) + data[1:]
         assert machine.align(a, cut(other)) is None and machine.align(a, cut(data + b"a")) is None
+
+
+def test_both_libraries_give_the_same_ids():
+    own = alignment.aligner(A, B)
+    rng = random.Random(4)
+    letters = [*"aeinrstAZ0129'.,;- \t\n", "ll", "'s", "'re", "the", "ing", "tion", "é", "ß", "ɏ", "€", "—", "½", "²", "  "]
+    parts = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 20))) for _ in range(20_000)]
+    assert own.ranks is not None and sum(alignment._COMMON.fullmatch(p) is not None for p in parts) > 19_000
+    assert own._a_ids(parts) == [e.ids for e in own.a.encode_batch(parts, add_special_tokens=False)]
