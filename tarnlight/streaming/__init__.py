@@ -70,10 +70,17 @@ def idle_keys(events: DataFrame, by: str, idle: str = "1 hour", lateness: str =
     return rows.groupBy(by).applyInPandasWithState(step, f"{by} {kind}, n_events long, last_ts timestamp", "n long, last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def run_to_files(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Run over what is there, into Parquet files below the shared folder, and return a reader of them."""
+def run_to_files(stream: DataFrame, mode: str = "append", state_store: str | None = None) -> DataFrame:
+    """Run over what is there, into Parquet files below the shared folder, and return a reader of them. A state store other than the session's holds for this run alone."""
     spark = stream.sparkSession
     path = f"{shared_root(spark)}/tarnlight/{spark.sparkContext.applicationId}/stream-{uuid.uuid4().hex}"
-    query = stream.writeStream.outputMode(mode).format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
-    query.awaitTermination()
+    setting = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(setting)
+    try:
+        if state_store:
+            spark.conf.set(setting, state_store)
+        query = stream.writeStream.outputMode(mode).format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.set(setting, before)
     return spark.read.schema(stream.schema).parquet(f"{path}/rows")
