@@ -82,7 +82,8 @@ def visits(events: DataFrame, by: str, goal: str, gap: str = "2 hours", lateness
 def first_seen(rows: DataFrame, by: str, forget_after: str) -> DataFrame:
     """by, n_rows: each key when it is met for the first time in `forget_after` of processing time, with the rows it then came with.
 
-    A key's state is one number whose time to live the store keeps, so it is bounded by the keys of that time. A null key is a key of its own. To be run with STATE_STORE.
+    A key's state is one number whose time to live the store keeps, so it is bounded by the keys of that time. A null key is a key of its own. To be run with STATE_STORE,
+    until it is stopped: as time goes on by itself, such a query has never seen all there is.
     """
     live = int(pd.Timedelta(forget_after).total_seconds() * 1000)
     kind = rows.schema[by].dataType.simpleString()
