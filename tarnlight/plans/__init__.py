@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnlight.plans import aggregates, joins, searches, sets, streams, texts, windows
+from tarnlight.plans import aggregates, extras, joins, searches, sets, streams, texts, windows
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = (
-    joins.QUERIES | aggregates.QUERIES | windows.QUERIES | sets.QUERIES | texts.QUERIES | searches.QUERIES | streams.QUERIES
+    joins.QUERIES | aggregates.QUERIES | windows.QUERIES | sets.QUERIES | texts.QUERIES | searches.QUERIES | extras.QUERIES | streams.QUERIES
 )
 
 

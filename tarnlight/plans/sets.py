@@ -27,14 +27,11 @@ def nations_with_both(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def calendar_years(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders of every year from the first to the last, years without orders included (recursive query)."""
-    counts = table(spark, sf_dir, "orders").groupBy(F.year("o_orderdate").cast("bigint").alias("y")).agg(F.count("*").alias("n"))
-    return spark.sql(
-        """with recursive ends as (select min(y) as low, max(y) as high from {counts}),
-        years(y, high) as (select low, high from ends union all select y + 1, high from years where y < high)
-        select years.y as order_year, coalesce(n, 0) as n_orders from years left join {counts} as c on years.y = c.y""",
-        counts=counts,
-    )
+    """Orders of every year from the first to the last, years without orders included, however many they are."""
+    counts = table(spark, sf_dir, "orders").groupBy(F.year("o_orderdate").cast("bigint").alias("order_year")).agg(F.count("*").alias("n"))
+    ends = counts.agg(F.min("order_year").alias("low"), F.max("order_year").alias("high")).filter("low is not null")
+    years = ends.select(F.explode(F.sequence("low", "high")).alias("order_year"))
+    return years.join(counts, "order_year", "left").select("order_year", F.coalesce("n", F.lit(0)).alias("n_orders"))
 
 
 def largest_orders(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -86,6 +86,13 @@ def test_years_go_to_the_last_order(spark, tmp_path):
     assert sorted(map(tuple, found)) == [(y, int(y in (1999, 2001, 2007))) for y in range(1999, 2008)]
 
 
+def test_years_are_not_limited(spark, tmp_path):
+    days = [datetime(1850, 3, 1), datetime(2001, 3, 1), None]
+    spark.createDataFrame([(i, d) for i, d in enumerate(days)], "o_orderkey long, o_orderdate timestamp_ntz").write.parquet(str(tmp_path / "orders.parquet"))
+    found = plans.queries()["calendar_years"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, found)) == [(y, int(y in (1850, 2001))) for y in range(1850, 2002)]
+
+
 SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string"
 FIRST = [(1, at(5), 1, "view"), (1, at(5), 1, "view"), (2, at(65), 2, "view"), (3, at(200), 1, "view")]
 LATE = [(4, at(10), 3, "view"), (5, at(300), 1, "view")]
