@@ -20,11 +20,13 @@ def connected_components(space: Workspace, edges: DataFrame) -> DataFrame:
     before = _state(current)
     while True:
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("least"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b")).filter("a > b").distinct()
-        lower = large.groupBy("a").agg(F.min("b").alias("least"))
+        # sums by node are staged: the joins then read plain shuffles on both sides, which can be split at a node with very many edges
+        least = space.stage(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("least")), "least")
+        large = space.stage(both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b")).filter("a > b").distinct(), "large")
+        lower = space.stage(large.groupBy("a").agg(F.min("b").alias("least")), "lower")
         small = large.join(lower, "a").select(F.col("b").alias("a"), F.col("least").alias("b")).filter("a > b")
         reached = space.stage(small.unionByName(lower.select("a", F.col("least").alias("b"))).distinct(), "edges")
+        space.drop(least, large, lower)
         now = _state(reached)
         if now == before:
             break

@@ -181,9 +181,11 @@ def _linked(space: Workspace, sketches: DataFrame, rows: DataFrame, words: int,
     classes = space.stage(sets.groupBy("s1", "s2").agg(F.min("node").alias("rep"), F.min("doc_id").alias("low_id")), "classes")
     # a class's sketches come from its representative's row
     first_of = sets.withColumnRenamed("node", "rep").join(classes, ["s1", "s2", "rep"], "left_semi").dropDuplicates(["rep"])
+    # what joins below is staged, so that they read plain shuffles on both sides, which can be split at a hot leader, bucket or text
+    first_of = space.stage(first_of.select("rep", "n_shingles", "n_bytes", "n_samples", "odd", "bands"), "representatives")
     bands = first_of.select("rep", F.posexplode("bands").alias("band", "bucket"))
     odd = first_of.select("rep", F.col("n_shingles").alias("n"), F.col("n_bytes").alias("bytes"), F.col("n_samples").alias("k"), "odd", F.col("bands").alias("keys"))
-    shared = bands.groupBy("bucket").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).filter("leader < last").select("bucket", "leader")
+    shared = space.stage(bands.groupBy("bucket").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).filter("leader < last").select("bucket", "leader"), "shared")
     members = space.stage(bands.join(shared, "bucket").select("bucket", "band", "leader", "rep"), "members")
 
     star = members.filter("rep > leader").groupBy("leader", "rep").agg(F.count("*").alias("n"))
@@ -195,10 +197,10 @@ def _linked(space: Workspace, sketches: DataFrame, rows: DataFrame, words: int,
     first = space.stage(first, "first")
 
     held = members.select("bucket", "band", "rep").join(first, F.col("rep") == F.col("node"), "left").select("bucket", "band", "rep", F.coalesce("label", "rep").alias("part"))
-    mixed = held.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high").select("bucket")
-    held = mixed = space.stage(held.join(mixed, "bucket", "left_semi"), "mixed")
+    several = space.stage(held.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high").select("bucket"), "several")
+    held = mixed = space.stage(held.join(several, "bucket", "left_semi"), "mixed")
     main = held.groupBy("bucket", "part").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.ceil(F.sum("n") / SPLIT).cast("int").alias("splits"))
-    main = space.stage(main, "main")  # so the join below reads shuffled rows alone, which can be split where they are skewed
+    main = space.stage(main, "main")
     held = held.join(broadcast_below(main, main.count(), BROADCAST_ROWS), "bucket").join(odd, "rep")
     left, right = (held.select(*[F.col(c).alias(f"{c}_{x}" if c != "rep" else x) for c in ("bucket", "band", "rep", "part", "n", "bytes", "k", "odd", "keys", "main", "splits")]) for x in "ab")
     # the members of a large bucket that aren't in its main part are dealt to splits, each of which meets all members
@@ -236,7 +238,7 @@ def verify(space: Workspace, pairs: DataFrame, rows: DataFrame, words: int, perc
     only if that is a bounded number.
     """
     pairs = space.stage(pairs, "pairs")
-    sizes = pairs.groupBy("a").agg(F.count("*").alias("n"), F.max("bytes").alias("most"))
+    sizes = space.stage(pairs.groupBy("a").agg(F.count("*").alias("n"), F.max("bytes").alias("most")), "sizes")
     at_once = F.least(F.lit(CHUNK), F.floor(CHUNK_BYTES / F.greatest(F.col("most"), F.lit(1))))
     chunk = F.when(at_once <= 1, F.xxhash64("b")).otherwise(F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / at_once)))
     dealt = pairs.join(sizes, "a").select("a", chunk.alias("chunk"), "b")
@@ -244,7 +246,7 @@ def verify(space: Workspace, pairs: DataFrame, rows: DataFrame, words: int, perc
     needed = space.stage(needed, "needed")
     texts = rows.join(broadcast_below(needed, needed.count(), BROADCAST_ROWS), F.col("node") == F.col("id")).select("a", "chunk", "id", "text")
     links = space.stage(texts.groupBy("a", "chunk").applyInArrow(remote(__name__, "check_chunk", words, percent), "a long, b long"), "links")
-    space.drop(pairs, needed)
+    space.drop(pairs, sizes, needed)
     return links
 
 
