@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarnlight.scratch import Scratch
+
 
 def asof_join(left: DataFrame, right: DataFrame, on: str, by: list[str], values: list[str], slot_seconds: int = 86_400) -> DataFrame:
     """left with the values of right's latest row at or before left's `on`, among equal `by`; nulls where there is none.
@@ -38,13 +40,16 @@ def asof_join(left: DataFrame, right: DataFrame, on: str, by: list[str], values:
 def not_in(left: DataFrame, right: DataFrame, key: str, values: str) -> DataFrame:
     """left's rows whose key is NOT IN right's values, as SQL has it.
 
-    No value at all lets every row through; a null among the values lets none through; a null key is let through only by no value at all.
+    No value at all lets every row through; a null among the values lets none through; a null key is let through only by no value at all. The right side is read once: its distinct values, a null among them, are
+    written, and both the values and their number come from there.
     """
-    state = right.agg(F.count("*").alias("n_values"), F.count_if(F.col(values).isNull()).alias("n_nulls"))
-    wanted = right.select(F.col(values).alias("not_in_value")).filter("not_in_value is not null")
-    rest = left.join(wanted, F.col(key) == F.col("not_in_value"), "left_anti")
-    # one row, so a join with it moves nothing
-    return rest.join(F.broadcast(state), (F.col("n_values") == 0) | ((F.col("n_nulls") == 0) & F.col(key).isNotNull()), "left_semi")
+    wanted = Scratch(left.sparkSession, "not-in").write(right.select(F.col(values).alias("not_in_value")).distinct(), "values")
+    n_values, n_nulls = wanted.agg(F.count("*"), F.count_if(F.col("not_in_value").isNull())).first()
+    if not n_values:
+        return left
+    if n_nulls:
+        return left.limit(0)
+    return left.filter(F.col(key).isNotNull()).join(wanted, F.col(key) == F.col("not_in_value"), "left_anti")
 
 
 def interval_join(left: DataFrame, right: DataFrame, on: str, right_on: str, by: list[str], seconds: int) -> DataFrame:
@@ -69,12 +74,19 @@ def top_per_group(rows: DataFrame, by: list[str], order: list[Column], n: int) -
     return rows.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("place") <= n)
 
 
-def sessions(events: DataFrame, by: str, ts: str, gap: str) -> DataFrame:
+def sessions(events: DataFrame, by: str, ts: str, gap: str, slot_seconds: int = 86_400) -> DataFrame:
     """by, started, ended, n_events for each run of events of one key that are at most `gap` apart.
 
-    Built on session_window. All events of a key meet in one task, sorted and merged one after another. Where a key has very many, set
-    spark.sql.sessionWindow.merge.sessions.in.local.partition, as build_session does: sessions are then merged within
-    tasks before the shuffle, and only those are sent on.
+    Time is cut into slots. Runs are found within key and slot, so a hot key is in as many tasks as it has slots; then the runs of each key, which
+    are few beside its events, are put together at the slots' borders. Events with a null key or time are in no session.
     """
-    found = events.groupBy(by, F.session_window(F.col(ts).cast("timestamp"), gap).alias("session")).agg(F.count("*").alias("n_events"), F.max(ts).alias("ended"))
-    return found.select(by, F.col("session.start").cast("timestamp_ntz").alias("started"), "ended", "n_events")
+    length = F.expr(f"interval {gap}")
+    timed = events.dropna(subset=[by, ts]).select(by, F.col(ts).alias("at"), F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / (slot_seconds * 1_000_000)).alias("slot"))
+    in_slot = Window.partitionBy(by, "slot").orderBy("at")
+    first = F.coalesce(F.lag("at").over(in_slot) + length < F.col("at"), F.lit(True))
+    numbered = timed.withColumn("first", first).withColumn("run", F.sum(F.col("first").cast("long")).over(in_slot.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = numbered.groupBy(by, "slot", "run").agg(F.min("at").alias("started"), F.max("at").alias("ended"), F.count("*").alias("n_events"))
+    in_time = Window.partitionBy(by).orderBy("started")
+    apart = F.coalesce(F.lag("ended").over(in_time) + length < F.col("started"), F.lit(True))
+    joined = runs.withColumn("apart", apart).withColumn("session", F.sum(F.col("apart").cast("long")).over(in_time.rowsBetween(Window.unboundedPreceding, 0)))
+    return joined.groupBy(by, "session").agg(F.min("started").alias("started"), F.max("ended").alias("ended"), F.sum("n_events").alias("n_events")).drop("session")

@@ -26,7 +26,7 @@ def page_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each word of the conversations occurs, and in how many turns (split and unnest; partial sums before the shuffle)."""
     turns = table(spark, sf_dir, "conversations")
-    words = turns.select("conv_id", "turn", F.explode(F.split(F.lower("text"), "[^a-z0-9]+")).alias("word")).filter("word != ''")
+    words = turns.select("conv_id", "turn", F.explode(F.split(F.lower("text"), r"[^\p{L}\p{N}]+")).alias("word")).filter("word != ''")
     own = words.groupBy("conv_id", "turn", "word").agg(F.count("*").alias("n"))
     return own.groupBy("word").agg(F.sum("n").alias("n_places"), F.count("*").alias("n_turns"))
 
@@ -62,7 +62,7 @@ QUERIES = {
     "page_hosts": (page_hosts, "select nullif(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1), '') as host, count(*) as n_pages from pages group by 1"),
     "word_counts": (
         word_counts,
-        """with w as (select conv_id, turn, unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) as word from conversations)
+        r"""with w as (select conv_id, turn, unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+')) as word from conversations)
         select word, count(*) as n_places, count(distinct (conv_id, turn)) as n_turns from w where word != '' group by 1""",
     ),
     "repeated_texts": (repeated_texts, "select md5(text) as digest, count(*) as n_documents, min(doc_id) as first_id from documents group by 1 having count(*) > 1"),

@@ -45,6 +45,32 @@ def test_sessions_split_at_the_gap(spark):
     assert sorted((r.u, r.n_events) for r in sessions(rows, "u", "ts", "1 hour").collect()) == [(1, 1), (1, 3), (2, 1)]
 
 
+def test_sessions_cross_slots(spark):
+    """Against a plain walk, with sessions over many slots and none, ties, nulls and a hot key."""
+    rng = random.Random(12)
+    rows = [(rng.choice(["hot"] * 5 + ["b", None]), at(rng.randrange(4000))) for _ in range(700)] + [("c", at(60 * i)) for i in range(80)] + [("hot", None), (None, None)]
+    keys = {}
+    for k, t in rows:
+        if k is not None and t is not None:
+            keys.setdefault(k, []).append(t)
+    expect = []
+    for k, own in keys.items():
+        own.sort()
+        run = [own[0]]
+        for t in [*own[1:], None]:
+            if t is not None and t <= run[-1] + timedelta(minutes=60):
+                run.append(t)
+            else:
+                expect.append((k, run[0], run[-1], len(run)))
+                run = [t]
+    frame = spark.createDataFrame(rows, "k string, ts timestamp_ntz").repartition(3)
+    for slot in (600, 3600, 86_400 * 40):
+        found = sessions(frame, "k", "ts", "60 minutes", slot)
+        assert found.columns == ["k", "started", "ended", "n_events"]
+        assert sorted(map(tuple, found.collect())) == sorted(expect)
+    assert sessions(frame.limit(0), "k", "ts", "60 minutes").count() == 0
+
+
 def test_asof_carries_rows_over_slots(spark):
     """Against all pairs, with slots shorter than the gaps between rows, nulls, ties and a hot key."""
     rng = random.Random(9)
