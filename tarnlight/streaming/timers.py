@@ -18,7 +18,7 @@ def visits(events: DataFrame, by: str, goal: str, gap: str = "2 hours", lateness
 
     A visit is a run of a key's events at most `gap` apart, in any order of arrival: a row may extend an open visit at either end or join two.
     n_goals counts rows for which the condition `goal` holds; visit and goals_so_far count over the key's visits in order. Rows later than the lateness are left out; a null key
-    is a key of its own. Open visits are a list of four numbers each, the key's totals a map; one timer stands for each visit's end, so nothing is
+    is a key of its own. Open visits are a list of four numbers each, the key's totals a map; a timer stands for the end of the key's first open visit, so nothing is
     scanned to find what is over. Totals stay as long as the key does. To be run with STATE_STORE as the state store.
     """
     micros = int(pd.Timedelta(gap).total_seconds() * 1_000_000)
@@ -32,7 +32,7 @@ def visits(events: DataFrame, by: str, goal: str, gap: str = "2 hours", lateness
 
         def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
             spans = [tuple(s) for s in self.open.get()]
-            before = {s[1] for s in spans}
+            before = min((s[1] for s in spans), default=None)
             for frame in rows:
                 spans += [(int(t), int(t), 1, int(g)) for t, g in zip(frame["micros"], frame["is_goal"], strict=True)]
             merged: list[tuple[int, int, int, int]] = []
@@ -42,15 +42,14 @@ def visits(events: DataFrame, by: str, goal: str, gap: str = "2 hours", lateness
                     low, high, n, goals = a, max(b, high), m + n, g + goals
                 merged.append((low, high, n, goals))
             self.open.put(merged)
-            after = {s[1] for s in merged}
-            for end in before - after:
-                self.handle.deleteTimer(self._timer(end))
-            for end in after - before:
-                self.handle.registerTimer(self._timer(end))
+            if merged[0][1] != before:
+                if before is not None:
+                    self.handle.deleteTimer(self._timer(before))
+                self.handle.registerTimer(self._timer(merged[0][1]))
             return iter(())
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-            now = expiredTimerInfo.getExpiryTimeInMs()
+            now = timerValues.getCurrentWatermarkInMs()
             spans = [tuple(s) for s in self.open.get()]
             over = [s for s in spans if self._timer(s[1]) <= now]
             if not over:
@@ -64,6 +63,7 @@ def visits(events: DataFrame, by: str, goal: str, gap: str = "2 hours", lateness
             rest = [s for s in spans if s not in over]
             if rest:
                 self.open.put(rest)
+                self.handle.registerTimer(self._timer(rest[0][1]))
             else:
                 self.open.clear()
 
