@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnlight.operators import sessions
-from tarnlight.operators.intervals import overlap_join
+from tarnlight.operators.intervals import overlap_join, overlap_totals
 from tarnlight.operators.patterns import match_rows
 from tarnlight.operators.ranking import TextIndex
 from tarnlight.operators.vectors import VectorIndex
@@ -42,12 +42,19 @@ def overlapping_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def concurrent_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each user's time between two errors, of minutes or weeks, the sessions of other users in it and their events (intervals of all lengths without a key)."""
+    """For each user's time between two errors, of minutes or weeks, the sessions of other users in it and their events (intervals of all lengths without a key; no pair is made)."""
     events = table(spark, sf_dir, "events")
     found = sessions(events, "user_id", "ts", "2 hours").select(F.col("user_id").alias("session_user"), "started", (F.col("ended") + F.expr("interval 1 minute")).alias("left"), F.col("n_events").alias("session_events"))
     errors = spark.sql("select event_id, user_id, ts as failed, lead(ts) over (partition by user_id order by ts, event_id) as failed_again from {events} where event_type = 'error'", events=events)
-    pairs = overlap_join(errors, found, ("failed", "failed_again"), ("started", "left")).filter("user_id != session_user")
-    return pairs.groupBy("event_id").agg(F.count("*").alias("n_sessions"), F.sum("session_events").alias("n_events"))
+    errors = errors.filter("user_id is not null")  # a null user is not known to be another
+    scratch = Scratch(spark, "concurrent")
+    found, errors = scratch.write(found, "sessions"), scratch.write(errors, "errors")
+    spans = ("failed", "failed_again"), ("started", "left")
+    everyone = overlap_totals(errors, found, *spans, ["event_id"], ["session_events"])
+    # the user's own sessions are taken off; a key's slot is long, as one user has few rows in an hour
+    own = overlap_totals(errors, found.withColumnRenamed("session_user", "user_id"), *spans, ["event_id"], ["session_events"], ["user_id"], 7 * 86_400_000_000)
+    both = everyone.unionByName(own.select("event_id", (-F.col("n")).alias("n"), (-F.col("session_events")).alias("session_events")))
+    return both.groupBy("event_id").agg(F.sum("n").alias("n_sessions"), F.sum("session_events").alias("n_events")).filter("n_sessions > 0")
 
 
 def passage_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:

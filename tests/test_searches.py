@@ -7,16 +7,18 @@ from collections import Counter, defaultdict
 from datetime import date, datetime, timedelta
 from pathlib import Path
 
+import duckdb
 import numpy as np
 import pytest
 import regex
 from pyspark.sql import functions as F
 
 from tarnlight.operators import patterns, ranking, vectors
-from tarnlight.operators.intervals import overlap_join
+from tarnlight.operators.intervals import overlap_join, overlap_totals
 from tarnlight.operators.patterns import match_rows
 from tarnlight.operators.ranking import TextIndex
 from tarnlight.operators.vectors import VectorIndex
+from tarnlight.plans.searches import QUERIES
 
 T0 = datetime(2024, 1, 1)
 LARGE = "/root/testdata/sf0.1"
@@ -138,6 +140,44 @@ def test_overlaps_of_dates_and_times(spark):
         overlap_join(spark.createDataFrame([(1.0, 2.0)], "s double, e double"), other, ("s", "e"), ("rs", "re"))
 
 
+@pytest.mark.parametrize("slot", [1, 7, 1000])
+def test_totals_of_overlaps_equal_the_sums_over_all_pairs(spark, slot):
+    rng = random.Random(slot)
+
+    def side(n):
+        out = []
+        for i in range(n):
+            low = rng.choice([None, *range(-40, 60)])
+            out.append((i % 90, rng.choice(["hot"] * 5 + ["b", None]), low, None if low is None or rng.random() < 0.05 else low + rng.choice([-3, 0, 1, 1, 2, 5, 50])))
+        return out
+
+    left, right = side(150), side(140)
+    ours = spark.createDataFrame(left, "i int, k string, s long, e long").repartition(3)
+    theirs = spark.createDataFrame(right, "j int, k string, rs long, re long").repartition(3)
+    for by in ([], ["k"]):
+        plain = defaultdict(lambda: [0, 0])
+        for a in left:
+            for b in right:
+                if None not in (*a[2:], *b[2:]) and a[2] < a[3] and b[2] < b[3] and a[2] < b[3] and b[2] < a[3] and (not by or (a[1] is not None and a[1] == b[1])):
+                    plain[a[0]] = [plain[a[0]][0] + 1, plain[a[0]][1] + b[0]]
+        found = overlap_totals(ours, theirs, ("s", "e"), ("rs", "re"), ["i"], ["j"], by, slot)
+        assert {r.i: [r.n, r.j] for r in found.collect()} == plain
+    assert overlap_totals(ours.limit(0), theirs, ("s", "e"), ("rs", "re"), ["i"], ["j"]).count() == 0
+    assert overlap_totals(ours, theirs.limit(0), ("s", "e"), ("rs", "re"), ["i"], ["j"]).count() == 0
+
+
+def test_concurrent_sessions_are_counted_without_pairs(spark, tmp_path):
+    rows = [(i, T0 + timedelta(minutes=(i * 7) % 5000), i % 600, ("error", "view")[i % 3 % 2]) for i in range(4000)] + [(9000, T0, None, "error"), (9001, T0 + timedelta(days=1), None, "error")]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    query, sql = QUERIES["concurrent_sessions"]
+    found = query(spark, str(tmp_path))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "shiftright" not in plan  # the bins in which pairs are made
+    duckdb.sql(f"create or replace temp view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    want = duckdb.sql(sql).fetchall()
+    assert len(want) > 1000 and Counter(map(tuple, found.collect())) == Counter(want)
+
+
 def plain_ranking(docs, queries, k):
     words = regex.compile(r"[\p{L}\p{N}]+")
     bodies = defaultdict(Counter)
