@@ -17,9 +17,9 @@ def match_rows(rows: DataFrame, by: list[str], ts: str, row_id: str, kinds: dict
     after that first row. Every row may start a run. With overlapping=False, of the runs that share a row only
     those stay that start after the last one kept has ended, in order.
 
-    Time is cut into slots of slot_seconds (four times within_seconds by default, and not less than it). A task walks its slots' rows in order with the expression's automaton; rows in the first
+    Time is cut into slots of slot_seconds (four times within_seconds by default, and not less than it). A task walks its slots' rows in order with the expression's automaton, all slots of a batch at once; rows in the first
     within_seconds of a slot also go to the slot before, so every run is seen whole in the slot of its first row. Keys' rows are dealt by slot, so a hot key is in many tasks, and a
-    task holds one slot of one key at a time. Rows with a null key, time or id are in no run. Nothing but matches is compared by key when runs that overlap are thinned.
+    task holds a batch and one slot of one key at a time. Rows with a null key, time or id are in no run. Nothing but matches is compared by key when runs that overlap are thinned.
     """
     slot = max(within_seconds, slot_seconds or 4 * within_seconds) * 1_000_000
     within = within_seconds * 1_000_000
@@ -46,33 +46,51 @@ def match_rows(rows: DataFrame, by: list[str], ts: str, row_id: str, kinds: dict
 
         accepts = re.compile(pattern).match
 
-        def matches(group: pa.Table) -> pa.RecordBatch:
-            letters, micros = "".join(group["letter"].to_pylist()), group["micros"].to_numpy()
-            mine = group["own"].to_numpy() == group["slot"].to_numpy()
-            limits = np.searchsorted(micros, micros + within, side="right")
-            found = [(i, m.end() - 1) for i in np.flatnonzero(mine).tolist() if (m := accepts(letters, i, int(limits[i]))) and m.end() > i]
+        def matches(groups: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+            """Of whole groups of a key and slot, which begin at starts; all are walked as one text, in which no run passes its group's end."""
+            n = groups.num_rows
+            letters, micros = "".join(groups["letter"].to_pylist()), groups["micros"].to_numpy()
+            mine = np.flatnonzero(groups["own"].to_numpy() == groups["slot"].to_numpy())
+            place = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, n]))
+            # a row's limit: how many rows stand before or at its time plus within, in order of group and time
+            order = np.lexsort((np.repeat([0, 1], n), np.r_[micros, micros + within], np.r_[place, place]))
+            limits = np.empty(2 * n, np.int64)
+            limits[order] = np.cumsum(order < n)
+            limits = limits[n + mine].tolist()
+            # letters of groups are kept apart, so what an expression sees before its first row is of the row's own group
+            shift = np.arange(n) + place
+            apart = np.full(n + len(starts), ord("\n"), np.uint32)
+            apart[shift] = np.frombuffer(letters.encode("utf-32-le"), np.uint32)
+            text = apart.tobytes().decode("utf-32-le")
+            moved = (shift - np.arange(n))[mine].tolist()
+            found = [(i, m.end() - 1 - k) for i, k, limit in zip(mine.tolist(), moved, limits, strict=True) if (m := accepts(text, i + k, limit + k)) and m.end() > i + k]
             first, last = (pa.array([f[side] for f in found], pa.int64()) for side in (0, 1))
-            keys = [group[c].take(first).combine_chunks() for c in names]
-            ends = [group[c].take(side).combine_chunks() for c in ("id", "at") for side in (first, last)]
+            keys = [groups[c].take(first).combine_chunks() for c in names]
+            ends = [groups[c].take(side).combine_chunks() for c in ("id", "at") for side in (first, last)]
             sizes = pa.array([e - s + 1 for s, e in found], pa.int64())
             return pa.RecordBatch.from_arrays([*keys, *ends, sizes], [*names, "first_id", "last_id", "started", "ended", "n_rows"])
 
-        held = None
+        held: list[pa.Table] = []  # of the last group, which may go on
         for batch in batches:
             table = pa.Table.from_batches([batch])
-            table = table if held is None else pa.concat_tables([held, table]).combine_chunks()
             n = table.num_rows
             if not n:
                 continue
-            new = np.zeros(max(0, n - 1), bool)
+            new = np.zeros(n, bool)
             for c in [*names, "slot"]:
-                new |= pc.not_equal(table[c].slice(1), table[c].slice(0, n - 1)).to_numpy(zero_copy_only=False)
-            starts = [0, *(np.flatnonzero(new) + 1).tolist()]
-            for low, high in zip(starts, starts[1:], strict=False):
-                yield matches(table.slice(low, high - low))
-            held = table.slice(starts[-1])
-        if held is not None:
-            yield matches(held)
+                new[1:] |= pc.not_equal(table[c].slice(1), table[c].slice(0, n - 1)).to_numpy(zero_copy_only=False)
+                new[0] |= bool(held) and table[c][0] != held[-1][c][-1]
+            borders = np.flatnonzero(new)
+            if not len(borders):
+                held.append(table)
+                continue
+            whole = pa.concat_tables([*held, table.slice(0, int(borders[-1]))]).combine_chunks()
+            size = whole.num_rows - int(borders[-1])
+            starts = np.r_[0, borders[:-1] + size]
+            yield matches(whole, np.unique(starts))
+            held = [table.slice(int(borders[-1]))]
+        if held:
+            yield matches(pa.concat_tables(held).combine_chunks(), np.zeros(1, np.int64))
 
     schema = ", ".join(f"`{c}` {fields[c]}" for c in by) + f", first_id {fields['id']}, last_id {fields['id']}, started {fields['at']}, ended {fields['at']}, n_rows long"
     found = dealt.mapInArrow(walk, schema)

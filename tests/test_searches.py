@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 from collections import Counter, defaultdict
 from datetime import date, datetime, timedelta
 from pathlib import Path
@@ -256,6 +257,21 @@ def test_row_patterns_equal_a_plain_walk(spark, pattern, overlapping):
     assert match_rows(table.limit(0), ["k"], "at", "i", kinds, pattern, 60, overlapping).count() == 0
 
 
+def test_many_small_slots_cost_little_more_than_one_large(spark):
+    kinds = {"v": F.col("kind") == "v"}
+    seconds = []
+    for key in ("0L", "id"):
+        rows = spark.range(30_000, numPartitions=1).selectExpr(f"{key} as k", "timestamp_seconds(id % 3000) as at", "id as i", "'v' as kind").cache()
+        assert rows.count() == 30_000
+        for _ in range(2):
+            began = time.perf_counter()
+            found = match_rows(rows, ["k"], "at", "i", kinds, "v", 60, True, 86_400).agg(F.count("*"), F.sum("n_rows")).first()
+            last = time.perf_counter() - began
+        assert tuple(found) == (30_000, 30_000)
+        seconds.append(last)
+    assert seconds[1] < 3 * seconds[0] + 1
+
+
 def test_kinds_are_letters(spark):
     with pytest.raises(ValueError, match="one letter"):
         match_rows(spark.range(1).selectExpr("id as k", "timestamp_seconds(id) as at", "id as i"), ["k"], "at", "i", {patterns.OTHER: F.lit(True)}, "v", 1)
