@@ -17,6 +17,9 @@ from tarnlight.scratch import Scratch
 #: Rows of a cell and queries that one block compares; their products are 32 MB.
 BLOCK_ROWS = 4096
 BLOCK_QUERIES = 1024
+#: Rows and queries of a group when all are compared, at most about.
+PART_ROWS = 16_384
+PART_QUERIES = 16_384
 #: Digits after the point that scores are rounded to before they are ordered, so that ties do not depend on the order of sums.
 DIGITS = 6
 
@@ -36,6 +39,55 @@ def fit_cells(sample: np.ndarray, cells: int, rounds: int = 12, seed: int = 7) -
     return centres
 
 
+def nearest(rows: DataFrame, queries: DataFrame) -> DataFrame:
+    """query_id, vec_id, product: the vector of rows(vec_id, embedding) with the largest dot product with each of queries(query_id, query) by comparing all, the lower id on ties; never the query's own id.
+
+    Rows and queries are dealt to parts of bounded size, and each part of rows meets each part of queries in a group of its own, which hands on one row a query. So no pair of
+    vectors is ever a row: what is shuffled is each row once for every part of queries, each query once for every part of rows, and a result for each of the latter. Products are compared after
+    rounding to 6 digits. A null id, or a vector that is null, empty or has a null or NaN, is near nothing; vectors of different lengths don't meet. Repeated query ids are one query, which finds its best.
+    """
+    spark = rows.sparkSession
+    sound = "{0} is not null and size({1}) > 0 and not exists({1}, x -> x is null or isnan(x))"
+    some = queries.filter(sound.format("query_id", "query")).select(F.col("query_id").cast("long").alias("query_id"), F.col("query").cast("array<double>").alias("query"), F.size("query").alias("width"))
+    all_rows = rows.filter(sound.format("vec_id", "embedding")).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.size("embedding").alias("width"))
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    row_parts = max(least, -(-all_rows.count() // PART_ROWS))
+    query_parts = max(1, -(-some.count() // PART_QUERIES))
+    dealt = all_rows.withColumn("row_part", F.pmod(F.xxhash64("vec_id"), F.lit(row_parts)).cast("int")).withColumn("query_part", F.explode(F.sequence(F.lit(0), F.lit(query_parts - 1))))
+    asked = some.withColumn("query_part", F.pmod(F.xxhash64("query_id"), F.lit(query_parts)).cast("int")).withColumn("row_part", F.explode(F.sequence(F.lit(0), F.lit(row_parts - 1))))
+    key = ["width", "row_part", "query_part"]
+    digits, block_rows, block_queries = DIGITS, BLOCK_ROWS, BLOCK_QUERIES
+
+    def compare(rows: pa.Table, some: pa.Table) -> pa.Table:
+        import numpy as np
+        import pyarrow as pa
+
+        schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("product", pa.float64())])
+        if not len(rows) or not len(some):
+            return schema.empty_table()
+        ids, own = rows["vec_id"].to_numpy(), some["query_id"].to_numpy()
+        by_id = np.argsort(ids, kind="stable")  # the first of the largest is then the lowest id
+        ids = ids[by_id]
+        x = rows["embedding"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)[by_id]
+        q = some["query"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(some), -1)
+        best, at = np.full(len(q), -np.inf), np.full(len(q), -1)
+        for low in range(0, len(q), block_queries):
+            here = slice(low, low + block_queries)
+            for first in range(0, len(x), block_rows):
+                product = np.round(q[here] @ x[first : first + block_rows].T, digits) + 0.0
+                product[own[here, None] == ids[None, first : first + block_rows]] = -np.inf
+                top = product.argmax(axis=1)
+                most = product[np.arange(len(top)), top]
+                better = most > best[here]
+                best[here][better], at[here][better] = most[better], top[better] + first
+        met = at >= 0
+        return pa.table([pa.array(own[met]), pa.array(ids[at[met]]), pa.array(best[met])], schema=schema)
+
+    found = dealt.groupBy(*key).cogroup(asked.groupBy(*key)).applyInArrow(compare, "query_id long, vec_id long, product double")
+    best = found.groupBy("query_id").agg(F.max("product").alias("most"), F.min_by("vec_id", F.struct(-F.col("product"), F.col("vec_id"))).alias("vec_id"))
+    return best.select("query_id", "vec_id", F.col("most").alias("product"))
+
+
 @dataclass
 class VectorIndex:
     """Vectors in cells: a table of rows by cell in a folder, and each cell's centre, radius and number of rows.

@@ -5,11 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarnlight.operators.vectors import nearest
 from tarnlight.sources import table
 
-#: Query vectors that one pass over the rows compares.
-BLOCK = 64
-
 
 def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first title element of each page, null where there is none (regular expression)."""
@@ -40,15 +38,10 @@ def repeated_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every vector whose id is divisible by 50, the other one with the largest dot product, the lower id on ties.
 
-    The queries are dealt to blocks of about BLOCK; each block meets every row, and each task keeps one row for each query before the shuffle.
+    All rows are compared with all queries, in groups of bounded size that each hand on one row a query.
     """
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    queries = rows.filter("vec_id % 50 = 0").select(F.floor(F.col("vec_id") / (50 * BLOCK)).alias("block"), F.struct(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")).alias("q"))
-    blocks = queries.groupBy("block").agg(F.collect_list("q").alias("queries"))
-    pairs = rows.join(blocks, F.lit(True), "inner").select("vec_id", "embedding", F.inline("queries")).filter("vec_id != query_id")
-    product = F.aggregate(F.zip_with("query", "embedding", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda total, x: total + x)
-    best = pairs.groupBy("query_id").agg(F.max(F.struct(F.round(product, 6).alias("product"), (-F.col("vec_id")).alias("minus_id"))).alias("best"))
-    return best.select("query_id", (-F.col("best.minus_id")).alias("vec_id"), F.col("best.product").alias("product"))
+    return nearest(rows, rows.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")))
 
 
 def conversation_roles(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,8 +18,9 @@ from tarnlight.operators import patterns, ranking, vectors
 from tarnlight.operators.intervals import overlap_join, overlap_totals
 from tarnlight.operators.patterns import match_rows
 from tarnlight.operators.ranking import TextIndex
-from tarnlight.operators.vectors import VectorIndex
+from tarnlight.operators.vectors import VectorIndex, nearest
 from tarnlight.plans.searches import QUERIES
+from tarnlight.plans.texts import QUERIES as TEXTS
 
 T0 = datetime(2024, 1, 1)
 LARGE = "/root/testdata/sf0.1"
@@ -61,6 +62,23 @@ def test_vector_search_equals_all_products(spark, tmp_path, monkeypatch):
         index.search(asked, 6)
 
 
+def test_comparing_all_vectors_makes_no_row_of_a_pair(spark, tmp_path, monkeypatch):
+    rows, bad = vector_rows()
+    table = spark.createDataFrame(rows + bad, "vec_id long, embedding array<double>").repartition(4)
+    queries = [(i, v) for i, v in rows if i % 7 == 0] + [(-1, rows[0][1])]
+    asked = spark.createDataFrame([*queries, (-2, None), (-3, [1.0, 2.0]), (None, rows[0][1])], "query_id long, query array<double>")
+    for part, block in ((16_384, 4096), (50, 16)):
+        for name, size in (("PART_ROWS", part), ("PART_QUERIES", part), ("BLOCK_ROWS", block), ("BLOCK_QUERIES", block)):
+            monkeypatch.setattr(vectors, name, size)
+        want = Counter((q, i, s) for q, i, s, _ in plain_nearest(rows, queries, 1))
+        assert Counter(map(tuple, nearest(table, asked).collect())) == want
+    assert nearest(table.limit(0), asked).count() == 0 and nearest(table, asked.limit(0)).count() == 0
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = TEXTS["nearest_vectors"][0](spark, str(tmp_path))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() and "NestedLoop" not in plan and "Cartesian" not in plan
+
+
 def test_vector_index_of_no_rows_and_of_one(spark, tmp_path):
     schema = "vec_id long, embedding array<double>"
     asked = spark.createDataFrame([(1, [1.0])], "query_id long, query array<double>")
