@@ -49,6 +49,21 @@ def test_visits_of_rows_out_of_order(spark, tmp_path):
     ]
 
 
+def test_visits_of_a_key_leave_together(spark, tmp_path):
+    """A frame for each visit, or an entry of state for each, cost most of the time of keys with many visits."""
+    visited = 3000
+    rows = [(i, at(200 * i), 1, "purchase") for i in range(visited)] + [(visited, at(200 * visited + 100_000), 2, "view")]
+    seconds = []
+    for some in (rows[-1:], rows):
+        folder = tmp_path / f"in-{len(some)}"
+        began = time.perf_counter()
+        found = run_to_files(visits(arriving(spark, folder, some), "user_id", "event_type = 'purchase'"), state_store=STATE_STORE)
+        assert found.count() == len(some) - 1
+        seconds.append(time.perf_counter() - began)
+    assert sorted((r.visit, r.n_goals, r.goals_so_far) for r in found.collect()) == [(i, 1, i) for i in range(1, visited + 1)]
+    assert seconds[1] < seconds[0] + 3
+
+
 def test_visits_of_shuffled_rows_equal_those_in_order(spark, tmp_path):
     rng = random.Random(6)
     rows = [(i, at(rng.randrange(4000)), rng.randrange(4), rng.choice(["view", "purchase", None])) for i in range(120)]
