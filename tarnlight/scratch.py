@@ -14,6 +14,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        self.tables: list[str] = []
         self.path = f"{shared_root(spark)}/tarnlight/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
     def write(self, frame: DataFrame, name: str) -> DataFrame:
@@ -21,3 +22,15 @@ class Scratch:
         path = f"{self.path}/{name}"
         frame.write.parquet(path)
         return self.spark.read.schema(frame.schema).parquet(path)
+
+    def deal(self, frame: DataFrame, name: str, by: str, parts: int) -> DataFrame:
+        """Write the frame once as a table in so many buckets of `by`: joins and groups by it read what is returned without a shuffle. The files are as of write()."""
+        table = f"tarnlight_{uuid.uuid4().hex}"
+        self.tables.append(table)
+        frame.write.format("parquet").bucketBy(parts, by).option("path", f"{self.path}/{name}").saveAsTable(table)
+        return self.spark.table(table)
+
+    def forget(self) -> None:
+        """Take the dealt tables' names out of the catalog; their files stay."""
+        while self.tables:
+            self.spark.sql(f"drop table if exists {self.tables.pop()}")

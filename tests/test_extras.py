@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tarnlight.functions import sketches, tables, variants
 from tarnlight.operators.fixpoint import reachable
+from tarnlight.scratch import Scratch
 from tarnlight.sources.layout import ClusteredTable, interleaved
 
 T0 = datetime(2024, 1, 1)
@@ -101,6 +102,30 @@ def test_recursion_equals_a_plain_search(spark):
     assert reachable(spark.createDataFrame([(3,)], "node int"), spark.createDataFrame([], "src int, dst int")).count() == 1
 
 
+def test_a_round_of_recursion_shuffles_what_it_found_alone(spark, monkeypatch):
+    """Neither the edges nor what has been reached is shuffled once more in each round."""
+    plans = []
+    deal = Scratch.deal
+
+    def kept(self, frame, name, by, parts):
+        if name.startswith("delta-") and name != "delta-0":
+            plans.append(frame._jdf.queryExecution().executedPlan().toString())
+        return deal(self, frame, name, by, parts)
+
+    monkeypatch.setattr(Scratch, "deal", kept)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        edges = spark.range(3000).selectExpr("id % 1000 as src", "(id * 7 + 1) % 1000 as dst")
+        found = reachable(spark.range(2).select(F.col("id").alias("node")), edges)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert found.count() == found.select("node").distinct().count() > 10
+    assert plans[0].count("Exchange hashpartitioning") == 1  # what was found, by node
+    names = [r.tableName for r in spark.sql("show tables").collect()]
+    assert not [n for n in names if n.startswith("tarnlight_")]
+
+
 def test_recursion_goes_hundreds_of_levels_deep(spark):
     before = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", "1")
