@@ -23,11 +23,20 @@ class Scratch:
         frame.write.parquet(path)
         return self.spark.read.schema(frame.schema).parquet(path)
 
-    def deal(self, frame: DataFrame, name: str, by: str, parts: int) -> DataFrame:
+    def deal(self, frame: DataFrame, name: str, by: str, parts: int, folder: str = "", order: list[str] = ()) -> DataFrame:
         """Write the frame once as a table in so many buckets of `by`: joins and groups by it read what is returned without a shuffle. The files are as of write()."""
         table = f"tarnlight_{uuid.uuid4().hex}"
         self.tables.append(table)
-        frame.write.format("parquet").bucketBy(parts, by).option("path", f"{self.path}/{name}").saveAsTable(table)
+        writer = frame.write.format("parquet").bucketBy(parts, by)
+        writer = writer.sortBy(*order) if order else writer
+        writer.mode("overwrite").option("path", f"{folder or self.path}/{name}").saveAsTable(table)
+        return self.spark.table(table)
+
+    def dealt(self, path: str, columns: str, by: str, parts: int) -> DataFrame:
+        """What deal() wrote under a path, in the same buckets; its columns are named as there may be no rows."""
+        table = f"tarnlight_{uuid.uuid4().hex}"
+        self.tables.append(table)
+        self.spark.sql(f"create table {table} ({columns}) using parquet clustered by ({by}) into {parts} buckets location '{path}'")
         return self.spark.table(table)
 
     def forget(self) -> None:

@@ -242,6 +242,17 @@ def test_ranking_reads_the_postings_of_its_terms_alone(spark, tmp_path):
     assert "BroadcastHashJoin [term" in plan and "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_scores_are_added_up_where_postings_are(spark, tmp_path):
+    """What is shuffled is the best of each bucket, not a row for each document of a query."""
+    docs = spark.range(400).selectExpr("id as doc_id", "concat('common word', id % 7, ' word', id) as text")
+    index = TextIndex.build(docs, str(tmp_path / "index"))
+    found = index.search(spark.createDataFrame([(1, "common word3"), (2, "common word5 word9")], "query_id long, query string"), 3)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "doc_id" not in plan[plan.index("Exchange hashpartitioning") :].split("\n")[0]
+    assert found.count() == 6
+    assert not [r for r in spark.sql("show tables").collect() if r.tableName.startswith("tarnlight_")]
+
+
 def plain_runs(rows, pattern, within, overlapping):
     keys = defaultdict(list)
     for k, t, i, kind in rows:
