@@ -1,4 +1,4 @@
-"""Operator 12: phrase collocations by growing contiguous patterns from projected occurrences."""
+"""Operator 12: phrase collocations by counting pairs, then growing contiguous patterns from projected occurrences of longer ones."""
 
 from __future__ import annotations
 
@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarnlight.llm.batches import bound_batches, column, raw_texts
-from tarnlight.llm.byte_pairs import Cache
 from tarnlight.llm.shipping import remote
 from tarnlight.llm.staging import Workspace
 from tarnlight.llm.word_hashes import blocks, mix
@@ -25,6 +24,11 @@ _WORD_OR_END = re.compile(rb"[^\x20\x09.,;:!?\x0a-\x0d]+|[.,;:!?\x0a-\x0d]+")
 _END = frozenset(b".,;:!?\n\x0b\x0c\r")
 #: Distinct words, or occurrences, that a task holds before it hands them on.
 HELD = 400_000
+#: Codes of runs of words that a task holds before it counts them and hands them on.
+HELD_CODES = 1_000_000
+#: Words whose numbers a task keeps for each language, and the bytes of the longest of them.
+CACHED_WORDS = 400_000
+CACHED_LENGTH = 64
 #: A filter of frequent codes has 64 bits a code, between these powers of two.
 FILTER_BITS = (20, 28)
 #: Occurrences that one task grows phrases from, about.
@@ -81,74 +85,144 @@ def _words(held: dict[bytes, Counter]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(counts), pa.binary()).cast(pa.string()), words, pa.array(counts.values(), pa.int64())], ["lang", "word", "n"])
 
 
-def encode_batches(batches: Iterator[pa.RecordBatch], seed: int, known) -> Iterator[pa.RecordBatch]:
-    """A row of codes for each text: those of frequent words in order, 0 for any other word and for the end of a piece or text."""
-    frequent: BitFilter = known.value
-    caches: dict[bytes, Cache] = {}
-
-    def cache(lang: bytes) -> Cache:
-        start = _start(seed, lang)
-
-        def code(token: bytes) -> int:
-            if token[0] in _END:
-                return 0
-            made = np.array([xxhash.xxh64_intdigest(token, start)], np.uint64).view(np.int64)
-            return int(made[0]) if frequent.has(made)[0] else 0
+class Numbers(dict):
+    """The number of each word of a language; 0 for words that aren't frequent and for ends of pieces. A block's new words are looked up together."""
+
+    def __init__(self, start: int, codes: np.ndarray):
+        super().__init__()
+        self.start, self.codes = start, codes
+        self.asked: list[bytes] = []
+
+    def __missing__(self, token: bytes) -> int:
+        self.asked.append(token)
+        self[token] = made = -len(self.asked)
+        return made
+
+    def of(self, block: bytes) -> np.ndarray:
+        tokens = _WORD_OR_END.findall(block.lower())
+        made = np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
+        if self.asked:
+            codes = np.array([xxhash.xxh64_intdigest(t, self.start) for t in self.asked], np.uint64).view(np.int64)
+            new = np.where([t[0] in _END for t in self.asked], 0, _places(self.codes, codes))
+            made[made < 0] = new[-1 - made[made < 0]]
+            self.update(zip(self.asked, new.tolist(), strict=True))
+            for token in self.asked:
+                if len(token) > CACHED_LENGTH:
+                    del self[token]
+            self.asked.clear()
+            if len(self) > CACHED_WORDS:
+                frequent = {t: n for t, n in self.items() if n}
+                self.clear()
+                if 2 * len(frequent) < CACHED_WORDS:
+                    self.update(frequent)
+        return made.astype(np.int32)
+
+
+def _places(codes: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Where each wanted code is among sorted codes, from 1; 0 if it isn't."""
+    if not len(codes):
+        return np.zeros(len(wanted), np.int64)
+    at = np.minimum(np.searchsorted(codes, wanted), len(codes) - 1)
+    return np.where(codes[at] == wanted, at + 1, 0)
+
+
+def number_words(batches: Iterator[pa.RecordBatch], known) -> Iterator[pa.RecordBatch]:
+    """The frequent words with their numbers as codes."""
+    for batch in batches:
+        made = _places(known.value, column(batch, "code").to_numpy(zero_copy_only=False))
+        yield pa.RecordBatch.from_arrays([*[column(batch, c) for c in ("lang", "word", "n")], pa.array(made, pa.int64())], ["lang", "word", "n", "code"])
 
-        return Cache(code)
 
+def encode_batches(batches: Iterator[pa.RecordBatch], seed: int, known) -> Iterator[pa.RecordBatch]:
+    """A row of numbers for each text: those of frequent words in order, 0 for any other word and for the end of a piece or text."""
+    langs: dict[bytes, Numbers] = {}
     for batch in batches:
         rows = []
         for lang, text in zip(raw_texts(batch, "lang"), raw_texts(batch), strict=True):
-            if lang not in caches:
-                if len(caches) >= 8:
-                    caches.clear()
-                caches[lang] = cache(lang)
-            find = caches[lang].__getitem__
-            parts = [np.array([*map(find, _WORD_OR_END.findall(block.lower()))], np.int64) for block in blocks(text)]
-            rows.append(np.concatenate([*parts, np.zeros(1, np.int64)]))
+            if lang not in langs:
+                if len(langs) >= 8:
+                    langs.clear()
+                langs[lang] = Numbers(_start(seed, lang), known.value)
+            rows.append(np.concatenate([*map(langs[lang].of, blocks(text)), np.zeros(1, np.int32)]))
         lengths = np.cumsum([0, *map(len, rows)])
-        flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.LargeListArray.from_arrays(pa.array(lengths, pa.int64()), pa.array(flat)).cast(pa.list_(pa.int64()))], ["codes"])
+        flat = np.concatenate(rows) if rows else np.zeros(0, np.int32)
+        yield pa.RecordBatch.from_arrays([pa.LargeListArray.from_arrays(pa.array(lengths, pa.int64()), pa.array(flat)).cast(pa.list_(pa.int32()))], ["codes"])
 
 
 def _flat(batch: pa.RecordBatch) -> np.ndarray:
     return column(batch, "codes").flatten().to_numpy(zero_copy_only=False)
 
 
-def _pair_codes(codes: np.ndarray) -> np.ndarray:
-    """A code of each pair of neighbours; 0 where either is 0."""
-    first, second = codes[:-1].view(np.uint64), codes[1:].view(np.uint64)
-    made = mix(mix(first) * np.uint64(0xFF51AFD7ED558CCD) + second)
-    return np.where((first != 0) & (second != 0), made, 0).view(np.int64)
+def _pair_keys(numbers: np.ndarray) -> np.ndarray:
+    """Both numbers of each pair of neighbours in one; 0 where either is 0."""
+    first, second = numbers[:-1].astype(np.int64), numbers[1:].astype(np.int64)
+    return np.where((first != 0) & (second != 0), first << 32 | second, 0)
 
 
-def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _marks(keys: np.ndarray) -> np.ndarray:
+    """Keys with their bits spread; 0 stays 0."""
+    return mix(keys.view(np.uint64)).view(np.int64)
+
+
+def _grams(numbers: np.ndarray, known: list) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Places and codes of the runs of len(known) + 2 words whose shorter runs may all be frequent, and the places of these by length.
+
+    The code of a pair is its key; a longer run's is made of the codes of the two runs in it, and two runs may share one.
+    """
+    keys = _pair_keys(numbers)
+    at = np.flatnonzero(keys)
+    codes = keys[at]
+    passed = []
+    for level, frequent in enumerate(known):
+        marks = codes if level else _marks(codes)
+        likely = frequent.value.has(marks)
+        at, marks = at[likely], marks[likely].view(np.uint64)
+        passed.append(at)
+        both = np.flatnonzero(at[1:] == at[:-1] + 1)
+        at, codes = at[both], mix(mix(marks[both]) * np.uint64(0xFF51AFD7ED558CCD) + marks[both + 1]).view(np.int64)
+    return at, codes, passed
+
+
+def count_grams(batches: Iterator[pa.RecordBatch], known: list) -> Iterator[pa.RecordBatch]:
+    """code, n of the runs of len(known) + 2 words whose shorter runs may all be frequent, each code once or more."""
+    held: list[np.ndarray] = []
+    size = 0
     for batch in batches:
-        pairs = _pair_codes(_flat(batch))
-        pairs, n = np.unique(pairs[pairs != 0], return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(n.astype(np.int64))], ["code", "n"])
+        held.append(_grams(_flat(batch), known)[1])
+        size += len(held[-1])
+        if size > HELD_CODES:
+            yield _counted(held)
+            held, size = [], 0
+    if size:
+        yield _counted(held)
+
+
+def _counted(held: list[np.ndarray]) -> pa.RecordBatch:
+    codes, n = np.unique(np.concatenate(held), return_counts=True)
+    return pa.RecordBatch.from_arrays([pa.array(codes), pa.array(n.astype(np.int64))], ["code", "n"])
 
 
-def project_batches(batches: Iterator[pa.RecordBatch], longest: int, known) -> Iterator[pa.RecordBatch]:
-    """Every occurrence of a pair that may be frequent, with what follows it in the piece up to the first pair that is not; equal ones are counted."""
-    frequent: BitFilter = known.value
+def mark_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(_marks(column(batch, "code").to_numpy(zero_copy_only=False)))], ["code"])
+
+
+def project_batches(batches: Iterator[pa.RecordBatch], longest: int, known: list) -> Iterator[pa.RecordBatch]:
+    """Every occurrence of 3 words that may be a frequent phrase, with what follows it up to `longest` words while the whole may be; equal ones are counted."""
     held: list[np.ndarray] = []
     size = 0
     for batch in batches:
-        codes = np.concatenate([_flat(batch), np.zeros(longest, np.int64)])
-        pairs = _pair_codes(codes)
-        goes_on = (pairs != 0) & frequent.has(pairs)
-        at = np.flatnonzero(goes_on)
-        window = np.zeros((len(at), longest + 1), np.int64)
-        window[:, 0] = codes[at]
-        live = np.ones(len(at), bool)
-        for k in range(1, longest):
-            live &= goes_on[at + k - 1]
-            window[live, k] = codes[at[live] + k]
+        numbers = _flat(batch)
+        last, _, passed = _grams(numbers, known)
+        starts, *longer = [*passed[1:], last]  # of 3 words, of 4, and so on: each within the one before
+        window = np.zeros((len(starts), longest + 1), np.int64)
+        for k in range(3):
+            window[:, k] = numbers[starts + k]
+        for k, at in enumerate(longer, 3):
+            window[np.searchsorted(starts, at), k] = numbers[at + k]
         window[:, longest] = 1
         held.append(window)
-        size += len(at)
+        size += len(starts)
         if size > HELD:
             yield _projected(held, longest)
             held, size = [], 0
@@ -230,22 +304,34 @@ class Mined:
                 break
             seed += 1  # two words with one code would be counted as one: take other codes
         self.totals = counted.groupBy("lang").agg(F.sum("n").alias("n"))
-        self.words = space.stage(coded.filter(F.col("n") >= least), "frequent")
-        n_words = self.words.count()
-        known = spark.sparkContext.broadcast(BitFilter(self.words.select("code"), n_words))
-        encoded = space.stage(rows.mapInArrow(remote(__name__, "encode_batches", seed, known), "codes array<long>"), "codes")
-        pairs = encoded.mapInArrow(remote(__name__, "count_pairs"), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-        pairs = space.stage(pairs.select("code"), "pairs")
-        likely = spark.sparkContext.broadcast(BitFilter(pairs, pairs.count()))
-        columns = _columns(longest)
-        windows = encoded.mapInArrow(remote(__name__, "project_batches", longest, likely), ", ".join(f"{c} long" for c in [*columns, "n"]))
-        windows = space.stage(windows, "occurrences")
-        tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-windows.count() // TASK_ROWS))
-        grown = windows.repartitionByRange(tasks, *columns).sortWithinPartitions(*columns).mapInArrow(remote(__name__, "grow_batches", longest, least), "codes array<long>, n long")
-        self.phrases = space.stage(grown.groupBy("codes").agg(F.sum("n").alias("a")).filter(F.col("a") >= least), "phrases")
-        space.drop(encoded, pairs, windows)
-        known.unpersist()
-        likely.unpersist()
+        frequent = space.stage(coded.filter(F.col("n") >= least), "frequent")
+        known = spark.sparkContext.broadcast(np.sort(frequent.select("code").toArrow().column("code").to_numpy()))
+        self.words = space.stage(frequent.mapInArrow(remote(__name__, "number_words", known), "lang string, word string, n long, code long"), "numbered")
+        encoded = space.stage(rows.mapInArrow(remote(__name__, "encode_batches", seed, known), "codes array<int>"), "codes")
+        levels: list = []
+        for size in range(2, max(longest, 3)):
+            grams = encoded.mapInArrow(remote(__name__, "count_grams", [*levels]), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+            grams = space.stage(grams, f"runs-{size}")
+            n_grams = grams.count()
+            if size == 2:
+                pairs = grams.select(F.array(F.shiftright("code", 32), F.col("code").bitwiseAND(F.lit((1 << 32) - 1))).alias("codes"), F.col("n").alias("a"))
+                grams = grams.mapInArrow(remote(__name__, "mark_pairs"), "code long")
+            levels.append(spark.sparkContext.broadcast(BitFilter(grams.select("code"), n_grams)))
+            if not n_grams:
+                break
+        found = pairs
+        if longest > 2:
+            columns = _columns(longest)
+            windows = encoded.mapInArrow(remote(__name__, "project_batches", longest, levels), ", ".join(f"{c} long" for c in [*columns, "n"]))
+            windows = space.stage(windows, "occurrences")
+            tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-windows.count() // TASK_ROWS))
+            grown = windows.repartitionByRange(tasks, *columns).sortWithinPartitions(*columns).mapInArrow(remote(__name__, "grow_batches", longest, least), "codes array<long>, n long")
+            grown = grown.filter(F.size("codes") > 2)  # a pair is projected only where a third word follows
+            found = pairs.unionByName(grown.groupBy("codes").agg(F.sum("n").alias("a")).filter(F.col("a") >= least))
+        self.phrases = space.stage(found, "phrases")
+        space.drop(frequent, encoded)
+        for sent in (known, *levels):
+            sent.unpersist()
 
 
 def collocations(docs: DataFrame, least: int = 100, longest: int = 5, top: int = 2000, covered_percent: int = 100) -> DataFrame:
@@ -256,10 +342,12 @@ def collocations(docs: DataFrame, least: int = 100, longest: int = 5, top: int =
     floor(1000 a n / (l r)) over all cuts, the first such cut counting; products are decimals of 38 digits. Phrases of 2 to `longest` words with a >= least
     are candidates; those within a longer one that stands covered_percent of a times or more are dropped.
 
-    Words are counted and coded by 64-bit hashes, which are tried anew if two words clash. Texts become arrays of codes; occurrences of a pair are
-    projected, with the codes that follow, if a filter of bits that all frequent pairs are in lets the pair pass. The projections are dealt by ranges of prefixes, so
-    a frequent prefix is split over several tasks, and equal projections are counted before they move. Each task grows phrases depth first in slices of its sorted range; what reaches the end
-    of a slice is added up over all. Nothing but the filters' bits (at most 32 MB each) goes through the driver.
+    Words are counted and coded by 64-bit hashes, which are tried anew if two words clash. A frequent word's number is the place of its code among them all,
+    and texts become arrays of numbers. Pairs are counted under both numbers, so exactly. Runs of 3 words and more are counted by hashes, length by length, only where
+    both runs one shorter are in a filter of bits that all frequent ones are in; these counts only make the next filter, and its false hits cost rows, never results.
+    What may be a frequent phrase of 3 words is projected with what follows while that may be one too, equal projections are counted before they move, and they are dealt by ranges of
+    prefixes, so a frequent prefix is split over several tasks. Each task grows phrases depth first in slices of its sorted range; what reaches the end
+    of a slice is added up over all. Through the driver go the filters' bits (at most 32 MB each) and 8 bytes for each frequent word.
 
     A null or empty text has no words, a null lang counts as `und`, repeated rows count each, other columns are ignored; an empty table gives no rows.
     """

@@ -125,3 +125,54 @@ def test_the_query_equals_its_sql_with_more_phrases(spark):
     names = [c[0] for c in theirs.description]
     ours = Counter(map(tuple, phrases.collocations(docs, 20).select(*names).collect()))
     assert ours == Counter(theirs.fetchall()) and sum(ours.values()) > 500
+
+
+def test_places_without_a_frequent_run_of_three_are_not_projected(spark, monkeypatch):
+    """All pairs are frequent and few longer runs are: those few are projected, not every place with its tail."""
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(12)]
+    rows = [(" ".join(rng.choices(words, k=300)) + (". one phrase of six words here" if i % 2 else ""), "en") for i in range(100)]
+    staged, stage = {}, phrases.Workspace.stage
+
+    def counted(self, frame, name, *args):
+        made = stage(self, frame, name, *args)
+        staged[name] = made.count()
+        return made
+
+    monkeypatch.setattr(phrases.Workspace, "stage", counted)
+    docs = spark.createDataFrame(rows, "text string, lang string").repartition(2)
+    out = phrases.collocations(docs, 50)
+    assert Counter(map(tuple, out.collect())) == plain(rows, 50, 5, 2000)
+    assert 0 < staged["occurrences"] <= 2 * 4
+
+
+def test_numbers_are_the_same_however_little_is_kept(monkeypatch):
+    """Words are numbered alike when all are forgotten, only frequent ones are kept, or none is."""
+    text = b"The lake. the LAKE, of lake;; " + b"y" * 80 + b" of rare the " + b"y" * 80
+    start = phrases._start(0, b"en")
+    of = {w: np.array([phrases.xxhash.xxh64_intdigest(w, start)], np.uint64).view(np.int64)[0] for w in (b"the", b"lake", b"y" * 80)}
+    codes = np.sort(np.array([*of.values()]))
+    the, lake, long = (int(np.searchsorted(codes, of[w])) + 1 for w in of)
+    for kept in (0, 3, 4, 400_000):
+        monkeypatch.setattr(phrases, "CACHED_WORDS", kept)
+        numbers = phrases.Numbers(start, codes)
+        for _ in range(3):
+            assert numbers.of(text).tolist() == [the, lake, 0, the, lake, 0, 0, lake, 0, long, 0, 0, the, long]
+    assert phrases.Numbers(start, codes[:0]).of(text).tolist() == [0] * 14
+
+
+def test_pairs_and_longer_runs_are_counted_where_all_their_parts_are_frequent(spark):
+    """Against plain counting, with numbers beyond 16 bits and texts over several batches."""
+    rng = random.Random(8)
+    texts = [[rng.choice([0, 1, 2, 70_000, 2**31 - 1]) for _ in range(200)] + [0] for _ in range(40)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(part, pa.list_(pa.int32()))], ["codes"]) for part in (texts[:7], texts[7:])]
+    runs = {k: Counter(tuple(t[i : i + k]) for t in texts for i in range(len(t) - k + 1) if all(t[i : i + k])) for k in (2, 3, 4)}
+    pairs = {(c >> 32, c & 0xFFFFFFFF): n for b in phrases.count_grams(iter(batches), []) for c, n in zip(b["code"].to_pylist(), b["n"].to_pylist(), strict=True)}
+    assert pairs == runs[2]
+    likely = [p for p, n in pairs.items() if n >= 320]
+    assert 0 < len(likely) < len(pairs)
+    marks = phrases._marks(np.array([a << 32 | b for a, b in likely]))
+    found = phrases.BitFilter(spark.createDataFrame([(int(m),) for m in marks], "code long"), len(likely))
+    known = [type("Sent", (), {"value": found})]
+    triples = sorted(n for b in phrases.count_grams(iter(batches), known) for n in b["n"].to_pylist())
+    assert triples == sorted(n for r, n in runs[3].items() if found.has(phrases._marks(np.array([r[0] << 32 | r[1]])))[0] and found.has(phrases._marks(np.array([r[1] << 32 | r[2]])))[0])
